@@ -261,7 +261,8 @@ def nearest_centers(
     cids, cmat = collect_block(centers, center_id_col, center_vec_col)
     if len(cids) and check_block_size(len(cids), cmat.shape[1], broadcast_bytes) > 1:
         raise ValueError("center table exceeds the broadcast budget; lower nlist or raise broadcast_bytes")
-    keep_cols = [c for c in (keep_cols or []) if c not in (id_col, vec_col)]
+    emit = [c for c in (keep_cols or []) if c != id_col]
+    keep_cols = [c for c in emit if c != vec_col]
     bc = spark.sparkContext.broadcast((cids, cmat))
     asc = ascending(metric)
     kk = max(0, min(k, len(cids)))
@@ -287,13 +288,13 @@ def nearest_centers(
                        pa.array(ids_c[order].reshape(-1), pa.int64()),
                        pa.array(raw.reshape(-1), pa.float64())]
             names += ["rank", center_id_col, "raw"]
-            for c in keep_cols:
+            for c in emit:
                 arrays.append(batch.column(c).take(pa.array(take)))
                 names.append(c)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = ", ".join(
         [f"`{id_col}` {fields[id_col]}", "rank int", f"`{center_id_col}` long", "raw double"]
-        + [f"`{c}` {fields[c]}" for c in keep_cols]
+        + [f"`{c}` {fields[c]}" for c in emit]
     )
     return src.mapInArrow(run, schema)
