@@ -12,4 +12,6 @@ from quiver.plans import (  # noqa: F401
     health_plans,
     log_plans,
     export_plans,
+    source_plans,
+    stream_plans,
 )
