@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,72 +153,66 @@ def decision_inputs(metrics: DataFrame, deployments: DataFrame, policies: DataFr
     return j.withColumn("want_up", up).withColumn("want_down", down)
 
 
-def _scan(cfg: ScalerConfig, parity_noop: bool, static_current: bool):
-    up_f, down_f = cfg.scale_up_factor, cfg.scale_down_factor
+def target_of(cur: int, up: bool, down: bool, cfg: ScalerConfig) -> int:
+    """M9 for one tick (Go-style truncation of the scaled count)."""
+    if up:
+        t = min(int(cur * cfg.scale_up_factor), cfg.max_replicas)
+        return cur + 1 if t <= cur else t
+    if down:
+        t = max(int(cur * cfg.scale_down_factor), cfg.min_replicas)
+        return cur - 1 if t >= cur else t
+    return cur
+
+
+def decide(cur: int, last_us, ts_us: int, en_up, en_down, want_up, want_down, min_r: int, max_r: int, user,
+           quota_ok, cfg: ScalerConfig, parity_noop: bool = False):
+    """One tick of M9-M12: returns (target, action, reason, executed)."""
+    if not (en_up or en_down):
+        return cur, "none", "autoscaling disabled", False
+    tgt = target_of(cur, bool(want_up), bool(want_down), cfg)
+    if tgt == cur:
+        return cur, "none", "no change", False
+    cool = cfg.scale_up_cooldown_s if tgt > cur else cfg.scale_down_cooldown_s
+    if last_us is not None and ts_us - last_us < cool * 1_000_000:
+        return tgt, "none", "cooldown", False
+    tgt = max(min(tgt, int(max_r)), int(min_r))
+    if tgt > cur and user not in (None, "") and quota_ok is False:
+        return tgt, "none", "quota exceeded", False
+    if tgt == cur and not parity_noop:
+        return tgt, "none", "at policy limit", False
+    action = "scale_up" if tgt > cur else ("scale_down" if tgt < cur else "noop_scale")
+    return tgt, action, "executed", True
+
+
+_SCAN_COLS = ("namespace", "id", "ts_us", "replicas", "user_id", "want_up", "want_down", "enable_auto_scale_up",
+              "enable_auto_scale_down", "min_replicas", "max_replicas", "quota_ok")
 
-    def target(cur, up, down):
-        if up:
-            t = min(int(cur * up_f), cfg.max_replicas)
-            return cur + 1 if t <= cur else t
-        if down:
-            t = max(int(cur * down_f), cfg.min_replicas)
-            return cur - 1 if t >= cur else t
-        return cur
 
+def _scan(cfg: ScalerConfig, parity_noop: bool, static_current: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ns_cur = None
-        replicas = 0
-        last = None
+        ns_cur, replicas, last = None, 0, None
         for b in batches:
             if b.num_rows == 0:
                 continue
-            d = {n: b.column(n).to_pylist() for n in (
-                "namespace", "id", "ts_us", "replicas", "user_id", "want_up", "want_down", "enable_auto_scale_up",
-                "enable_auto_scale_down", "min_replicas", "max_replicas", "quota_ok")}
+            d = {n: b.column(n).to_pylist() for n in _SCAN_COLS}
             n = b.num_rows
-            o_cur = np.zeros(n, dtype=np.int64)
-            o_tgt = np.zeros(n, dtype=np.int64)
-            o_act = np.empty(n, dtype=object)
-            o_rsn = np.empty(n, dtype=object)
+            o_cur, o_tgt, o_act, o_rsn = [0] * n, [0] * n, [None] * n, [None] * n
             for i in range(n):
-                ns = d["namespace"][i]
-                if ns != ns_cur:
-                    ns_cur, replicas, last = ns, int(d["replicas"][i]), None
+                if d["namespace"][i] != ns_cur:
+                    ns_cur, replicas, last = d["namespace"][i], int(d["replicas"][i]), None
                 cur = int(d["replicas"][i]) if static_current else replicas
                 ts = int(d["ts_us"][i])
-                o_cur[i] = cur
-                o_tgt[i] = cur
-                o_act[i] = "none"
-                if not (d["enable_auto_scale_up"][i] or d["enable_auto_scale_down"][i]):
-                    o_rsn[i] = "autoscaling disabled"
-                    continue
-                tgt = target(cur, bool(d["want_up"][i]), bool(d["want_down"][i]))
-                if tgt == cur:
-                    o_rsn[i] = "no change"
-                    continue
-                cool = cfg.scale_up_cooldown_s if tgt > cur else cfg.scale_down_cooldown_s
-                if last is not None and ts - last < cool * 1_000_000:
-                    o_rsn[i] = "cooldown"
-                    o_tgt[i] = tgt
-                    continue
-                tgt = max(min(tgt, int(d["max_replicas"][i])), int(d["min_replicas"][i]))
-                o_tgt[i] = tgt
-                user = d["user_id"][i]
-                q = d["quota_ok"][i]
-                if tgt > cur and user not in (None, "") and q is False:
-                    o_rsn[i] = "quota exceeded"
-                    continue
-                if tgt == cur and not parity_noop:
-                    o_rsn[i] = "at policy limit"
-                    continue
-                o_act[i] = "scale_up" if tgt > cur else ("scale_down" if tgt < cur else "noop_scale")
-                o_rsn[i] = "executed"
-                last = ts
-                if not static_current:
-                    replicas = tgt
+                tgt, act, rsn, done = decide(cur, last, ts, d["enable_auto_scale_up"][i], d["enable_auto_scale_down"][i],
+                                             d["want_up"][i], d["want_down"][i], d["min_replicas"][i],
+                                             d["max_replicas"][i], d["user_id"][i], d["quota_ok"][i], cfg, parity_noop)
+                o_cur[i], o_tgt[i], o_act[i], o_rsn[i] = cur, tgt, act, rsn
+                if done:
+                    last = ts
+                    if not static_current:
+                        replicas = tgt
             yield pa.RecordBatch.from_arrays(
-                [b.column("namespace"), b.column("id"), b.column("ts"), pa.array(o_cur), pa.array(o_tgt),
-                 pa.array(o_act.tolist(), pa.string()), pa.array(o_rsn.tolist(), pa.string())],
+                [b.column("namespace"), b.column("id"), b.column("ts"), pa.array(o_cur, pa.int64()),
+                 pa.array(o_tgt, pa.int64()), pa.array(o_act, pa.string()), pa.array(o_rsn, pa.string())],
                 names=["namespace", "id", "ts", "current_replicas", "target_replicas", "action", "reason"])
 
     return run

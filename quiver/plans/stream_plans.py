@@ -1 +1,91 @@
-"""Streaming jobs (filled in below)."""
+"""Streaming jobs, each checked as stream result = batch result (same oracle SQL)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quiver.operators.scaling import effective_policy
+from quiver.operators.tenants import quota_check
+from quiver.plans import index_plans as IP
+from quiver.plans import log_plans as LP
+from quiver.plans import metric_plans as MP
+from quiver.plans.registry import ORACLE, job
+from quiver.session import scratch_path
+from quiver.sources.fixtures import spark_view, with_views
+from quiver.streaming import ingest, scaler
+from quiver.streaming.logs import kube_log_stream
+from quiver.streaming.sources import idempotent_batch_writer, stage_files
+
+WEEKS = [0, 1, 2, 3]
+
+
+def v(spark, sf_dir, name):
+    return spark_view(spark, sf_dir, name)
+
+
+def _run(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+@job("I15_ivf_ingest_stream", with_views(
+    "SELECT c.cluster_id, CAST(count(a.vec_id) AS BIGINT) AS n FROM cent c LEFT JOIN assign a ON a.cluster_id = c.cluster_id GROUP BY c.cluster_id",
+    IP.SCALED_VIEWS, [IP.cent_cte(True), IP.assign_cte("l2", True)]), "stream")
+def i15(spark, sf_dir):
+    """Vectors arrive as four files, one micro-batch each; the lists are then counted."""
+    e, idx = IP.index_for(spark, sf_dir, "l2")
+    base = scratch_path(spark, "ivf-stream")
+    stage_files(e, f"{base}/in", F.floor(F.col("vec_id") / 128) % 4, WEEKS)
+    src = ingest.read_stream(spark, f"{base}/in", e.schema)
+    _run(ingest.ivf_ingest_stream(idx, src, f"{base}/lists", f"{base}/ckpt"))
+    from quiver.operators.ivf import ivf_list_sizes
+
+    return ivf_list_sizes(idx, spark.read.parquet(f"{base}/lists"))
+
+
+def _week(col="ts"):
+    return F.floor(F.dayofmonth(col) / 8)
+
+
+@job("S7_metrics_append_stream", ORACLE["S7_metrics_append"], "stream")
+def s7s(spark, sf_dir):
+    m = v(spark, sf_dir, "fx_metrics")
+    base = scratch_path(spark, "metrics-stream")
+    stage_files(m, f"{base}/in", _week(), WEEKS)
+    _run(ingest.metrics_append_stream(ingest.read_stream(spark, f"{base}/in", m.schema), f"{base}/out", f"{base}/ckpt"))
+    return spark.read.parquet(f"{base}/out")
+
+
+def namespace_inputs(spark, sf_dir):
+    deps = v(spark, sf_dir, "fx_ns_deployments")
+    pol = effective_policy(deps, v(spark, sf_dir, "fx_policies"))
+    q = quota_check(deps.select(F.col("user_id").alias("tenant_id")), v(spark, sf_dir, "fx_tenant_quota"))
+    return pol.join(q.select(F.col("tenant_id").alias("user_id"), F.col("allowed").alias("quota_ok")), "user_id", "left")
+
+
+@job("M13_scaling_recommendations_stream", MP.scan_sql(static=False), "stream")
+def m13s(spark, sf_dir):
+    """Metric samples arrive week by week; keyed state carries history, replicas and cooldown."""
+    m = v(spark, sf_dir, "fx_metrics")
+    base = scratch_path(spark, "scaler-stream")
+    stage_files(m, f"{base}/in", _week(), WEEKS)
+    decisions = scaler.scaling_stream(ingest.read_stream(spark, f"{base}/in", m.schema), namespace_inputs(spark, sf_dir))
+    q = decisions.writeStream.foreachBatch(idempotent_batch_writer(f"{base}/out", [])) \
+        .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start()
+    _run(q)
+    return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+@job("L6_log_enrich_stream", ORACLE["L6_log_enrich"], "stream")
+def l6s(spark, sf_dir):
+    lines = v(spark, sf_dir, "fx_logs")
+    base = scratch_path(spark, "log-stream")
+    stage_files(lines, f"{base}/in", F.col("line_no") % 3, [0, 1, 2], fmt="json")
+    src = ingest.read_stream(spark, f"{base}/in", lines.schema, fmt="json")
+    out = kube_log_stream(src, LP.HOST, LP.NODE).select("line_no", "hostname", "node_name", "kubernetes_ns",
+                                                       "kubernetes_pod", "kubernetes_container")
+    q = out.writeStream.foreachBatch(idempotent_batch_writer(f"{base}/out", [])) \
+        .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+    _run(q)
+    return spark.read.parquet(f"{base}/out").drop("batch_id")
