@@ -76,6 +76,105 @@ def score_matrix(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+_U = np.finfo(np.float64).eps / 2  # unit roundoff
+ROW_CHUNK = 2048
+
+
+def _seq_norms(a: np.ndarray) -> np.ndarray:
+    acc = np.zeros(a.shape[0])
+    for j in range(a.shape[1]):
+        acc += a[:, j] * a[:, j]
+    return acc
+
+
+def _pair_scores(r: np.ndarray, c: np.ndarray, metric: str, rn=None, cn=None) -> np.ndarray:
+    """Exact scores of aligned row pairs r[i] . c[i], summed over dimensions in order."""
+    acc = np.zeros(r.shape[0])
+    if metric == "l2":
+        for j in range(r.shape[1]):
+            diff = r[:, j] - c[:, j]
+            acc += diff * diff
+        return np.sqrt(acc)
+    for j in range(r.shape[1]):
+        acc += r[:, j] * c[:, j]
+    if metric == "dot":
+        return acc
+    denom = np.sqrt(rn) * np.sqrt(cn)
+    zero = (rn == 0) | (cn == 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = acc / denom
+    out[zero] = 0.0
+    return out
+
+
+def topk_exact(rows: np.ndarray, cols: np.ndarray, col_ids: np.ndarray, metric: str, k: int,
+               allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For every row, the k best columns by (exact score, column id).
+
+    A matrix product screens candidates; its rounding error is bounded
+    (|fl(x.y) - x.y| <= d u sum|x_i y_i|, padded 4x), so every column that
+    could belong to the exact top k stays a candidate.  Only candidates are
+    re-scored with the in-order sum, which is what the SQL expressions and
+    DuckDB compute.  Returns (column positions, raw scores), shape (r, k'),
+    k' = min(k, columns); positions are -1 where a row has fewer allowed columns.
+    """
+    r, d = rows.shape
+    m = cols.shape[0]
+    kk = min(k, m)
+    out_pos = np.full((r, kk), -1, dtype=np.int64)
+    out_raw = np.full((r, kk), np.nan)
+    if r == 0 or kk <= 0:
+        return out_pos, out_raw
+    asc = metric == "l2"
+    rn_all, cn = _seq_norms(rows), _seq_norms(cols)
+    c_len = np.sqrt(cn)
+    for s in range(0, r, ROW_CHUNK):
+        e = min(r, s + ROW_CHUNK)
+        x = rows[s:e]
+        rn = rn_all[s:e]
+        r_len = np.sqrt(rn)
+        dots = x @ cols.T
+        if metric == "l2":
+            key = rn[:, None] + cn[None, :] - 2.0 * dots            # squared distance
+            err = 4.0 * (d + 3) * _U * (r_len[:, None] + c_len[None, :]) ** 2
+        elif metric == "dot":
+            key = -dots
+            err = 4.0 * (d + 2) * _U * (r_len[:, None] * c_len[None, :])
+        else:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cos = dots / (r_len[:, None] * c_len[None, :])
+            cos[(rn[:, None] == 0) | (cn[None, :] == 0)] = 0.0
+            key = -cos
+            err = np.full(key.shape, 8.0 * (3 * d + 10) * _U)
+        if allowed is not None:
+            ok = allowed[s:e]
+            key = np.where(ok, key, np.inf)
+        else:
+            ok = None
+        finite = np.isfinite(key) | (key == np.inf)
+        bad_rows = ~finite.all(axis=1)
+        kth = np.partition(key, kk - 1, axis=1)[:, kk - 1]
+        emax = np.max(np.where(np.isfinite(key), err, 0.0), axis=1)
+        cand = (key - err) <= (kth + emax)[:, None]
+        cand &= np.isfinite(key)
+        if ok is not None:
+            cand &= ok
+        cand[bad_rows] = True if ok is None else ok[bad_rows]
+        ri, cj = np.nonzero(cand)
+        if len(ri) == 0:
+            continue
+        raw = _pair_scores(x[ri], cols[cj], metric, rn[ri], cn[cj])
+        skey = _sort_key(raw, asc)
+        order = np.lexsort((col_ids[cj], skey, ri))
+        ri, cj, raw = ri[order], cj[order], raw[order]
+        first = np.searchsorted(ri, np.arange(e - s))
+        pos_in_row = np.arange(len(ri)) - first[ri]
+        keep = pos_in_row < kk
+        out_pos[s + ri[keep], pos_in_row[keep]] = cj[keep]
+        out_raw[s + ri[keep], pos_in_row[keep]] = raw[keep]
+    return out_pos, out_raw
+
+
 def _sort_key(scores: np.ndarray, asc: bool) -> np.ndarray:
     """Key where smaller is better; NaN is the largest value, as in Spark."""
     key = scores if asc else -scores
@@ -125,27 +224,24 @@ def _partition_topk(bq, k: int, metric: str, id_col: str, vec_col: str, probe_co
                 continue
             ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
             x = arrow_vectors(batch.column(vec_col), qmat.shape[1])
-            lists = batch.column(probe_col).to_numpy(zero_copy_only=False) if probe_col else None
+            lists = batch.column(probe_col).to_numpy(zero_copy_only=False).astype(np.int64) if probe_col else None
             for s in range(0, m, QUERY_SLAB):
                 e = min(m, s + QUERY_SLAB)
-                if probes is None:
-                    sc = score_matrix(x, qmat[s:e], metric)
-                    for j in range(s, e):
-                        raw = sc[:, j - s]
-                        cand_ids = np.concatenate([best_ids[j], ids])
-                        cand_raw = np.concatenate([best_raw[j], raw])
-                        keep = best_k(_sort_key(cand_raw, asc), cand_ids, k)
-                        best_ids[j], best_raw[j] = cand_ids[keep], cand_raw[keep]
-                else:
-                    for j in range(s, e):
-                        mask = np.isin(lists, probes[j])
-                        if not mask.any():
-                            continue
-                        raw = score_matrix(x[mask], qmat[j:j + 1], metric)[:, 0]
-                        cand_ids = np.concatenate([best_ids[j], ids[mask]])
-                        cand_raw = np.concatenate([best_raw[j], raw])
-                        keep = best_k(_sort_key(cand_raw, asc), cand_ids, k)
-                        best_ids[j], best_raw[j] = cand_ids[keep], cand_raw[keep]
+                allowed = None
+                if probes is not None:
+                    allowed = np.stack([np.isin(lists, probes[j]) for j in range(s, e)])
+                    if not allowed.any():
+                        continue
+                pos, raw = topk_exact(qmat[s:e], x, ids, metric, k, allowed)
+                for j in range(s, e):
+                    p = pos[j - s]
+                    sel = p >= 0
+                    if not sel.any():
+                        continue
+                    cand_ids = np.concatenate([best_ids[j], ids[p[sel]]])
+                    cand_raw = np.concatenate([best_raw[j], raw[j - s][sel]])
+                    keep = best_k(_sort_key(cand_raw, asc), cand_ids, k)
+                    best_ids[j], best_raw[j] = cand_ids[keep], cand_raw[keep]
         lens = [len(b) for b in best_ids]
         if sum(lens) == 0:
             return
@@ -264,7 +360,6 @@ def nearest_centers(
     emit = [c for c in (keep_cols or []) if c != id_col]
     keep_cols = [c for c in emit if c != vec_col]
     bc = spark.sparkContext.broadcast((cids, cmat))
-    asc = ascending(metric)
     kk = max(0, min(k, len(cids)))
     src = df.select(id_col, vec_col, *keep_cols).where(F.col(vec_col).isNotNull())
     fields = {f.name: f.dataType.simpleString() for f in src.schema.fields}
@@ -276,11 +371,7 @@ def nearest_centers(
             if n == 0 or kk == 0:
                 continue
             x = arrow_vectors(batch.column(vec_col), mat.shape[1])
-            sc = score_matrix(x, mat, metric)
-            key = _sort_key(sc, asc)
-            # centers are sorted by id, so a stable sort on key breaks ties low-id first
-            order = np.argsort(key, axis=1, kind="stable")[:, :kk]
-            raw = np.take_along_axis(sc, order, axis=1)
+            order, raw = topk_exact(x, mat, ids_c, metric, kk)
             take = np.repeat(np.arange(n), kk)
             arrays = [batch.column(id_col).take(pa.array(take))]
             names = [id_col]

@@ -82,8 +82,9 @@ def ivf_add(index: IVFIndex, df: DataFrame, id_col: str = "vec_id", vec_col: str
     keep = list(keep_cols or [])
     src = df
     if dedupe_order:
-        w = Window.partitionBy(id_col).orderBy(F.col(dedupe_order).desc())
-        src = src.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        from quiver.operators.tenants import latest_per_key
+
+        src = latest_per_key(src, [id_col], [dedupe_order])
     src = src.select(F.col(id_col), F.col(vec_col).cast("array<double>").alias(vec_col), *keep)
     bad = F.size(vec_col) != F.lit(index.dimension)
     src = src.withColumn(vec_col, F.when(bad, F.raise_error(F.concat(
@@ -190,9 +191,9 @@ def ivf_save(index: IVFIndex, lists: DataFrame, path: str, mode: str = "overwrit
     spark.createDataFrame([(index.nlist, index.dimension, index.metric, index.trained)],
                           "nlist int, dimension int, metric string, trained boolean") \
         .write.mode(mode).parquet(f"{path}/params")
-    # One shuffle on the list id so each list is written by few tasks; AQE
-    # splits a skewed list over several.
-    lists.repartition("cluster_id").write.mode(mode).partitionBy("cluster_id").parquet(f"{path}/lists")
+    # REBALANCE on the list id: each list is written by few tasks, and AQE
+    # splits a hot list over several tasks (several files in its folder).
+    lists.hint("rebalance", "cluster_id").write.mode(mode).partitionBy("cluster_id").parquet(f"{path}/lists")
 
 
 def ivf_load(spark: SparkSession, path: str) -> tuple[IVFIndex, DataFrame]:

@@ -25,7 +25,7 @@ from quiver.operators.block import (
     check_block_size,
     collect_block,
     nearest_centers,
-    score_matrix,
+    topk_exact,
 )
 
 # Trainer defaults (iterations, relative-change threshold, seed, norm epsilon).
@@ -86,14 +86,19 @@ def _lloyd_partials(bc, bprev, nlist_ids, vec_col):
                 continue
             seen = True
             x = arrow_vectors(batch.column(vec_col), d)
-            near = np.argmin(score_matrix(x, mat, "l2"), axis=1)  # first minimum = lowest id
+            near = topk_exact(x, mat, cids, "l2", 1)[0][:, 0]           # ties -> lowest id
             if prev is None:
                 before = np.zeros(len(near), dtype=np.int64)   # fresh assignment array is all zeros
+            elif not changed:
+                before = topk_exact(x, prev, cids, "l2", 1)[0][:, 0]
             else:
-                before = np.argmin(score_matrix(x, prev, "l2"), axis=1)
+                before = near
             changed = changed or bool((near != before).any())
             counts += np.bincount(near, minlength=m)
-            np.add.at(sums, near, x)
+            order = np.argsort(near, kind="stable")
+            sn = near[order]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(sn)) + 1])
+            sums[sn[starts]] += np.add.reduceat(x[order], starts, axis=0)
         if not seen:
             return
         nz = np.nonzero(counts)[0]

@@ -46,10 +46,13 @@ def soft_delete(containers: DataFrame, requests: DataFrame, key_cols: list[str],
 
 
 def upsert(current: DataFrame, changes: DataFrame, key_cols: list[str], order_cols: list[str]) -> DataFrame:
-    """T4: insert-or-replace by key; the newest version (by ``order_cols`` desc) wins."""
+    """T4: insert-or-replace by key; the newest version (greatest ``order_cols``, NULL oldest) wins.
+
+    A hash aggregate (``max_by``) rather than a window: partial aggregation
+    collapses a hot key map-side instead of sorting all its versions in one task.
+    """
     allrows = current.unionByName(changes, allowMissingColumns=True)
-    w = Window.partitionBy(*key_cols).orderBy(*[F.col(c).desc_nulls_last() for c in order_cols])
-    return allrows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return latest_per_key(allrows, key_cols, order_cols)
 
 
 def cluster_listing(deployments: DataFrame, replicas: DataFrame) -> DataFrame:

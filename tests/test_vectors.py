@@ -99,3 +99,24 @@ def test_knn_join_chunks_queries_beyond_budget(spark):
     key = lambda r: (r.query_id, r["rank"])
     assert sorted(full, key=key) == sorted(tiny, key=key)
     assert all(r.vec_id == r.query_id for r in full if r["rank"] == 1)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_screened_topk_equals_brute_force(metric, seed):
+    from quiver.operators.block import _sort_key, topk_exact
+
+    rng = np.random.default_rng(seed)
+    rows = rng.normal(size=(300, 24)).astype(np.float32).astype(np.float64)
+    cols = rng.normal(size=(180, 24)).astype(np.float32).astype(np.float64) * rng.uniform(0.1, 10, size=(180, 1))
+    cols[10] = cols[3]                      # exact duplicates -> ties broken by id
+    cols[50] = 0.0                          # zero vector (cosine = 0)
+    rows[7] = cols[3]                       # a row equal to a column (distance 0)
+    ids = rng.permutation(1000)[:180]
+    pos, raw = topk_exact(rows, cols, ids, metric, 7)
+    full = score_matrix(rows, cols, metric)
+    for i in range(rows.shape[0]):
+        key = _sort_key(full[i], metric == "l2")
+        order = np.lexsort((ids, key))[:7]
+        assert list(pos[i]) == list(order)
+        assert np.array_equal(raw[i], full[i][order])
