@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quiver.functions.text import parse_cpu, parse_memory_mib, parse_percent
 from quiver.operators.tenants import latest_per_key
+from quiver.operators.windows import descending_position
 
 # The ten deployment stages a report can carry.
 REPORT_STAGES = ["starting", "namespace_created", "gitlab_pulled", "k8s_applied", "resources_configured",
@@ -40,8 +41,7 @@ def report_status_counts(reports: DataFrame, stages: list[str] = REPORT_STAGES)
 
 def report_history(reports: DataFrame, text_cols: list[str]) -> DataFrame:
     """A5: newest-first position per (user, service); missing text fields shown as ``N/A``."""
-    w = Window.partitionBy("user_id", "service_name").orderBy(F.col("ts").desc(), F.col("id").desc())
-    out = reports.withColumn("position", F.row_number().over(w))
+    out = descending_position(reports, ["user_id", "service_name"], "ts", "id")
     for c in text_cols:
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit("N/A")))
     return out

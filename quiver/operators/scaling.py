@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiver.operators.windows import DEFAULT_BUCKET_SECONDS, epoch_micros, range_history, rows_history
+
 # Autoscaler defaults.
 @dataclass(frozen=True)
 class ScalerConfig:
@@ -48,11 +50,6 @@ TREND = {"cpu_usage": "cpu_trend", "memory_usage": "memory_trend", "disk_usage":
 ADJ = {"cpu_usage": "adj_cpu", "memory_usage": "adj_memory", "disk_usage": "adj_disk", "qps": "adj_qps"}
 
 
-def epoch_micros(ts: Column) -> Column:
-    """Microseconds since the epoch of a TIMESTAMP_NTZ (no time-zone shift)."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
-
-
 def load_class(cpu: Column, mem: Column) -> Column:
     """M1."""
     return (F.when((cpu > HIGH_LOAD) | (mem > HIGH_LOAD), F.lit("high_load"))
@@ -66,25 +63,23 @@ def status_refresh(latest: DataFrame, deployments: DataFrame) -> DataFrame:
     return j.withColumn("load_class", load_class(F.col("cpu_usage"), F.col("memory_usage")))
 
 
-def _hist_window(cfg: ScalerConfig = ScalerConfig()):
-    return Window.partitionBy("namespace").orderBy("ts", "id").rowsBetween(-(cfg.history - 1), 0)
-
-
-def metric_history(metrics: DataFrame, cfg: ScalerConfig = ScalerConfig()) -> DataFrame:
+def metric_history(metrics: DataFrame, cfg: ScalerConfig = ScalerConfig(),
+                   bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """M3: per sample, the size of its last-5 history and that history's first sample."""
-    w = _hist_window(cfg)
-    return metrics.withColumn("hist_n", F.count(F.lit(1)).over(w)) \
-        .withColumn("hist_first_id", F.first("id").over(w))
+    ext, w = rows_history(metrics, ["namespace"], ["ts", "id"], cfg.history, bucket_seconds=bucket_seconds)
+    out = ext.withColumn("hist_n", F.count(F.lit(1)).over(w)).withColumn("hist_first_id", F.first("id").over(w))
+    return out.where("_own").drop("_own", "_b")
 
 
-def metric_trend(metrics: DataFrame, cfg: ScalerConfig = ScalerConfig()) -> DataFrame:
+def metric_trend(metrics: DataFrame, cfg: ScalerConfig = ScalerConfig(),
+                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """M4: mean successive difference over the history = (last - first) / (n - 1); 0 if n < 2."""
-    w = _hist_window(cfg)
-    out = metrics.withColumn("hist_n", F.count(F.lit(1)).over(w))
+    ext, w = rows_history(metrics, ["namespace"], ["ts", "id"], cfg.history, bucket_seconds=bucket_seconds)
+    out = ext.withColumn("hist_n", F.count(F.lit(1)).over(w))
     for m in METRICS:
         out = out.withColumn(TREND[m], F.when(F.col("hist_n") < 2, F.lit(0.0)).otherwise(
             (F.col(m) - F.first(m).over(w)) / (F.col("hist_n") - 1)))
-    return out
+    return out.where("_own").drop("_own", "_b")
 
 
 def trend_adjust(df: DataFrame) -> DataFrame:
@@ -245,22 +240,25 @@ def metric_retention(metrics: DataFrame, days: int = RETENTION_DAYS) -> DataFram
     return metrics.where(F.col("ts") >= newest - F.expr(f"INTERVAL {days} DAYS"))
 
 
-def counter_rate(counters: DataFrame, seconds: int = 300, key: str = "namespace") -> DataFrame:
+def counter_rate(counters: DataFrame, seconds: int = 300, key: str = "namespace",
+                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Per-second increase of a counter over a look-back range, reset-aware, no extrapolation.
 
     inc_i = c_i - c_{i-1}, or c_i after a reset (c_i < c_{i-1}); the rate at a
-    sample sums the increments whose both ends lie in (t - seconds, t] and
-    divides by the covered span.
+    sample sums the increments inside [t - seconds, t] except the first one
+    (whose other end lies outside) and divides by the covered span.  Windows
+    run per (key, time bucket) with a ``seconds`` halo, so a hot key is split.
     """
-    w = Window.partitionBy(key).orderBy("ts", "id")
-    secs = epoch_micros(F.col("ts")) / 1_000_000.0
+    ext = range_history(counters, [key], "ts", seconds, max(bucket_seconds, seconds))
+    w = Window.partitionBy(key, "_b").orderBy("ts", "id")
     prev = F.lag("counter").over(w)
     inc = F.when(prev.isNull(), F.lit(0)).when(F.col("counter") < prev, F.col("counter")).otherwise(F.col("counter") - prev)
-    df = counters.withColumn("_inc", inc.cast("double")).withColumn("_s", secs)
-    rw = Window.partitionBy(key).orderBy("_s").rangeBetween(-seconds, 0)
+    df = ext.withColumn("_inc", inc.cast("double")).withColumn("_s", epoch_micros(F.col("ts")) / 1_000_000.0)
+    rw = Window.partitionBy(key, "_b").orderBy("_s").rangeBetween(-seconds, 0)
     span = F.col("_s") - F.min("_s").over(rw)
     total = F.sum("_inc").over(rw) - F.first("_inc").over(rw)
-    return df.withColumn("rate", F.when(span > 0, total / span)).drop("_inc", "_s")
+    out = df.withColumn("rate", F.when(span > 0, total / span))
+    return out.where("_own").drop("_inc", "_s", "_own", "_b")
 
 
 def disk_used_pct(df: DataFrame, size_col: str = "size_bytes", avail_col: str = "avail_bytes") -> Column:
