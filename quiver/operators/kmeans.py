@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -111,25 +112,25 @@ def _lloyd_partials(bc, bprev, nlist_ids, vec_col):
     return run
 
 
-def lloyd_step(data: DataFrame, centroids: DataFrame, vec_col: str = "embedding",
-               previous: DataFrame | None = None,
-               broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """C2 + C3: ``(cluster_id, n, centroid, changed)`` for non-empty clusters.
+def lloyd_partials(data: DataFrame, cids: np.ndarray, mat: np.ndarray, prev: np.ndarray | None = None,
+                   vec_col: str = "embedding", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+                   reduce_on_driver: bool = False) -> DataFrame:
+    """C2 + C3 from driver-side centroids: ``(cluster_id, n, centroid, changed)`` for non-empty clusters.
 
     ``changed`` is true when any row's nearest centroid differs from its
-    nearest under ``previous`` (or from cluster 0 on the first round).
+    nearest under ``prev`` (or from cluster 0 on the first round).  With
+    ``reduce_on_driver`` the raw per-task partial sums are returned instead
+    (for callers that have checked partitions x nlist x d is small).
     """
     spark = data.sparkSession
-    cids, mat = collect_block(centroids, "cluster_id", "centroid")
     if check_block_size(len(cids), mat.shape[1], broadcast_bytes) > 1:
         raise ValueError("centroid table exceeds the broadcast budget")
-    bc = spark.sparkContext.broadcast((cids, mat))
-    bprev = None
-    if previous is not None:
-        pids, pmat = collect_block(previous, "cluster_id", "centroid")
-        bprev = spark.sparkContext.broadcast(pmat)
+    bc = spark.sparkContext.broadcast((np.asarray(cids), np.asarray(mat)))
+    bprev = spark.sparkContext.broadcast(np.asarray(prev)) if prev is not None else None
     parts = data.select(vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(
         _lloyd_partials(bc, bprev, cids, vec_col), "cluster_id long, n long, s array<double>, changed boolean")
+    if reduce_on_driver:
+        return parts
     agg = (parts.groupBy("cluster_id")
            .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"), F.max("changed").alias("changed")))
     return agg.select(
@@ -139,6 +140,29 @@ def lloyd_step(data: DataFrame, centroids: DataFrame, vec_col: str = "embedding"
     )
 
 
+def lloyd_step(data: DataFrame, centroids: DataFrame, vec_col: str = "embedding",
+               previous: DataFrame | None = None,
+               broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """C2 + C3 from a centroid table (collected after a size check)."""
+    cids, mat = collect_block(centroids, "cluster_id", "centroid")
+    prev = collect_block(previous, "cluster_id", "centroid")[1] if previous is not None else None
+    return lloyd_partials(data, cids, mat, prev, vec_col, broadcast_bytes)
+
+
+def _reduce_partials(tbl: pa.Table) -> tuple[dict, bool]:
+    if tbl.num_rows == 0:
+        return {}, False
+    cid = tbl.column("cluster_id").to_numpy()
+    n = tbl.column("n").to_numpy()
+    sums = arrow_vectors(tbl.column("s"))
+    changed = bool(pa.compute.any(tbl.column("changed")).as_py())
+    out = {}
+    for c in np.unique(cid):
+        m = cid == c
+        out[int(c)] = sums[m].sum(axis=0) / n[m].sum()
+    return out, changed
+
+
 def reseed_empty(data: DataFrame, empty_ids: list[int], seed: int, iteration: int, id_col: str = "vec_id",
                  vec_col: str = "embedding") -> DataFrame:
     """C4: empty clusters take distinct rows in seeded order: ``(cluster_id, <id_col>, centroid)``."""
@@ -201,21 +225,26 @@ def kmeans_train(df: DataFrame, nlist: int, max_iterations: int = MAX_ITERATIONS
             raise ValueError("Number of vectors must be >= nlist")
         init = kmeans_init(data, nlist, seed, id_col, vec_col)
         ids, mat = collect_block(init, "cluster_id", "centroid")
-        prev_df = None
-        cent_df = centroid_frame(spark, ids, mat)
+        prev = None
+        # Partial sums are at most partitions x nlist rows of d doubles: reduce them
+        # on the driver when that is provably small, else with a Spark aggregation.
+        nparts = data.rdd.getNumPartitions()
+        on_driver = nparts * len(ids) * (mat.shape[1] + 3) * 8 <= DEFAULT_BROADCAST_BYTES
         for it in range(max_iterations):
-            step = lloyd_step(data, cent_df, vec_col, previous=prev_df).collect()
-            changed = any(r["changed"] for r in step)
-            got = {int(r["cluster_id"]): np.asarray(r["centroid"], dtype=np.float64) for r in step}
+            if on_driver:
+                got, changed = _reduce_partials(lloyd_partials(data, ids, mat, prev, vec_col, reduce_on_driver=True).toArrow())
+            else:
+                step = lloyd_partials(data, ids, mat, prev, vec_col).toArrow()
+                changed = bool(pa.compute.any(step.column("changed")).as_py()) if step.num_rows else False
+                got = dict(zip(step.column("cluster_id").to_pylist(), arrow_vectors(step.column("centroid"))))
             empty = [int(c) for c in ids if int(c) not in got]
             if empty:
                 for r in reseed_empty(data, empty, seed, it + 1, id_col, vec_col).collect():
                     got[int(r["cluster_id"])] = np.asarray(r["centroid"], dtype=np.float64)
             new = np.stack([got[int(c)] for c in ids])
-            new_df = centroid_frame(spark, ids, new)
             if not changed or relative_change(mat, new) < threshold:
-                return TrainResult(new_df, it + 1, True, n)
-            prev_df, cent_df, mat = cent_df, new_df, new
-        return TrainResult(cent_df, max_iterations, False, n)
+                return TrainResult(centroid_frame(spark, ids, new), it + 1, True, n)
+            prev, mat = mat, new
+        return TrainResult(centroid_frame(spark, ids, mat), max_iterations, False, n)
     finally:
         data.unpersist()

@@ -23,7 +23,7 @@ def containers_by_org(containers: DataFrame, orgs: DataFrame | None = None, org_
     live = containers.where(~F.col("deleted"))
     if orgs is None:
         return live
-    return live.join(orgs.select(org_col).distinct(), org_col, "left_semi")
+    return live.join(orgs.select(org_col), org_col, "left_semi")
 
 
 def key_lookup(keys: DataFrame, table: DataFrame, key_cols: list[str]) -> DataFrame:
