@@ -334,6 +334,23 @@ def _empty_topk(spark: SparkSession, id_col: str) -> DataFrame:
     return spark.createDataFrame([], f"query_id long, {id_col} long, raw double, rank int")
 
 
+def _nearest_centers_blocked(df, centers, k, metric, id_col, vec_col, center_id_col, center_vec_col,
+                             keep_cols, n_centers, per_block):
+    """Centers beyond the broadcast budget: best k per block of ``per_block`` centers (each
+    block collected and broadcast in turn, one scan each), then the best k per row over all
+    blocks (one shuffle of rows x k x blocks candidates, never rows x centers)."""
+    rn = F.row_number().over(Window.orderBy(F.col(center_id_col))) - 1
+    numbered = centers.select(center_id_col, center_vec_col, F.floor(rn / per_block).alias("_blk"))
+    parts = None
+    for b in range(math.ceil(n_centers / per_block)):
+        cids, cmat = collect_block(numbered.where(F.col("_blk") == b), center_id_col, center_vec_col)
+        part = _nearest_arrays(df, cids, cmat, k, metric, id_col, vec_col, center_id_col, keep_cols)
+        parts = part if parts is None else parts.unionByName(part)
+    order = F.col("raw").asc_nulls_last() if ascending(metric) else F.col("raw").desc_nulls_first()
+    w = Window.partitionBy(id_col).orderBy(order, F.col(center_id_col).asc())
+    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def nearest_centers(
     df: DataFrame,
     centers: DataFrame,
@@ -354,9 +371,18 @@ def nearest_centers(
     """
     metric = normalize_metric(metric)
     spark = df.sparkSession
+    stats = centers.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(center_vec_col)).alias("d")).first()
+    n_centers, dim = int(stats["n"]), int(stats["d"] or 0)
+    if check_block_size(n_centers, dim, broadcast_bytes) > 1:
+        per_block = max(1, broadcast_bytes // (max(dim, 1) * 8))
+        return _nearest_centers_blocked(df, centers, k, metric, id_col, vec_col, center_id_col, center_vec_col,
+                                        keep_cols, n_centers, per_block)
     cids, cmat = collect_block(centers, center_id_col, center_vec_col)
-    if len(cids) and check_block_size(len(cids), cmat.shape[1], broadcast_bytes) > 1:
-        raise ValueError("center table exceeds the broadcast budget; lower nlist or raise broadcast_bytes")
+    return _nearest_arrays(df, cids, cmat, k, metric, id_col, vec_col, center_id_col, keep_cols)
+
+
+def _nearest_arrays(df, cids, cmat, k, metric, id_col, vec_col, center_id_col, keep_cols):
+    spark = df.sparkSession
     emit = [c for c in (keep_cols or []) if c != id_col]
     keep_cols = [c for c in emit if c != vec_col]
     bc = spark.sparkContext.broadcast((cids, cmat))

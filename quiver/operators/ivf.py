@@ -27,6 +27,7 @@ from quiver.operators.block import (
     _sort_key,
     best_k,
     block_topk,
+    check_block_size,
     collect_block,
     nearest_centers,
     score_matrix,
@@ -112,6 +113,8 @@ def probe_one(index: IVFIndex, vector, nprobe: int) -> list[int]:
     index.require_trained()
     if nprobe < 0:
         raise ValueError("nprobe must be >= 0")
+    if check_block_size(index.nlist, index.dimension, DEFAULT_BROADCAST_BYTES) > 1:
+        raise ValueError("centroid table too large to rank on the driver; use ivf_search_batch")
     ids, mat = collect_block(index.centroids, "cluster_id", "centroid")
     q = np.asarray(vector, dtype=np.float64)[None, :]
     if q.shape[1] != index.dimension:
@@ -224,8 +227,12 @@ def ann(index: IVFIndex, lists: DataFrame, vector, field: str = "vector", algori
 
 
 def hits_to_docs(docs: DataFrame, hits: DataFrame, doc_key: str = "doc_id") -> DataFrame:
-    """Documents restricted to the hits, keeping rank and score (hits are k rows)."""
-    return docs.join(F.broadcast(hits), doc_key, "inner")
+    """Documents restricted to the hits, keeping rank and score.
+
+    No broadcast hint: k hits of one query are tiny and Spark's size estimate
+    broadcasts them, while a large batch of hits falls back to a shuffle join.
+    """
+    return docs.join(hits, doc_key, "inner")
 
 
 def train_job(df: DataFrame, table_name: str, column: str, nlist: int = DEFAULT_NLIST, metric: str = "l2",

@@ -120,3 +120,15 @@ def test_screened_topk_equals_brute_force(metric, seed):
         order = np.lexsort((ids, key))[:7]
         assert list(pos[i]) == list(order)
         assert np.array_equal(raw[i], full[i][order])
+
+
+def test_nearest_centers_blocked_equals_single_block(spark):
+    from quiver.operators.block import nearest_centers
+
+    df, x = _random(spark, 120, 8, 9)
+    centers = df.where("vec_id < 40").select(F.col("vec_id").alias("cluster_id"), F.col("embedding").cast("array<double>").alias("centroid"))
+    one = nearest_centers(df, centers, 3, "l2").collect()
+    many = nearest_centers(df, centers, 3, "l2", broadcast_bytes=8 * 8 * 7).collect()   # ~7 centers per block
+    key = lambda r: (r.vec_id, r["rank"])
+    assert [(r.vec_id, r["rank"], r.cluster_id, r.raw) for r in sorted(one, key=key)] == \
+        [(r.vec_id, r["rank"], r.cluster_id, r.raw) for r in sorted(many, key=key)]
