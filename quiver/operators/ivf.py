@@ -199,6 +199,20 @@ def ivf_save(index: IVFIndex, lists: DataFrame, path: str, mode: str = "overwrit
     lists.hint("rebalance", "cluster_id").write.mode(mode).partitionBy("cluster_id").parquet(f"{path}/lists")
 
 
+def compact_lists(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Rewrite streamed lists (many small ``batch_id`` files per list) as one folder per list.
+
+    Latest version per doc_id wins, so a re-sent vector replaces the old one.
+    """
+    lists = spark.read.parquet(path)
+    if "batch_id" in lists.columns:
+        from quiver.operators.tenants import latest_per_key
+
+        lists = latest_per_key(lists, ["doc_id"], ["batch_id"]).drop("batch_id")
+    lists.hint("rebalance", "cluster_id").write.mode("overwrite").partitionBy("cluster_id").parquet(target)
+    return spark.read.parquet(target)
+
+
 def ivf_load(spark: SparkSession, path: str) -> tuple[IVFIndex, DataFrame]:
     p = spark.read.parquet(f"{path}/params").first()
     cent = spark.read.parquet(f"{path}/centroids")

@@ -38,11 +38,8 @@ NORM_EPSILON = 1e-8
 
 def centroid_frame(spark: SparkSession, ids, mat: np.ndarray) -> DataFrame:
     """A (cluster_id, centroid) table from driver-side arrays (nlist x d, bounded)."""
-    tbl = pa.table({
-        "cluster_id": pa.array(np.asarray(ids, dtype=np.int64)),
-        "centroid": pa.array([row for row in np.asarray(mat, dtype=np.float64)], pa.list_(pa.float64())),
-    })
-    return spark.createDataFrame(tbl.to_pandas(), "cluster_id long, centroid array<double>")
+    rows = [(int(i), [float(v) for v in row]) for i, row in zip(ids, np.asarray(mat, dtype=np.float64))]
+    return spark.createDataFrame(rows, "cluster_id long, centroid array<double>")
 
 
 def seeded_order(seed: int, *parts) -> F.Column:
@@ -248,3 +245,28 @@ def kmeans_train(df: DataFrame, nlist: int, max_iterations: int = MAX_ITERATIONS
         return TrainResult(centroid_frame(spark, ids, mat), max_iterations, False, n)
     finally:
         data.unpersist()
+
+
+def kmeans_train_ml(df: DataFrame, nlist: int, max_iterations: int = MAX_ITERATIONS, seed: int = SEED,
+                    vec_col: str = "embedding", tol: float = 1e-4) -> TrainResult:
+    """C6 fast path on ``pyspark.ml.clustering.KMeans`` (random init).
+
+    Different initial rows and stopping rule (centroid movement < tol) from
+    :func:`kmeans_train`, so centroids differ; kept for very large inputs
+    where MLlib's implementation is preferred.
+    """
+    from pyspark.ml.clustering import KMeans
+
+    data = df.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features")) \
+        .where(F.col("features").isNotNull())
+    n = data.count()
+    if n == 0:
+        raise ValueError("Training vectors cannot be empty")
+    if n < nlist:
+        raise ValueError("Number of vectors must be >= nlist")
+    model = KMeans(k=nlist, maxIter=max_iterations, seed=seed, initMode="random", tol=tol,
+                   featuresCol="features").fit(data)
+    centers = [np.asarray(c, dtype=np.float64) for c in model.clusterCenters()]
+    iters = model.summary.numIter if model.hasSummary else max_iterations
+    return TrainResult(centroid_frame(df.sparkSession, list(range(len(centers))), np.stack(centers)), iters,
+                       iters < max_iterations, n)

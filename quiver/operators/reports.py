@@ -24,7 +24,9 @@ def latest_metrics(metrics: DataFrame, key: str = "namespace") -> DataFrame:
 
 def latest_report(reports: DataFrame, time_col: str = "report_time") -> DataFrame:
     """A2: newest report per (user, service); rows whose RFC3339 time does not parse are skipped."""
-    parsed = reports.withColumn("_t", F.try_to_timestamp(F.col(time_col), F.lit(RFC3339_PATTERN)))
+    # TIMESTAMP_NTZ after a shape check: independent of the session time zone
+    ok = F.col(time_col).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$")
+    parsed = reports.withColumn("_t", F.when(ok, F.to_timestamp_ntz(F.col(time_col), F.lit(RFC3339_PATTERN))))
     ok = parsed.where(F.col("_t").isNotNull())
     out = latest_per_key(ok, ["user_id", "service_name"], ["_t", "id"])
     return out.drop("_t")

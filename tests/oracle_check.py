@@ -76,7 +76,10 @@ def main(argv):
 
     import __spark_entry__ as E
 
-    spark = get_session("local[8]", conf={"spark.sql.shuffle.partitions": "8"})
+    import json
+
+    conf = {"spark.sql.shuffle.partitions": "8", **json.loads(os.environ.get("ORACLE_CONF", "{}"))}
+    spark = get_session("local[8]", conf=conf)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     jobs, oracle = E.queries(), E.oracle_sql()

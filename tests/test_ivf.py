@@ -144,3 +144,31 @@ def test_stats(trained):
     assert s.nlist == 10 and s.dimension == 128 and s.metric_type == "l2" and s.is_trained
     assert s.total_vectors == 100 and s.min_cluster_size <= s.max_cluster_size
     assert abs(s.avg_cluster_size - 10.0) < 1e-9
+
+
+def test_kmeans_ml_fast_path(spark):
+    from quiver.operators.kmeans import kmeans_train_ml
+
+    df, _ = frame(spark, 100, 10, 11)
+    res = kmeans_train_ml(df, 5)
+    assert res.centroids.count() == 5
+
+
+def test_stream_ingest_then_compact(spark):
+    from quiver.streaming import ingest
+    from quiver.streaming.sources import stage_files
+
+    train, _ = frame(spark, 200, 16, 51)
+    idx = I.ivf_train(train, nlist=4)
+    add, _ = frame(spark, 60, 16, 52)
+    add = add.select("vec_id", "embedding")
+    base = scratch_path(spark, "test-ingest")
+    stage_files(add, f"{base}/in", F.col("vec_id") % 3, [0, 1, 2])
+    q = ingest.ivf_ingest_stream(idx, ingest.read_stream(spark, f"{base}/in", add.schema), f"{base}/lists", f"{base}/ckpt")
+    q.awaitTermination()
+    lists = spark.read.parquet(f"{base}/lists")
+    assert lists.count() == 60 and lists.select("batch_id").distinct().count() >= 3
+    compact = I.compact_lists(spark, f"{base}/lists", f"{base}/compact")
+    assert compact.count() == 60 and "batch_id" not in compact.columns
+    batch = I.ivf_add(idx, add).select("doc_id", "cluster_id")
+    assert sorted(compact.select("doc_id", "cluster_id").collect()) == sorted(batch.collect())
