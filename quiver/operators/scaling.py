@@ -219,15 +219,15 @@ def scaling_scan(inputs: DataFrame, cfg: ScalerConfig = ScalerConfig(), parity_n
 
     Memory per task is one namespace's state; the sort spills like any Spark sort.
     """
-    spark = inputs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = ["namespace", "id", "ts", "replicas", "user_id", "want_up", "want_down", "enable_auto_scale_up",
             "enable_auto_scale_down", "min_replicas", "max_replicas", "quota_ok"]
     src = inputs.select(*cols, epoch_micros(F.col("ts")).alias("ts_us")) \
         .withColumn("replicas", F.col("replicas").cast("long")) \
         .withColumn("min_replicas", F.col("min_replicas").cast("long")) \
         .withColumn("max_replicas", F.col("max_replicas").cast("long"))
-    ordered = src.repartition(n, "namespace").sortWithinPartitions("namespace", "ts", "id")
+    # No explicit count unless asked: AQE then sizes (coalesces) the partitions.
+    parted = src.repartition(partitions, "namespace") if partitions else src.repartition("namespace")
+    ordered = parted.sortWithinPartitions("namespace", "ts", "id")
     ts_type = dict(inputs.dtypes)["ts"]
     schema = (f"namespace string, id long, ts {ts_type}, current_replicas long, target_replicas long, "
               "action string, reason string")

@@ -29,6 +29,21 @@ def _run(q):
         raise RuntimeError(str(q.exception()))
 
 
+class state_partitions:
+    """Size the state store of a new stateful stream (fixed at its first batch) to the
+    cluster's parallelism instead of an arbitrary session-wide shuffle setting."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.spark.sparkContext.defaultParallelism))
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+
+
 @job("I15_ivf_ingest_stream", with_views(
     "SELECT c.cluster_id, CAST(count(a.vec_id) AS BIGINT) AS n FROM cent c LEFT JOIN assign a ON a.cluster_id = c.cluster_id GROUP BY c.cluster_id",
     IP.SCALED_VIEWS, [IP.cent_cte(True), IP.assign_cte("l2", True)]), "stream")
@@ -71,9 +86,10 @@ def m13s(spark, sf_dir):
     base = scratch_path(spark, "scaler-stream")
     stage_files(m, f"{base}/in", _week(), WEEKS)
     decisions = scaler.scaling_stream(ingest.read_stream(spark, f"{base}/in", m.schema), namespace_inputs(spark, sf_dir))
-    q = decisions.writeStream.foreachBatch(idempotent_batch_writer(f"{base}/out", [])) \
-        .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start()
-    _run(q)
+    with state_partitions(spark):
+        q = decisions.writeStream.foreachBatch(idempotent_batch_writer(f"{base}/out", [])) \
+            .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start()
+        _run(q)
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
