@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import ascending, normalize_metric
+from quiver.session import ship_package
 
 # Largest query / centroid block shipped to tasks in one broadcast.
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -279,6 +280,7 @@ def block_topk(
     """
     metric = normalize_metric(metric)
     spark: SparkSession = corpus.sparkSession
+    ship_package(spark)
     query_vec_col = query_vec_col or vec_col
     if k <= 0:
         return _empty_topk(spark, id_col)
@@ -383,6 +385,7 @@ def nearest_centers(
 
 def _nearest_arrays(df, cids, cmat, k, metric, id_col, vec_col, center_id_col, keep_cols):
     spark = df.sparkSession
+    ship_package(spark)
     emit = [c for c in (keep_cols or []) if c != id_col]
     keep_cols = [c for c in emit if c != vec_col]
     bc = spark.sparkContext.broadcast((cids, cmat))

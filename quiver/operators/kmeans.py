@@ -20,6 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiver.session import ship_package
 from quiver.operators.block import (
     DEFAULT_BROADCAST_BYTES,
     arrow_vectors,
@@ -120,6 +121,7 @@ def lloyd_partials(data: DataFrame, cids: np.ndarray, mat: np.ndarray, prev: np.
     (for callers that have checked partitions x nlist x d is small).
     """
     spark = data.sparkSession
+    ship_package(spark)
     if check_block_size(len(cids), mat.shape[1], broadcast_bytes) > 1:
         raise ValueError("centroid table exceeds the broadcast budget")
     bc = spark.sparkContext.broadcast((np.asarray(cids), np.asarray(mat)))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiver.session import ship_package
 from quiver.operators.windows import DEFAULT_BUCKET_SECONDS, epoch_micros, range_history, rows_history
 
 # Autoscaler defaults.
@@ -219,6 +220,7 @@ def scaling_scan(inputs: DataFrame, cfg: ScalerConfig = ScalerConfig(), parity_n
 
     Memory per task is one namespace's state; the sort spills like any Spark sort.
     """
+    ship_package(inputs.sparkSession)
     cols = ["namespace", "id", "ts", "replicas", "user_id", "want_up", "want_down", "enable_auto_scale_up",
             "enable_auto_scale_down", "min_replicas", "max_replicas", "quota_ok"]
     src = inputs.select(*cols, epoch_micros(F.col("ts")).alias("ts_us")) \

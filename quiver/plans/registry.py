@@ -29,6 +29,10 @@ def normalize(df: DataFrame) -> DataFrame:
 def job(name: str, oracle: str | None = None, tag: str = ""):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from quiver.session import checkpoint_dir, ship_package
+
+            checkpoint_dir(spark)
+            ship_package(spark)
             return normalize(fn(spark, sf_dir))
 
         run.__name__ = fn.__name__

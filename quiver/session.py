@@ -30,9 +30,37 @@ def get_session(master: str | None = None, app: str = "quiver", conf: dict | Non
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quiver`` importable in executor Python workers (``addPyFile`` of a zip of the
+    package, once per application) - the programmatic form of ``spark-submit --py-files``."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import quiver
+
+    pkg = os.path.dirname(os.path.abspath(quiver.__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="quiver-pkg-"), "quiver.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -79,4 +107,4 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
     return sorted(st.getPath().getName() for st in fs.listStatus(jpath))
 
 
-__all__ = ["get_session", "checkpoint_dir", "scratch_path", "path_exists", "list_dir", "local_path"]
+__all__ = ["get_session", "checkpoint_dir", "ship_package", "scratch_path", "path_exists", "list_dir", "local_path"]

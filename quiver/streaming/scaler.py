@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quiver.session import ship_package
 from quiver.operators.scaling import METRICS, QPS_TREND_LIMIT, TREND_LIMIT, ScalerConfig, decide, epoch_micros
 
 STATE_SCHEMA = ("replicas long, last_us long, seen_us long, seen_id long, h_cpu_usage array<double>, "
@@ -70,6 +71,7 @@ def scaling_stream(metrics: DataFrame, namespace_inputs: DataFrame, cfg: ScalerC
                    parity_noop: bool = False) -> DataFrame:
     """Streaming M13: ``metrics`` is a stream of samples; ``namespace_inputs`` the static
     per-namespace deployment, effective policy and quota flag (stream-static join)."""
+    ship_package(metrics.sparkSession)
     j = metrics.join(namespace_inputs, "namespace").withColumn("ts_us", epoch_micros(F.col("ts")))
     return j.groupBy("namespace").applyInPandasWithState(
         _handler(cfg, parity_noop), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)

@@ -132,3 +132,12 @@ def test_nearest_centers_blocked_equals_single_block(spark):
     key = lambda r: (r.vec_id, r["rank"])
     assert [(r.vec_id, r["rank"], r.cluster_id, r.raw) for r in sorted(one, key=key)] == \
         [(r.vec_id, r["rank"], r.cluster_id, r.raw) for r in sorted(many, key=key)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_single_query_block_mode_equals_expr(spark, metric):
+    df, x = _random(spark, 150, 12, 5)
+    q = [float(v) for v in x[11]]
+    a = [tuple(r) for r in exact_knn(df, q, 9, metric).collect()]
+    b = sorted(tuple(r) for r in exact_knn(df.repartition(3), q, 9, metric, mode="block").collect())
+    assert sorted(a) == b
