@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quiver.functions import text as U
 from quiver.operators import reports as A
 from quiver.operators import scaling as M
+from quiver.operators.scaler_chunks import scaling_scan_chunked
 from quiver.operators.tenants import quota_check
 from quiver.plans.registry import job
 from quiver.sources.fixtures import spark_view, with_views
@@ -344,13 +345,13 @@ def scan_sql(static: bool) -> str:
 @job("M11_cooldown_gate", scan_sql(static=True), "metric")
 def m11(spark, sf_dir):
     """Cooldown gate over each namespace's ticks with the deployment's replica count held fixed."""
-    return M.scaling_scan(decisions(spark, sf_dir), static_current=True)
+    return scaling_scan_chunked(decisions(spark, sf_dir), static_current=True)
 
 
 @job("M13_scaling_recommendations", scan_sql(static=False), "metric")
 def m13(spark, sf_dir):
     """Whole chain M1-M12: replica count and last action time carried from tick to tick."""
-    return M.scaling_scan(decisions(spark, sf_dir))
+    return scaling_scan_chunked(decisions(spark, sf_dir))
 
 
 @job("M14_metric_retention", with_views(

@@ -118,3 +118,19 @@ def test_namespace_and_severity_filters(spark):
     assert kept == [1, 3]
     sys_ = spark.createDataFrame([("disk FAILURE",), ("all good",), ("warning: x",)], "MESSAGE string")
     assert L.severity_filter(sys_).count() == 2
+
+
+@pytest.mark.parametrize("static", [True, False])
+def test_chunked_scaler_equals_sequential_scan(spark, static):
+    """Many tiny chunks (a few ticks each) give exactly the sequential scan's decisions."""
+    import quiver.plans.metric_plans as MP
+    from quiver.operators.scaler_chunks import scaling_scan_chunked
+    from quiver.operators.scaling import scaling_scan
+
+    dec = MP.decisions(spark, "/root/testdata/sf0.001").persist()
+    seq = scaling_scan(dec, static_current=static).collect()
+    chunked = scaling_scan_chunked(dec, static_current=static, target_rows=3).collect()
+    key = lambda r: (r.namespace, r.id)
+    assert sorted(seq, key=key) == sorted(chunked, key=key)
+    assert any(r.action != "none" for r in seq)
+    dec.unpersist()
