@@ -102,13 +102,21 @@ def _pass1(cfg: ScalerConfig, parity: bool, static: bool):
         ns, chunk = pdf["namespace"].iloc[0], int(pdf["_chunk"].iloc[0])
         start = int(pdf["_start"].iloc[0])
         init = int(pdf["replicas"].iloc[0])
-        if static:
-            r_vals = [init]
+        first, last_chunk = chunk == 0, bool(pdf["_last"].iloc[0])
+        if first and last_chunk:      # whole history in one chunk: nothing to hand on
+            return pd.DataFrame({"namespace": [ns], "_chunk": [chunk], "e_r": [init],
+                                 "e_lo": [np.iinfo(np.int64).min], "e_hi": [start - 1], "x_r": [init],
+                                 "x_l": [NONE], "init": [init]})
+        if first:                     # the first chunk starts from (initial replicas, never acted)
+            r_vals, classes = [init], [(np.iinfo(np.int64).min, start - 1, NONE)]
         else:
-            lo = min(init, int(pdf["min_replicas"].min()))
-            hi = max(init, int(pdf["max_replicas"].max()))
-            r_vals = list(range(lo, hi + 1))
-        classes = _entry_classes(pdf["ts_us"].to_numpy(np.int64), start, cfg)
+            if static:
+                r_vals = [init]
+            else:
+                lo = min(init, int(pdf["min_replicas"].min()))
+                hi = max(init, int(pdf["max_replicas"].max()))
+                r_vals = list(range(lo, hi + 1))
+            classes = _entry_classes(pdf["ts_us"].to_numpy(np.int64), start, cfg)
         er = np.repeat(np.asarray(r_vals, dtype=np.int64), len(classes))
         el = np.tile(np.asarray([c[2] for c in classes], dtype=np.int64), len(r_vals))
         xr, xl = _simulate(pdf, er, el, cfg, parity, static)
@@ -185,6 +193,7 @@ def scaling_scan_chunked(inputs: DataFrame, cfg: ScalerConfig = ScalerConfig(),
     days = days.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     days = days.withColumn("_chunk", F.floor(F.col("_before") / F.lit(target_rows)).cast("long"))
     starts = days.groupBy("namespace", "_chunk").agg((F.min("_day") * F.lit(day_us)).alias("_start"))
+    starts = starts.withColumn("_last", F.col("_chunk") == F.max("_chunk").over(Window.partitionBy("namespace")))
     mapping = days.select("namespace", "_day", "_chunk").join(starts, ["namespace", "_chunk"])
     src = src.join(mapping, ["namespace", "_day"])
     summaries = src.groupBy("namespace", "_chunk").applyInPandas(
