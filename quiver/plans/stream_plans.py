@@ -13,7 +13,7 @@ from quiver.plans.registry import ORACLE, job
 from quiver.session import scratch_path
 from quiver.sources.fixtures import spark_view, with_views
 from quiver.streaming import ingest, scaler
-from quiver.streaming.logs import kube_log_stream
+from quiver.streaming.logs import kube_log_stream, multiline_stream
 from quiver.streaming.sources import idempotent_batch_writer, stage_files
 
 WEEKS = [0, 1, 2, 3]
@@ -29,6 +29,38 @@ def _run(q):
         raise RuntimeError(str(q.exception()))
 
 
+def _await_idle(q, idle_s: float, limit_s: float = 300.0):
+    """Wait until the stream has consumed its input and then stayed idle for ``idle_s``
+    (a query with processing-time timeouts keeps running no-data batches, so
+    ``processAllAvailable`` would not return)."""
+    import time
+
+    t0 = time.time()
+    last_input = time.time()
+    seen = 0
+    while time.time() - t0 < limit_s:
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+        prog = q.recentProgress
+        if len(prog) > seen:
+            if any(p.get("numInputRows", 0) > 0 for p in prog[seen:]):
+                last_input = time.time()
+            seen = len(prog)
+        if seen > 0 and time.time() - last_input > idle_s:
+            return
+        time.sleep(0.25)
+    raise TimeoutError("stream did not go idle")
+
+
+def _stop_between_triggers(q, limit_s: float = 30.0):
+    import time
+
+    t0 = time.time()
+    while q.isActive and q.status.get("isTriggerActive") and time.time() - t0 < limit_s:
+        time.sleep(0.05)
+    q.stop()
+
+
 class state_partitions:
     """Size the state store of a new stateful stream (fixed at its first batch) to the
     cluster's parallelism instead of an arbitrary session-wide shuffle setting."""
@@ -105,3 +137,29 @@ def l6s(spark, sf_dir):
         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
     _run(q)
     return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+@job("L2_log_multiline_stream", ORACLE["L2_log_multiline"], "stream")
+def l2s(spark, sf_dir):
+    """Elasticsearch log lines arrive in three ordered files; open records flush when the file idles."""
+    import time
+
+    lines = v(spark, sf_dir, "fx_logs").where("tag = 'elasticsearch'").select(
+        F.lit("es").alias("file"), "line_no", "raw")
+    base = scratch_path(spark, "multiline-stream")
+    n = lines.agg(F.max("line_no")).first()[0] or 0
+    stage_files(lines, f"{base}/in", F.floor(F.col("line_no") * 3 / (n + 1)), [0, 1, 2], fmt="json")
+    src = ingest.read_stream(spark, f"{base}/in", lines.schema, fmt="json")
+    flush_ms = 1500
+    with state_partitions(spark):
+        q = multiline_stream(src, flush_ms=flush_ms).writeStream \
+            .foreachBatch(idempotent_batch_writer(f"{base}/out", [])) \
+            .option("checkpointLocation", f"{base}/ckpt").outputMode("append") \
+            .trigger(processingTime="500 milliseconds").start()
+        try:
+            _await_idle(q, idle_s=flush_ms / 1000 * 3)   # then the timeout has flushed the last record
+        finally:
+            _stop_between_triggers(q)
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(f"{base}/out").select("record_start", "lines", "text")

@@ -11,3 +11,59 @@ from quiver.operators.logs import enrich, json_source, namespace_filter
 def kube_log_stream(lines: DataFrame, hostname: str, node_name: str) -> DataFrame:
     parsed = json_source(lines).where(F.col("tag").startswith("kubernetes"))
     return enrich(namespace_filter(parsed), hostname, node_name)
+
+
+# --------------------------------------------------------------------------- L2 on a stream
+import re as _re  # noqa: E402
+from collections.abc import Iterator  # noqa: E402
+
+import pandas as pd  # noqa: E402
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout  # noqa: E402
+
+from quiver.operators.logs import FIRSTLINE  # noqa: E402
+from quiver.session import ship_package  # noqa: E402
+
+ML_STATE = "start long, n long, text string, last long"
+ML_OUT = "file string, record_start long, lines long, text string"
+
+
+def _multiline_handler(flush_ms: int):
+    first = _re.compile(FIRSTLINE)
+
+    def handle(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        file = key[0]
+        if state.hasTimedOut:
+            start, n, text, _ = state.get
+            state.remove()
+            yield pd.DataFrame([(file, start, n, text)], columns=["file", "record_start", "lines", "text"])
+            return
+        start, n, text, last = state.get if state.exists else (None, 0, None, -1)
+        out = []
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values("line_no", kind="stable")
+        for ln, raw in zip(rows["line_no"].tolist(), rows["raw"].tolist()):
+            if ln <= last:
+                continue                                # replayed line: already applied
+            last = ln
+            is_first = first.match(raw) is not None
+            if is_first and start is not None:
+                out.append((file, start, n, text))      # a new first line closes the open record
+            if is_first or start is None:
+                start, n, text = ln, 1, raw             # (lines before any first line form one record)
+                continue
+            n += 1
+            text = text + "\n" + raw
+        state.update((start, n, text, last))
+        state.setTimeoutDuration(flush_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["file", "record_start", "lines", "text"])
+
+    return handle
+
+
+def multiline_stream(lines: DataFrame, file_col: str = "file", flush_ms: int = 2000) -> DataFrame:
+    """L2 streaming: keyed state per file holds the open record; a first line closes it and an
+    idle file flushes it after ``flush_ms`` (processing-time timeout)."""
+    ship_package(lines.sparkSession)
+    return lines.select(F.col(file_col).cast("string").alias("file"), "line_no", "raw").groupBy("file") \
+        .applyInPandasWithState(_multiline_handler(flush_ms), ML_OUT, ML_STATE, "append",
+                                GroupStateTimeout.ProcessingTimeTimeout)
