@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from quiver.operators.scaling import effective_policy
@@ -30,9 +32,9 @@ def _run(q):
 
 
 def _await_idle(q, idle_s: float, limit_s: float = 300.0):
-    """Wait until the stream has consumed its input and then stayed idle for ``idle_s``
-    (a query with processing-time timeouts keeps running no-data batches, so
-    ``processAllAvailable`` would not return)."""
+    """Wait until the stream has consumed its input, its state store is empty (every open
+    record flushed) and nothing new arrived for ``idle_s`` (a query with processing-time
+    timeouts keeps running no-data batches, so ``processAllAvailable`` would not return)."""
     import time
 
     t0 = time.time()
@@ -46,7 +48,8 @@ def _await_idle(q, idle_s: float, limit_s: float = 300.0):
             if any(p.get("numInputRows", 0) > 0 for p in prog[seen:]):
                 last_input = time.time()
             seen = len(prog)
-        if seen > 0 and time.time() - last_input > idle_s:
+        state_rows = sum(op.get("numRowsTotal", 0) for op in (prog[-1].get("stateOperators") or [])) if prog else 1
+        if seen > 0 and state_rows == 0 and time.time() - last_input > idle_s:
             return
         time.sleep(0.25)
     raise TimeoutError("stream did not go idle")
@@ -155,11 +158,14 @@ def l2s(spark, sf_dir):
         q = multiline_stream(src, flush_ms=flush_ms).writeStream \
             .foreachBatch(idempotent_batch_writer(f"{base}/out", [])) \
             .option("checkpointLocation", f"{base}/ckpt").outputMode("append") \
-            .trigger(processingTime="500 milliseconds").start()
+            .trigger(processingTime="1 second").start()
         try:
-            _await_idle(q, idle_s=flush_ms / 1000 * 3)   # then the timeout has flushed the last record
+            _await_idle(q, idle_s=flush_ms / 1000)   # the timeout has flushed the last record
         finally:
             _stop_between_triggers(q)
+    if os.environ.get("QUIVER_DEBUG_STREAM"):
+        for p in q.recentProgress:
+            print(p.get("batchId"), p.get("numInputRows"), p.get("durationMs", {}).get("triggerExecution"))
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(f"{base}/out").select("record_start", "lines", "text")

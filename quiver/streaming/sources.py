@@ -23,6 +23,8 @@ def idempotent_batch_writer(path: str, partition_cols: list[str], fmt: str = "pa
     from pyspark.sql import functions as F
 
     def write(batch: DataFrame, epoch_id: int) -> None:
+        if batch.isEmpty():              # no-data batches (timeouts, watermarks) write nothing
+            return
         (batch.withColumn("batch_id", F.lit(epoch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*partition_cols, "batch_id").format(fmt).save(path))
