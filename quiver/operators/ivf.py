@@ -149,15 +149,23 @@ def ivf_search(index: IVFIndex, lists: DataFrame, vector, k: int = DEFAULT_K, np
 
 def ivf_search_batch(index: IVFIndex, lists: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                      nprobe: int = DEFAULT_NPROBE, query_id_col: str = "query_id", vec_col: str = "embedding",
-                     broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """``(query_id, rank, doc_id, score)`` for every query row."""
+                     broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, extra_cols: list[str] | None = None) -> DataFrame:
+    """``(query_id, rank, doc_id, score, *extra_cols)`` for every query row.
+
+    ``extra_cols`` (e.g. the metadata map) are fetched for the k hits only, by
+    joining the hits back to the lists on ``doc_id``.
+    """
     if k < 0:
         raise ValueError("k must be >= 0")
     probes = ivf_probe(index, queries, nprobe, query_id_col, vec_col)
     top = block_topk(lists, queries, k, index.metric, id_col="doc_id", vec_col="vector",
                      query_id_col=query_id_col, query_vec_col=vec_col, probes=probes,
                      broadcast_bytes=broadcast_bytes)
-    return top.select("query_id", "rank", "doc_id", round_score(F.col("raw")).alias("score"))
+    out = top.select("query_id", "rank", "doc_id", round_score(F.col("raw")).alias("score"))
+    if extra_cols:
+        meta = lists.select("doc_id", *extra_cols)
+        out = out.join(meta, "doc_id", "left").select("query_id", "rank", "doc_id", "score", *extra_cols)
+    return out
 
 
 def ivf_list_sizes(index: IVFIndex, lists: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def regex_fields(records: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def namespace_filter(records: DataFrame, tag_col: str = "tag") -> DataFrame:
-    """L4: kube-tagged records must come from the es-serverless namespace; others pass."""
+    """L4: kube-tagged records must come from the one allowed namespace (``KUBE_NAMESPACE``); others pass."""
     kube = F.col(tag_col).startswith("kubernetes")
     ns = F.col("kubernetes.namespace_name")
     return records.where(~kube | F.coalesce(ns.rlike(KUBE_NAMESPACE), F.lit(False)))

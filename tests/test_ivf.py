@@ -172,3 +172,11 @@ def test_stream_ingest_then_compact(spark):
     assert compact.count() == 60 and "batch_id" not in compact.columns
     batch = I.ivf_add(idx, add).select("doc_id", "cluster_id")
     assert sorted(compact.select("doc_id", "cluster_id").collect()) == sorted(batch.collect())
+
+
+def test_batch_search_returns_metadata(trained):
+    idx, lists, add, _ = trained
+    q = add.where("vec_id in (1001, 1002)").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = I.ivf_search_batch(idx, lists, q, k=3, nprobe=2, extra_cols=["metadata"]).collect()
+    assert len(hits) == 6
+    assert all(h.metadata["id"] == str(h.doc_id) for h in hits)
