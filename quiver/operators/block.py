@@ -79,6 +79,7 @@ def score_matrix(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 
 _U = np.finfo(np.float64).eps / 2  # unit roundoff
 ROW_CHUNK = 2048
+SCREEN_CELLS = 4_000_000           # rows x columns per screening matrix (~32 MB of doubles)
 
 
 def _seq_norms(a: np.ndarray) -> np.ndarray:
@@ -129,8 +130,9 @@ def topk_exact(rows: np.ndarray, cols: np.ndarray, col_ids: np.ndarray, metric:
     asc = metric == "l2"
     rn_all, cn = _seq_norms(rows), _seq_norms(cols)
     c_len = np.sqrt(cn)
-    for s in range(0, r, ROW_CHUNK):
-        e = min(r, s + ROW_CHUNK)
+    step = max(1, min(ROW_CHUNK, SCREEN_CELLS // max(m, 1)))
+    for s in range(0, r, step):
+        e = min(r, s + step)
         x = rows[s:e]
         rn = rn_all[s:e]
         r_len = np.sqrt(rn)

@@ -135,3 +135,22 @@ def test_chunked_scaler_equals_sequential_scan(spark, static):
     assert sorted(seq, key=key) == sorted(chunked, key=key)
     assert any(r.action != "none" for r in seq)
     dec.unpersist()
+
+
+def test_snapshot_verify_detects_tampering(spark):
+    from quiver.operators import export as B
+    from quiver.session import scratch_path
+
+    t = spark.createDataFrame([(i, "org-1" if i % 2 else "org-2", f"u{i}") for i in range(20)],
+                              "id long, tenant_org_id string, user_id string")
+    q = spark.createDataFrame([(f"u{i}", i) for i in range(20)], "tenant_id string, max_indices int")
+    root = scratch_path(spark, "test-backup")
+    B.export_snapshot(spark, {"containers": t, "quota": q}, "org-1", root, "s1")
+    assert [r.snapshot for r in B.list_snapshots(spark, root, "org-1").collect()] == ["s1"]
+    v = {r.table_name: (r.rows, r.verified) for r in B.verify_snapshot(spark, root, "org-1", "s1").collect()}
+    assert v == {"containers": (10, True), "quota": (10, True)}
+    # replace the quota table with different rows of the same count: the checksum catches it
+    spark.createDataFrame([(f"x{i}", i) for i in range(10)], "tenant_id string, max_indices int") \
+        .write.mode("overwrite").parquet(f"{root}/org-1/s1/quota")
+    v = {r.table_name: r.verified for r in B.verify_snapshot(spark, root, "org-1", "s1").collect()}
+    assert v == {"containers": True, "quota": False}

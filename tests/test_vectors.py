@@ -141,3 +141,15 @@ def test_single_query_block_mode_equals_expr(spark, metric):
     a = [tuple(r) for r in exact_knn(df, q, 9, metric).collect()]
     b = sorted(tuple(r) for r in exact_knn(df.repartition(3), q, 9, metric, mode="block").collect())
     assert sorted(a) == b
+
+
+def test_screened_topk_small_row_chunks(monkeypatch):
+    import quiver.operators.block as B
+
+    rng = np.random.default_rng(7)
+    rows, cols = rng.normal(size=(50, 6)), rng.normal(size=(30, 6))
+    ids = np.arange(30)
+    full = B.topk_exact(rows, cols, ids, "l2", 4)
+    monkeypatch.setattr(B, "SCREEN_CELLS", 60)          # two rows per chunk
+    part = B.topk_exact(rows, cols, ids, "l2", 4)
+    assert np.array_equal(full[0], part[0]) and np.array_equal(full[1], part[1])
