@@ -111,7 +111,7 @@ def a2(spark, sf_dir):
 
 
 @job("A4_report_status_counts", with_views(
-    "SELECT s.stage_order, s.status, CAST(coalesce(c.n, 0) AS BIGINT) AS reports FROM (VALUES " +
+    "SELECT CAST(s.stage_order AS BIGINT) AS stage_order, s.status, CAST(coalesce(c.n, 0) AS BIGINT) AS reports FROM (VALUES " +
     ", ".join(f"({i}, '{s}')" for i, s in enumerate(A.REPORT_STAGES)) +
     ") s(stage_order, status) LEFT JOIN (SELECT status, count(*) AS n FROM fx_reports GROUP BY status) c ON c.status = s.status",
     ["fx_reports"]), "report")
@@ -132,7 +132,7 @@ _DOC_INDEX = "concat('idx-', CAST(doc_id % 20 + 1 AS VARCHAR))"
 
 
 @job("A6_index_stats_report", with_views(
-    "SELECT d.index_name, d.doc_count, d.size_chars, m.namespace, m.metric, m.status, m.document_count FROM ("
+    "SELECT d.index_name, d.doc_count, d.size_chars, m.namespace, m.metric, m.status, CAST(m.document_count AS BIGINT) AS document_count FROM ("
     f"SELECT {_DOC_INDEX} AS index_name, CAST(count(*) AS BIGINT) AS doc_count, CAST(sum(n_chars) AS BIGINT) AS size_chars "
     "FROM documents GROUP BY 1) d LEFT JOIN fx_index_metadata m ON m.index_name = d.index_name", ["fx_index_metadata"]), "report")
 def a6(spark, sf_dir):
@@ -231,7 +231,7 @@ def m1(spark, sf_dir):
 
 
 @job("M2_status_refresh", with_views(
-    "SELECT d.namespace, d.user_id, d.replicas, l.cpu_usage, l.memory_usage, l.disk_usage, l.qps, l.ts AS updated_at, "
+    "SELECT d.namespace, d.user_id, CAST(d.replicas AS BIGINT) AS replicas, l.cpu_usage, l.memory_usage, l.disk_usage, l.qps, l.ts AS updated_at, "
     "CASE WHEN l.cpu_usage > 80 OR l.memory_usage > 80 THEN 'high_load' WHEN l.cpu_usage < 20 AND l.memory_usage < 20 THEN 'low_load' ELSE 'normal' END AS load_class "
     "FROM fx_ns_deployments d JOIN (SELECT namespace, arg_max(cpu_usage, (ts, id)) AS cpu_usage, arg_max(memory_usage, (ts, id)) AS memory_usage, "
     "arg_max(disk_usage, (ts, id)) AS disk_usage, arg_max(qps, (ts, id)) AS qps, max(ts) AS ts FROM fx_metrics GROUP BY namespace) l "
@@ -266,7 +266,7 @@ def m5(spark, sf_dir):
     return t.select("id", "namespace", *[F.round(M.ADJ[m], 6).alias(M.ADJ[m]) for m in M.METRICS])
 
 
-@job("M6_effective_policy", with_views("SELECT * FROM pol", ["fx_ns_deployments", "fx_policies"], [_POL_CTE]), "metric")
+@job("M6_effective_policy", with_views("SELECT * REPLACE (CAST(replicas AS BIGINT) AS replicas, CAST(min_replicas AS BIGINT) AS min_replicas, CAST(max_replicas AS BIGINT) AS max_replicas) FROM pol", ["fx_ns_deployments", "fx_policies"], [_POL_CTE]), "metric")
 def m6(spark, sf_dir):
     return M.effective_policy(v(spark, sf_dir, "fx_ns_deployments"), v(spark, sf_dir, "fx_policies"))
 

@@ -22,7 +22,7 @@ def v(spark, sf_dir, name):
 
 
 @job("S1_vector_source", with_views(
-    "SELECT vec_id AS doc_id, CAST(len(embedding) AS BIGINT) AS dimension, label, 'l2' AS metric, CAST(100 AS BIGINT) AS nlist, "
+    "SELECT vec_id AS doc_id, CAST(len(embedding) AS BIGINT) AS dimension, CAST(label AS BIGINT) AS label, 'l2' AS metric, CAST(100 AS BIGINT) AS nlist, "
     "CAST(10 AS BIGINT) AS nprobe FROM embeddings"), "source")
 def s1(spark, sf_dir):
     vf = SV.VectorField("embedding", DIM, metric="l2_norm", field_mapping={"label": "integer"})
@@ -67,7 +67,7 @@ INDEX_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("i
                              T.StructField("status", T.StringType()), T.StructField("document_count", T.IntegerType())])
 
 
-@job("S6_json_dir_scan", with_views("SELECT id, index_name, namespace, metric, status, document_count FROM fx_index_metadata",
+@job("S6_json_dir_scan", with_views("SELECT id, index_name, namespace, metric, status, CAST(document_count AS BIGINT) AS document_count FROM fx_index_metadata",
                                     ["fx_index_metadata"]), "source")
 def s6(spark, sf_dir):
     """Index metadata as ``index_*.json`` files beside a corrupt file and an unrelated one; scan keeps the good rows."""

@@ -16,7 +16,7 @@ def v(spark, sf_dir, name):
 
 
 @job("T1_containers_by_org", with_views(
-    "SELECT id, tenant_org_id, user_id, service_name, namespace, replicas FROM fx_tenant_containers "
+    "SELECT id, tenant_org_id, user_id, service_name, namespace, CAST(replicas AS BIGINT) AS replicas FROM fx_tenant_containers "
     "WHERE NOT deleted AND tenant_org_id IN (SELECT concat('org-', CAST(n_nationkey AS VARCHAR)) FROM nation WHERE n_regionkey = 1)",
     ["fx_tenant_containers"]), "tenant")
 def t1(spark, sf_dir):
@@ -71,7 +71,7 @@ def t3(spark, sf_dir):
 
 
 @job("T4_row_upsert", with_views(
-    "SELECT user_id, service_name, replicas, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id, service_name "
+    "SELECT user_id, service_name, CAST(replicas AS BIGINT) AS replicas, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id, service_name "
     "ORDER BY updated_at DESC NULLS LAST, event_id DESC NULLS LAST) AS r FROM ("
     "SELECT user_id, service_name, replicas, TIMESTAMP '2023-12-31 00:00:00' AS updated_at, CAST(NULL AS BIGINT) AS event_id FROM fx_tenant_containers "
     "UNION ALL SELECT concat('user-', CAST((user_id + 1) % 200 AS VARCHAR)), concat('svc-', CAST(user_id + 1 AS VARCHAR)), "
@@ -91,7 +91,7 @@ def t4(spark, sf_dir):
 
 @job("T6_cluster_listing", with_views(
     "SELECT d.namespace, d.user_id, d.service_name, coalesce(CAST(r.ready AS VARCHAR) || '/' || CAST(r.desired AS VARCHAR), 'unknown') AS status, "
-    "d.replicas FROM fx_deployments d LEFT JOIN fx_replicas r ON r.namespace = d.namespace",
+    "CAST(d.replicas AS BIGINT) AS replicas FROM fx_deployments d LEFT JOIN fx_replicas r ON r.namespace = d.namespace",
     ["fx_deployments", "fx_replicas"]), "tenant")
 def t6(spark, sf_dir):
     return T.cluster_listing(v(spark, sf_dir, "fx_deployments"), v(spark, sf_dir, "fx_replicas"))
@@ -116,14 +116,14 @@ def t7(spark, sf_dir):
 
 
 @job("T8_index_list", with_views(
-    "SELECT id, index_name, namespace, metric, document_count, 'active' AS listing_status FROM fx_index_metadata",
+    "SELECT id, index_name, namespace, metric, CAST(document_count AS BIGINT) AS document_count, 'active' AS listing_status FROM fx_index_metadata",
     ["fx_index_metadata"]), "tenant")
 def t8(spark, sf_dir):
     return T.index_list(v(spark, sf_dir, "fx_index_metadata"))
 
 
 @job("T10_delete_by_keys", with_views(
-    "SELECT id, index_name, namespace, metric, status, document_count FROM fx_index_metadata m "
+    "SELECT id, index_name, namespace, metric, status, CAST(document_count AS BIGINT) AS document_count FROM fx_index_metadata m "
     "WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = m.id AND l.l_discount >= 0.09)",
     ["fx_index_metadata"]), "tenant")
 def t10(spark, sf_dir):
@@ -132,7 +132,7 @@ def t10(spark, sf_dir):
 
 
 @job("T10_delete_policies", with_views(
-    "SELECT user_id, max_replicas FROM fx_policies p WHERE NOT EXISTS (SELECT 1 FROM fx_ns_deployments d WHERE d.user_id = p.user_id)",
+    "SELECT user_id, CAST(max_replicas AS BIGINT) AS max_replicas FROM fx_policies p WHERE NOT EXISTS (SELECT 1 FROM fx_ns_deployments d WHERE d.user_id = p.user_id)",
     ["fx_policies", "fx_ns_deployments"]), "tenant")
 def t10b(spark, sf_dir):
     """Remove the scaling policies of users that own a namespace deployment."""
@@ -231,7 +231,7 @@ _DOC_CHANGES = ("SELECT CAST(doc_id AS VARCHAR) AS doc_id, upper(lang) AS lang,
 
 
 @job("S5_document_upsert", with_views(
-    "SELECT doc_id, lang, source, n_chars, version FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) AS r FROM ("
+    "SELECT doc_id, lang, source, n_chars, CAST(version AS BIGINT) AS version FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) AS r FROM ("
     "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, n_chars, 1 AS version FROM documents UNION ALL " + _DOC_CHANGES + ") u) t WHERE r = 1"),
     "tenant")
 def s5(spark, sf_dir):
