@@ -65,7 +65,7 @@ def status_refresh(latest: DataFrame, deployments: DataFrame) -> DataFrame:
 
 
 def metric_history(metrics: DataFrame, cfg: ScalerConfig = ScalerConfig(),
-                   bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                   bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """M3: per sample, the size of its last-5 history and that history's first sample."""
     ext, w = rows_history(metrics, ["namespace"], ["ts", "id"], cfg.history, bucket_seconds=bucket_seconds)
     out = ext.withColumn("hist_n", F.count(F.lit(1)).over(w)).withColumn("hist_first_id", F.first("id").over(w))
@@ -73,7 +73,7 @@ def metric_history(metrics: DataFrame, cfg: ScalerConfig = ScalerConfig(),
 
 
 def metric_trend(metrics: DataFrame, cfg: ScalerConfig = ScalerConfig(),
-                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """M4: mean successive difference over the history = (last - first) / (n - 1); 0 if n < 2."""
     ext, w = rows_history(metrics, ["namespace"], ["ts", "id"], cfg.history, bucket_seconds=bucket_seconds)
     out = ext.withColumn("hist_n", F.count(F.lit(1)).over(w))
@@ -243,7 +243,7 @@ def metric_retention(metrics: DataFrame, days: int = RETENTION_DAYS) -> DataFram
 
 
 def counter_rate(counters: DataFrame, seconds: int = 300, key: str = "namespace",
-                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Per-second increase of a counter over a look-back range, reset-aware, no extrapolation.
 
     inc_i = c_i - c_{i-1}, or c_i after a reset (c_i < c_{i-1}); the rate at a
@@ -251,7 +251,8 @@ def counter_rate(counters: DataFrame, seconds: int = 300, key: str = "namespace"
     (whose other end lies outside) and divides by the covered span.  Windows
     run per (key, time bucket) with a ``seconds`` halo, so a hot key is split.
     """
-    ext = range_history(counters, [key], "ts", seconds, max(bucket_seconds, seconds))
+    ext = range_history(counters, [key], "ts", seconds,
+                        None if bucket_seconds is None else max(bucket_seconds, seconds))
     w = Window.partitionBy(key, "_b").orderBy("ts", "id")
     prev = F.lag("counter").over(w)
     inc = F.when(prev.isNull(), F.lit(0)).when(F.col("counter") < prev, F.col("counter")).otherwise(F.col("counter") - prev)

@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_SECONDS = 3600
+DEFAULT_BUCKET_SECONDS = None     # None: per-key width from the key's row rate
+TARGET_BUCKET_ROWS = 200_000
+MIN_BUCKET_SECONDS = 60
+MAX_BUCKET_SECONDS = 30 * 86400
 
 
 def epoch_micros(ts: Column) -> Column:
@@ -24,8 +27,24 @@ def time_bucket(ts: Column, seconds: int) -> Column:
     return F.floor(epoch_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def with_bucket_width(df: DataFrame, key_cols: list[str], ts_col: str, seconds: int | None,
+                      min_seconds: int = MIN_BUCKET_SECONDS) -> DataFrame:
+    """Adds ``_bw`` (bucket width in microseconds).  Fixed when ``seconds`` is given; else per
+    key, so that a bucket holds about TARGET_BUCKET_ROWS rows at the key's average rate
+    (one aggregation to a row per key, joined back; AQE splits a hot key in the join)."""
+    if seconds:
+        return df.withColumn("_bw", F.lit(int(max(seconds, min_seconds)) * 1_000_000).cast("long"))
+    us = epoch_micros(F.col(ts_col))
+    st = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_cnt"), (F.max(us) - F.min(us)).alias("_span"))
+    width = F.greatest(F.col("_span"), F.lit(1)) * F.lit(float(TARGET_BUCKET_ROWS)) / F.col("_cnt")
+    width = F.least(F.greatest(width, F.lit(float(max(min_seconds, MIN_BUCKET_SECONDS)) * 1e6)),
+                    F.lit(float(max(MAX_BUCKET_SECONDS, min_seconds)) * 1e6))
+    st = st.select(*key_cols, F.floor(width).cast("long").alias("_bw"))
+    return df.join(st, key_cols)
+
+
 def rows_history(df: DataFrame, key_cols: list[str], order_cols: list[str], n: int, ts_col: str = "ts",
-                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> tuple[DataFrame, Window]:
+                 bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> tuple[DataFrame, Window]:
     """Rows of ``df`` plus halo rows, and the window for a frame of the last ``n`` rows.
 
     Evaluate frame functions with the returned window (already limited to
@@ -34,7 +53,8 @@ def rows_history(df: DataFrame, key_cols: list[str], order_cols: list[str], n: i
     n-1 rows of every bucket (a table of at most n-1 rows per bucket).
     """
     h = n - 1
-    base = df.withColumn("_b", time_bucket(F.col(ts_col), bucket_seconds))
+    base = with_bucket_width(df, key_cols, ts_col, bucket_seconds)
+    base = base.withColumn("_b", F.floor(epoch_micros(F.col(ts_col)) / F.col("_bw")).cast("long")).drop("_bw")
     own = base.withColumn("_own", F.lit(True))
     if h <= 0:
         w = Window.partitionBy(*key_cols, "_b").orderBy(*order_cols).rowsBetween(0, 0)
@@ -59,28 +79,30 @@ def rows_history(df: DataFrame, key_cols: list[str], order_cols: list[str], n: i
 
 
 def range_history(df: DataFrame, key_cols: list[str], ts_col: str, seconds: int,
-                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                  bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Rows of ``df`` plus halo rows for a time frame reaching ``seconds`` back (inclusive).
 
-    Partition windows by (key, ``_b``) and keep ``_own`` rows.  Requires
-    ``bucket_seconds >= seconds`` so a row reaches at most one later bucket.
+    Partition windows by (key, ``_b``) and keep ``_own`` rows.  Buckets are at
+    least ``seconds`` wide, so a row reaches at most one later bucket.
     """
-    if bucket_seconds < seconds:
+    if bucket_seconds is not None and bucket_seconds < seconds:
         raise ValueError("bucket_seconds must be >= the frame length")
     us = epoch_micros(F.col(ts_col))
-    base = df.withColumn("_b", F.floor(us / F.lit(bucket_seconds * 1_000_000)).cast("long"))
+    base = with_bucket_width(df, key_cols, ts_col, bucket_seconds, min_seconds=seconds)
+    base = base.withColumn("_b", F.floor(us / F.col("_bw")).cast("long"))
     own = base.withColumn("_own", F.lit(True))
-    next_start = (F.col("_b") + 1) * F.lit(bucket_seconds * 1_000_000)
+    next_start = (F.col("_b") + 1) * F.col("_bw")
     halo = base.where(us >= next_start - F.lit(seconds * 1_000_000)) \
         .withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
-    return own.unionByName(halo)
+    return own.unionByName(halo).drop("_bw")
 
 
 def descending_position(df: DataFrame, key_cols: list[str], ts_col: str, id_col: str,
-                        bucket_seconds: int = DEFAULT_BUCKET_SECONDS, name: str = "position") -> DataFrame:
+                        bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS, name: str = "position") -> DataFrame:
     """``row_number() over (partition by key order by ts desc, id desc)`` computed per time bucket:
     bucket-local rank plus the number of rows in the key's later buckets."""
-    b = df.withColumn("_b", time_bucket(F.col(ts_col), bucket_seconds))
+    b = with_bucket_width(df, key_cols, ts_col, bucket_seconds)
+    b = b.withColumn("_b", F.floor(epoch_micros(F.col(ts_col)) / F.col("_bw")).cast("long")).drop("_bw")
     local = F.row_number().over(Window.partitionBy(*key_cols, "_b").orderBy(F.col(ts_col).desc(), F.col(id_col).desc()))
     counts = b.groupBy(*key_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     later = Window.partitionBy(*key_cols).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)

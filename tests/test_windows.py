@@ -17,7 +17,7 @@ def skewed(spark):
     return e.select(key.alias("k"), F.col("event_id").alias("id"), "ts", "value").cache()
 
 
-@pytest.mark.parametrize("bucket", [60, 3600, 86400 * 3])
+@pytest.mark.parametrize("bucket", [60, 3600, 86400 * 3, None])
 def test_rows_history_equals_plain_window(skewed, bucket):
     ext, w = rows_history(skewed, ["k"], ["ts", "id"], 5, bucket_seconds=bucket)
     got = ext.select("k", "id", F.count(F.lit(1)).over(w).alias("n"), F.first("value").over(w).alias("f"), "_own") \
@@ -27,7 +27,7 @@ def test_rows_history_equals_plain_window(skewed, bucket):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-@pytest.mark.parametrize("bucket", [300, 7200])
+@pytest.mark.parametrize("bucket", [300, 7200, None])
 def test_range_history_equals_plain_window(skewed, bucket):
     secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     ext = range_history(skewed, ["k"], "ts", 300, bucket).withColumn("_s", secs)
@@ -48,3 +48,28 @@ def test_descending_position(skewed):
     pw = Window.partitionBy("k").orderBy(F.col("ts").desc(), F.col("id").desc())
     want = skewed.select("k", "id", F.row_number().over(pw).alias("position"))
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_adaptive_buckets_split_hot_key(spark, skewed, monkeypatch):
+    import quiver.operators.windows as W
+
+    monkeypatch.setattr(W, "TARGET_BUCKET_ROWS", 25)
+    widths = {r.k: r._bw for r in W.with_bucket_width(skewed, ["k"], "ts", None).select("k", "_bw").distinct().collect()}
+    assert widths["hot"] < min(v for k, v in widths.items() if k != "hot")   # the hot key gets the narrowest buckets
+    ext, w = W.rows_history(skewed, ["k"], ["ts", "id"], 5)
+    got = ext.select("k", "id", F.count(F.lit(1)).over(w).alias("n"), F.first("value").over(w).alias("f"), "_own") \
+        .where("_own").drop("_own")
+    pw = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(-4, 0)
+    want = skewed.select("k", "id", F.count(F.lit(1)).over(pw).alias("n"), F.first("value").over(pw).alias("f"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    ext = W.range_history(skewed, ["k"], "ts", 300).withColumn("_s", secs)
+    rw = Window.partitionBy("k", "_b").orderBy("_s").rangeBetween(-300, 0)
+    got = ext.select("k", "id", F.count(F.lit(1)).over(rw).alias("n"), "_own").where("_own").drop("_own")
+    pw = Window.partitionBy("k").orderBy("_s").rangeBetween(-300, 0)
+    want = skewed.withColumn("_s", secs).select("k", "id", F.count(F.lit(1)).over(pw).alias("n"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    got = W.descending_position(skewed, ["k"], "ts", "id").select("k", "id", "position")
+    want = skewed.select("k", "id", F.row_number().over(
+        Window.partitionBy("k").orderBy(F.col("ts").desc(), F.col("id").desc())).alias("position"))
+    assert sorted(got.collect()) == sorted(want.collect())
