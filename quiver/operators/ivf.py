@@ -195,6 +195,15 @@ def ivf_stats(index: IVFIndex, lists: DataFrame) -> DataFrame:
     )
 
 
+def list_skew(index: IVFIndex, lists: DataFrame, max_ratio: float = 4.0) -> DataFrame:
+    """Largest list relative to the mean list size, and whether it calls for retraining
+    (incremental adds drift away from the centroids the lists were trained with)."""
+    st = ivf_stats(index, lists)
+    ratio = F.try_divide(F.col("max_cluster_size").cast("double"), F.col("avg_cluster_size"))
+    return st.select("total_vectors", "max_cluster_size", "avg_cluster_size", F.round(ratio, 6).alias("skew_ratio"),
+                     F.coalesce(ratio > F.lit(max_ratio), F.lit(False)).alias("needs_retrain"))
+
+
 def ivf_save(index: IVFIndex, lists: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Centroids, params and lists (partitioned by cluster_id) as Parquet."""
     spark = lists.sparkSession

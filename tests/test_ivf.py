@@ -180,3 +180,12 @@ def test_batch_search_returns_metadata(trained):
     hits = I.ivf_search_batch(idx, lists, q, k=3, nprobe=2, extra_cols=["metadata"]).collect()
     assert len(hits) == 6
     assert all(h.metadata["id"] == str(h.doc_id) for h in hits)
+
+
+def test_list_skew_flags_unbalanced_lists(trained, spark):
+    idx, lists, _, _ = trained
+    ok = I.list_skew(idx, lists, max_ratio=1000.0).first()
+    assert ok.needs_retrain is False and ok.skew_ratio >= 1.0
+    one = lists.withColumn("cluster_id", F.lit(0).cast("long"))      # everything in one list
+    bad = I.list_skew(idx, one, max_ratio=4.0).first()
+    assert bad.needs_retrain is True and abs(bad.skew_ratio - 10.0) < 1e-9
