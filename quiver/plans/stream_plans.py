@@ -16,6 +16,7 @@ from quiver.session import scratch_path
 from quiver.sources.fixtures import spark_view, with_views
 from quiver.streaming import ingest, scaler
 from quiver.streaming.logs import kube_log_stream, multiline_stream
+from quiver.streaming.reports import qps_latency_stream
 from quiver.streaming.sources import idempotent_batch_writer, stage_files
 
 WEEKS = [0, 1, 2, 3]
@@ -169,3 +170,21 @@ def l2s(spark, sf_dir):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(f"{base}/out").select("record_start", "lines", "text")
+
+
+@job("A7_qps_latency_stats_stream", ORACLE["A7_qps_latency_stats"], "stream")
+def a7s(spark, sf_dir):
+    """Search-log rows arrive week by week; per-minute windows are updated as rows come in
+    (update mode, watermarked state) and the sink keeps each window's latest version."""
+    from quiver.operators.tenants import latest_per_key
+
+    log = v(spark, sf_dir, "fx_search_log")
+    base = scratch_path(spark, "qps-stream")
+    stage_files(log, f"{base}/in", _week(), WEEKS)
+    stats = qps_latency_stream(ingest.read_stream(spark, f"{base}/in", log.schema))
+    with state_partitions(spark):
+        q = stats.writeStream.foreachBatch(idempotent_batch_writer(f"{base}/out", [])) \
+            .option("checkpointLocation", f"{base}/ckpt").outputMode("update").trigger(availableNow=True).start()
+        _run(q)
+    out = spark.read.parquet(f"{base}/out")
+    return latest_per_key(out, ["index_name", "window_start"], ["batch_id"]).drop("batch_id")
