@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.operators.logs import enrich, json_source, namespace_filter
 
+# pandas concat inside the state serializer warns about all-NA columns; harmless here
+warnings.filterwarnings("ignore", category=FutureWarning, module="pyspark.sql.pandas.serializers")
+
 
 def kube_log_stream(lines: DataFrame, hostname: str, node_name: str) -> DataFrame:
     parsed = json_source(lines).where(F.col("tag").startswith("kubernetes"))

@@ -3,6 +3,7 @@ samples, the replica count and the last action time (``applyInPandasWithState``)
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quiver.session import ship_package
 from quiver.operators.scaling import METRICS, QPS_TREND_LIMIT, TREND_LIMIT, ScalerConfig, decide, epoch_micros
 
+# pandas concat inside the state serializer warns about all-NA columns; harmless here
+warnings.filterwarnings("ignore", category=FutureWarning, module="pyspark.sql.pandas.serializers")
+
 STATE_SCHEMA = ("replicas long, last_us long, seen_us long, seen_id long, h_cpu_usage array<double>, "
                 "h_memory_usage array<double>, h_disk_usage array<double>, h_qps array<double>")
 OUT_SCHEMA = ("namespace string, id long, ts timestamp_ntz, current_replicas long, target_replicas long, "
