@@ -154,3 +154,27 @@ def test_snapshot_verify_detects_tampering(spark):
         .write.mode("overwrite").parquet(f"{root}/org-1/s1/quota")
     v = {r.table_name: r.verified for r in B.verify_snapshot(spark, root, "org-1", "s1").collect()}
     assert v == {"containers": True, "quota": False}
+
+
+def test_vector_pack_is_big_endian_float32(spark):
+    from quiver.sources.vectors import vector_pack, vector_unpack
+
+    df = spark.createDataFrame([([1.0, -2.5],), (None,)], "v array<float>")
+    r = df.select(vector_pack("v").alias("b")).collect()
+    assert bytes(r[0].b) == b"\x3f\x80\x00\x00\xc0\x20\x00\x00" and r[1].b is None
+    back = df.select(vector_unpack(vector_pack("v")).alias("v")).collect()
+    assert back[0].v == [1.0, -2.5] and back[1].v is None
+
+
+def test_vector_validate_reasons(spark):
+    from quiver.sources.vectors import VectorField, vector_validate
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0])],
+                               "id long, v array<float>")
+    ok, bad = vector_validate(df, "v", 2)
+    assert [r.id for r in ok.collect()] == [1]
+    reasons = {r.id: r.reason for r in bad.collect()}
+    assert reasons == {2: "dimension mismatch: expected 2, got 1", 3: "null vector", 4: "non-finite value", 5: "non-finite value"}
+    with pytest.raises(ValueError):
+        VectorField("v", 0)
+    assert VectorField("v", 4, metric="dot_product").metric == "dot"
