@@ -220,6 +220,13 @@ def _partition_topk(bq, k: int, metric: str, id_col: str, vec_col: str, probe_co
         qids, qmat = bq.value
         probes = bprobe.value if bprobe is not None else None
         m = len(qids)
+        by_list: dict[int, np.ndarray] = {}
+        if probes is not None:
+            pairs = [(int(c), j) for j, ps in enumerate(probes) for c in ps]
+            tmp: dict[int, list] = {}
+            for c, j in pairs:
+                tmp.setdefault(c, []).append(j)
+            by_list = {c: np.asarray(js, dtype=np.int64) for c, js in tmp.items()}
         best_ids = [np.empty(0, dtype=np.int64) for _ in range(m)]
         best_raw = [np.empty(0) for _ in range(m)]
         for batch in batches:
@@ -228,23 +235,28 @@ def _partition_topk(bq, k: int, metric: str, id_col: str, vec_col: str, probe_co
             ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
             x = arrow_vectors(batch.column(vec_col), qmat.shape[1])
             lists = batch.column(probe_col).to_numpy(zero_copy_only=False).astype(np.int64) if probe_col else None
-            for s in range(0, m, QUERY_SLAB):
-                e = min(m, s + QUERY_SLAB)
-                allowed = None
-                if probes is not None:
-                    allowed = np.stack([np.isin(lists, probes[j]) for j in range(s, e)])
-                    if not allowed.any():
-                        continue
-                pos, raw = topk_exact(qmat[s:e], x, ids, metric, k, allowed)
-                for j in range(s, e):
-                    p = pos[j - s]
-                    sel = p >= 0
-                    if not sel.any():
-                        continue
-                    cand_ids = np.concatenate([best_ids[j], ids[p[sel]]])
-                    cand_raw = np.concatenate([best_raw[j], raw[j - s][sel]])
-                    keep = best_k(_sort_key(cand_raw, asc), cand_ids, k)
-                    best_ids[j], best_raw[j] = cand_ids[keep], cand_raw[keep]
+            if probes is None:
+                groups = [(np.arange(m), np.arange(len(ids)))]
+            else:
+                # rows grouped by list; each group is scored only against the queries probing it
+                order = np.argsort(lists, kind="stable")
+                uniq, starts = np.unique(lists[order], return_index=True)
+                ends = np.append(starts[1:], len(order))
+                groups = [(by_list[int(c)], order[a:b]) for c, a, b in zip(uniq, starts, ends) if int(c) in by_list]
+            for qidx, rows in groups:
+                xr, idr = x[rows], ids[rows]
+                for s in range(0, len(qidx), QUERY_SLAB):
+                    qs = qidx[s:s + QUERY_SLAB]
+                    pos, raw = topk_exact(qmat[qs], xr, idr, metric, k)
+                    for t, j in enumerate(qs):
+                        p = pos[t]
+                        sel = p >= 0
+                        if not sel.any():
+                            continue
+                        cand_ids = np.concatenate([best_ids[j], idr[p[sel]]])
+                        cand_raw = np.concatenate([best_raw[j], raw[t][sel]])
+                        keep = best_k(_sort_key(cand_raw, asc), cand_ids, k)
+                        best_ids[j], best_raw[j] = cand_ids[keep], cand_raw[keep]
         lens = [len(b) for b in best_ids]
         if sum(lens) == 0:
             return
