@@ -18,6 +18,8 @@ import duckdb  # noqa: E402
 
 from quiver.sources.tables import TABLES  # noqa: E402
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
+
 
 def canon(v):
     if v is None:
@@ -25,7 +27,7 @@ def canon(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9)
+        return v if STRICT else round(v, 9)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 9)
     if isinstance(v, (list, tuple)):
