@@ -153,3 +153,15 @@ def test_screened_topk_small_row_chunks(monkeypatch):
     monkeypatch.setattr(B, "SCREEN_CELLS", 60)          # two rows per chunk
     part = B.topk_exact(rows, cols, ids, "l2", 4)
     assert np.array_equal(full[0], part[0]) and np.array_equal(full[1], part[1])
+
+
+def test_auto_mode_uses_plan_estimate(spark, monkeypatch):
+    import quiver.operators.knn as K
+
+    df, x = _random(spark, 80, 6, 8)
+    q = [float(v) for v in x[5]]
+    small = K.exact_knn(df, q, 4, "l2").collect()
+    monkeypatch.setattr(K, "BLOCK_MODE_BYTES", 0)                 # everything counts as large -> block
+    big = K.exact_knn(df, q, 4, "l2").collect()
+    assert sorted(tuple(r) for r in small) == sorted(tuple(r) for r in big)
+    assert K.estimated_bytes(df) is not None
