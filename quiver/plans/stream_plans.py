@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from quiver.operators.scaling import effective_policy
@@ -164,9 +162,6 @@ def l2s(spark, sf_dir):
             _await_idle(q, idle_s=flush_ms / 1000)   # the timeout has flushed the last record
         finally:
             _stop_between_triggers(q)
-    if os.environ.get("QUIVER_DEBUG_STREAM"):
-        for p in q.recentProgress:
-            print(p.get("batchId"), p.get("numInputRows"), p.get("durationMs", {}).get("triggerExecution"))
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(f"{base}/out").select("record_start", "lines", "text")
