@@ -28,6 +28,7 @@ from quiver.operators.block import (
     best_k,
     block_topk,
     check_block_size,
+    _nearest_arrays,
     collect_block,
     nearest_centers,
     score_matrix,
@@ -54,6 +55,23 @@ class IVFIndex:
         if not self.trained or self.centroids is None:
             raise RuntimeError("Index must be trained before searching")
 
+    def centroid_arrays(self):
+        """(ids, matrix) of the centroids, collected once (nlist x d, size-checked)."""
+        if getattr(self, "_arrays", None) is None:
+            if check_block_size(self.nlist, self.dimension, DEFAULT_BROADCAST_BYTES) > 1:
+                return None
+            self._arrays = collect_block(self.centroids, "cluster_id", "centroid")
+        return self._arrays
+
+    def nearest(self, df: DataFrame, k: int, id_col: str, vec_col: str, keep_cols=None) -> DataFrame:
+        """Best k lists per row by the index metric (cached centroids when they fit a broadcast)."""
+        arr = self.centroid_arrays()
+        if arr is None:
+            return nearest_centers(df, self.centroids, k, self.metric, id_col=id_col, vec_col=vec_col,
+                                   keep_cols=keep_cols)
+        return _nearest_arrays(df, arr[0], arr[1], max(0, min(k, len(arr[0]))), self.metric, id_col, vec_col,
+                               "cluster_id", keep_cols)
+
 
 def from_centroids(centroids: DataFrame, metric: str, id_col: str = "cluster_id",
                    vec_col: str = "centroid") -> IVFIndex:
@@ -91,8 +109,7 @@ def ivf_add(index: IVFIndex, df: DataFrame, id_col: str = "vec_id", vec_col: str
     src = src.withColumn(vec_col, F.when(bad, F.raise_error(F.concat(
         F.lit(f"Vector dimension mismatch: expected {index.dimension}, got "), F.size(vec_col).cast("string")))
     ).otherwise(F.col(vec_col)))
-    out = nearest_centers(src, index.centroids, 1, index.metric, id_col=id_col, vec_col=vec_col,
-                          keep_cols=[vec_col] + keep)
+    out = index.nearest(src, 1, id_col, vec_col, keep_cols=[vec_col] + keep)
     return out.select("cluster_id", F.col(id_col).alias("doc_id"), F.col(vec_col).alias("vector"), *keep)
 
 
@@ -102,8 +119,7 @@ def ivf_probe(index: IVFIndex, queries: DataFrame, nprobe: int, query_id_col: st
     index.require_trained()
     if nprobe < 0:
         raise ValueError("nprobe must be >= 0")
-    out = nearest_centers(queries, index.centroids, min(nprobe, index.nlist), index.metric,
-                          id_col=query_id_col, vec_col=vec_col)
+    out = index.nearest(queries, min(nprobe, index.nlist), query_id_col, vec_col)
     return out.select(F.col(query_id_col).alias("query_id"), "rank", "cluster_id",
                       round_score(F.col("raw")).alias("score"))
 
@@ -113,9 +129,10 @@ def probe_one(index: IVFIndex, vector, nprobe: int) -> list[int]:
     index.require_trained()
     if nprobe < 0:
         raise ValueError("nprobe must be >= 0")
-    if check_block_size(index.nlist, index.dimension, DEFAULT_BROADCAST_BYTES) > 1:
+    arr = index.centroid_arrays()
+    if arr is None:
         raise ValueError("centroid table too large to rank on the driver; use ivf_search_batch")
-    ids, mat = collect_block(index.centroids, "cluster_id", "centroid")
+    ids, mat = arr
     q = np.asarray(vector, dtype=np.float64)[None, :]
     if q.shape[1] != index.dimension:
         raise ValueError("Query vector dimension mismatch")
