@@ -122,6 +122,14 @@ def index_consistency(shard_reports: DataFrame) -> DataFrame:
                     F.flatten(F.transform("_i", lambda x: x["issues"])).alias("issues"), st.alias("status"))
 
 
+def index_issue_rows(shard_reports: DataFrame) -> DataFrame:
+    """R7's issue list as rows ``(index_name, shard_id, issue_no, issue)``: the same content
+    without gathering an index's issues into one value (for indices with very many shards)."""
+    bad = shard_reports.where(~F.col("is_consistent"))
+    return bad.select("index_name", "shard_id", F.posexplode("issues").alias("issue_no", "issue")) \
+        .withColumn("issue_no", F.col("issue_no") + 1)
+
+
 def consistency_summary(reports: DataFrame) -> DataFrame:
     """R8."""
     return reports.agg(F.count(F.lit(1)).alias("total"),

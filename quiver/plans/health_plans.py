@@ -96,6 +96,13 @@ def r7(spark, sf_dir):
     return H.index_consistency(H.shard_consistency(shards(spark, sf_dir)))
 
 
+@job("R7_index_issue_rows", with_views(
+    "SELECT index_name, shard_id, CAST(generate_subscripts(issues, 1) AS BIGINT) AS issue_no, unnest(issues) AS issue "
+    "FROM sc WHERE NOT is_consistent", _HV, _HC[:5]), "health")
+def r7rows(spark, sf_dir):
+    return H.index_issue_rows(H.shard_consistency(shards(spark, sf_dir)))
+
+
 @job("R8_consistency_summary", with_views(
     "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE status = 'consistent') AS BIGINT) AS consistent, "
     "CAST(count(*) FILTER (WHERE status = 'inconsistent') AS BIGINT) AS inconsistent, "
