@@ -25,12 +25,17 @@ def sql_float(x):
     return f"TRY_CAST(regexp_extract({x}, {FLOAT_RE}, 1) AS DOUBLE)"
 
 
+def sql_strip(col, suffix):
+    """DuckDB: drop a trailing suffix (regex-anchored)."""
+    return f"regexp_replace({col}, '{suffix}$', '')"
+
+
 # ------------------------------------------------------------------ U
 
 
 @job("U1_parse_cpu", with_views(
-    f"SELECT id, cpu_text, round(coalesce({sql_float(chr(39) * 0 + 'regexp_replace(cpu_text, ' + chr(39) + 'm$' + chr(39) + ', ' + chr(39) + chr(39) + ')')}, 0) / 1000.0, 6) AS cpu_cores, "
-    f"round(CASE WHEN suffix(cpu_text, 'm') THEN coalesce({sql_float('regexp_replace(cpu_text, ' + chr(39) + 'm$' + chr(39) + ', ' + chr(39) + chr(39) + ')')}, 0) / 1000.0 "
+    f"SELECT id, cpu_text, round(coalesce({sql_float(sql_strip('cpu_text', 'm'))}, 0) / 1000.0, 6) AS cpu_cores, "
+    f"round(CASE WHEN suffix(cpu_text, 'm') THEN coalesce({sql_float(sql_strip('cpu_text', 'm'))}, 0) / 1000.0 "
     f"ELSE coalesce({sql_float('cpu_text')}, 0) END, 6) AS cpu_cores_strict FROM fx_pod_usage", ["fx_pod_usage"]), "text")
 def u1(spark, sf_dir):
     p = v(spark, sf_dir, "fx_pod_usage")
@@ -44,7 +49,7 @@ _MEM_FACTOR = ("CASE regexp_extract(mem_text, '([KMGTP]i)$', 1) WHEN 'Ki' THEN 1
 
 @job("U2_parse_memory_mib", with_views(
     f"SELECT id, mem_text, round(coalesce({sql_float('mem_text')} * {_MEM_FACTOR}, 0), 6) AS memory_mib, "
-    f"round(coalesce({sql_float('regexp_replace(mem_text, ' + chr(39) + 'Mi$' + chr(39) + ', ' + chr(39) + chr(39) + ')')}, 0), 6) AS memory_mib_parity "
+    f"round(coalesce({sql_float(sql_strip('mem_text', 'Mi'))}, 0), 6) AS memory_mib_parity "
     "FROM fx_pod_usage", ["fx_pod_usage"]), "text")
 def u2(spark, sf_dir):
     p = v(spark, sf_dir, "fx_pod_usage")
@@ -53,7 +58,7 @@ def u2(spark, sf_dir):
 
 
 @job("U3_parse_percent", with_views(
-    f"SELECT id, disk_text, round(coalesce({sql_float('regexp_replace(disk_text, ' + chr(39) + '%$' + chr(39) + ', ' + chr(39) + chr(39) + ')')}, 0), 6) AS disk_pct "
+    f"SELECT id, disk_text, round(coalesce({sql_float(sql_strip('disk_text', '%'))}, 0), 6) AS disk_pct "
     "FROM fx_pod_usage", ["fx_pod_usage"]), "text")
 def u3(spark, sf_dir):
     p = v(spark, sf_dir, "fx_pod_usage")
@@ -160,9 +165,9 @@ def a8(spark, sf_dir):
     return A.lifecycle_events(m.where("document_count <= 40"), m.where("document_count >= 10"))
 
 
-_POD_PARSED = (f"SELECT id, namespace, pod, ts, coalesce({sql_float('regexp_replace(cpu_text, ' + chr(39) + 'm$' + chr(39) + ', ' + chr(39) + chr(39) + ')')}, 0) / 1000.0 AS cpu_cores, "
+_POD_PARSED = (f"SELECT id, namespace, pod, ts, coalesce({sql_float(sql_strip('cpu_text', 'm'))}, 0) / 1000.0 AS cpu_cores, "
                f"coalesce({sql_float('mem_text')} * {_MEM_FACTOR}, 0) AS memory_mib, "
-               f"coalesce({sql_float('regexp_replace(disk_text, ' + chr(39) + '%$' + chr(39) + ', ' + chr(39) + chr(39) + ')')}, 0) AS disk_pct FROM fx_pod_usage")
+               f"coalesce({sql_float(sql_strip('disk_text', '%'))}, 0) AS disk_pct FROM fx_pod_usage")
 
 
 @job("A9_fleet_usage", with_views(
