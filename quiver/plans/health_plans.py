@@ -126,14 +126,14 @@ def active_recoveries(spark, sf_dir):
 
 
 @job("R11_recovery_candidates", with_views(
-    "WITH_R AS_R SELECT * FROM rc", _HV + ["fx_index_metadata"], _HC + [_ACTIVE, (
+    "SELECT * FROM rc", _HV + ["fx_index_metadata"], _HC + [_ACTIVE, (
         "rr", "SELECT index_name, 'reallocate' AS action, 'replication' AS source, CASE WHEN status = 'failed' THEN "
               "printf('Replication failed: %.1f%% complete', round_even(replication_progress, 1)) ELSE printf('Degraded: %d unassigned shards', unreplicated_shards) END "
               "AS description FROM rs WHERE status IN ('failed', 'degraded') AND index_name NOT IN (SELECT index_name FROM act)"), (
         "rc", "SELECT * FROM rr UNION ALL SELECT index_name, 'resync', 'consistency', CASE WHEN status = 'inconsistent' THEN "
               "printf('Inconsistent: %d/%d shards', inconsistent_shards, total_shards) ELSE printf('Severe: %d/%d shards inconsistent', inconsistent_shards, total_shards) END "
               "FROM ic WHERE status IN ('inconsistent', 'error') AND index_name NOT IN (SELECT index_name FROM act) AND index_name NOT IN (SELECT index_name FROM rr)")]
-).replace("WITH_R AS_R ", ""), "health")
+), "health")
 def r11(spark, sf_dir):
     s = shards(spark, sf_dir)
     return H.recovery_candidates(H.replication_status(s), H.index_consistency(H.shard_consistency(s)),
