@@ -22,7 +22,7 @@ from quiver.operators.kmeans import (
 from quiver.operators.knn import exact_knn_join
 from quiver.plans import sqlx
 from quiver.plans.registry import job
-from quiver.plans.vector_plans import BATCH_QUERIES, SINGLE_QUERY, batch_queries, knn_oracle, knn_join_oracle
+from quiver.plans.vector_plans import BATCH_QUERIES, SINGLE_QUERY, batch_queries, knn_join_body, knn_oracle
 from quiver.session import scratch_path
 from quiver.sources.fixtures import spark_view, with_views
 from quiver.sources.tables import table
@@ -80,10 +80,10 @@ def probes_cte(metric, scaled, nprobe=NPROBE, lo=BATCH_QUERIES[0], hi=BATCH_QUER
                       f"FROM {v} q, cent c WHERE q.vec_id BETWEEN {lo} AND {hi}) t WHERE rank <= {nprobe}")
 
 
-def search_body(metric, scaled, k=K):
+def search_body(metric, scaled, k=K, cols="query_id, rank, doc_id"):
     v = _view(scaled)
     s = sqlx.score(metric, "e.embedding", "q.embedding")
-    return (f"SELECT query_id, rank, doc_id, round(raw, 6) AS score FROM (SELECT p.query_id, a.vec_id AS doc_id, {s} AS raw, "
+    return (f"SELECT {cols}, round(raw, 6) AS score FROM (SELECT p.query_id, a.vec_id AS doc_id, {s} AS raw, "
             f"row_number() OVER (PARTITION BY p.query_id ORDER BY {s} {'ASC' if metric == 'l2' else 'DESC'}, a.vec_id) AS rank "
             f"FROM probes p JOIN assign a ON a.cluster_id = p.cluster_id JOIN {v} e ON e.vec_id = a.vec_id "
             f"JOIN {v} q ON q.vec_id = p.query_id) t WHERE rank <= {k}")
@@ -228,10 +228,12 @@ _probe_job("l2", "I4_ivf_probe")
 _probe_job("dot", "I4_ivf_probe_dot")
 
 
+def single_search_ctes(metric, nprobe=NPROBE):
+    return [cent_cte(True), assign_cte(metric, True), probes_cte(metric, True, nprobe, SINGLE_QUERY, SINGLE_QUERY)]
+
+
 def single_search_oracle(metric, k=K, nprobe=NPROBE):
-    body = search_body(metric, True, k).replace("SELECT query_id, rank, doc_id,", "SELECT rank, doc_id,", 1)
-    return with_views(body, SCALED_VIEWS, [cent_cte(True), assign_cte(metric, True),
-                                           probes_cte(metric, True, nprobe, SINGLE_QUERY, SINGLE_QUERY)])
+    return with_views(search_body(metric, True, k, cols="rank, doc_id"), SCALED_VIEWS, single_search_ctes(metric, nprobe))
 
 
 def _search_job(metric, name):
@@ -325,7 +327,7 @@ def i11(spark, sf_dir):
     return ivfm.ivf_search_batch(idx2, lists, batch_queries(e), k=K, nprobe=NPROBE)
 
 
-@job("I12_ann_query", knn_oracle("l2", 10).replace("SELECT rank, vec_id,", "SELECT rank, vec_id AS doc_id,", 1), "ivf")
+@job("I12_ann_query", knn_oracle("l2", 10, id_alias="doc_id"), "ivf")
 def i12(spark, sf_dir):
     """ANN query with defaults (nprobe 10, k 10) on a 10-list index = exact top-10."""
     e, idx = index_for(spark, sf_dir, "l2")
@@ -335,8 +337,8 @@ def i12(spark, sf_dir):
 
 @job("I13_ann_hits_to_docs", with_views(
     "SELECT d.doc_id, h.rank, h.score, d.lang, d.source, d.n_chars FROM documents d JOIN ("
-    + single_search_oracle("l2").split("\n")[-1] + ") h ON h.doc_id = d.doc_id", SCALED_VIEWS,
-    [cent_cte(True), assign_cte("l2", True), probes_cte("l2", True, NPROBE, SINGLE_QUERY, SINGLE_QUERY)]), "ivf")
+    + search_body("l2", True, K, cols="rank, doc_id") + ") h ON h.doc_id = d.doc_id", SCALED_VIEWS,
+    single_search_ctes("l2")), "ivf")
 def i13(spark, sf_dir):
     e, idx = index_for(spark, sf_dir, "l2")
     q = e.where(F.col("vec_id") == SINGLE_QUERY).select("embedding").first()[0]
@@ -355,7 +357,7 @@ def i14(spark, sf_dir):
 
 _RECALL_CTES = [cent_cte(True), assign_cte("l2", True), probes_cte("l2", True, 1),
                 ("approx", search_body("l2", True, 10)),
-                ("exact", knn_join_oracle("l2", 10).split("\n")[-1])]
+                ("exact", knn_join_body("l2", 10))]
 
 
 @job("I16_recall_at_k", with_views(

@@ -323,8 +323,8 @@ def m12(spark, sf_dir):
 def scan_sql(static: bool) -> str:
     cur = "t.replicas" if static else "s.cur_state"
     ticks = ("ticks", "SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY ts, id) AS rn FROM dec")
+    header = "scan(namespace, rn, id, ts, cur_state, last_ts, current_replicas, target_replicas, action, reason)"
     rec = (
-        "scan(namespace, rn, id, ts, cur_state, last_ts, current_replicas, target_replicas, action, reason) AS ("
         "SELECT namespace, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(replicas AS BIGINT), CAST(NULL AS TIMESTAMP), "
         "CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM fx_ns_deployments "
         "UNION ALL "
@@ -340,11 +340,9 @@ def scan_sql(static: bool) -> str:
         f"SELECT *, {_tgt_sql('cur')} AS tgt FROM ("
         f"SELECT t.namespace, t.rn, t.id, t.ts, t.user_id, t.want_up, t.want_down, t.enable_auto_scale_up, t.enable_auto_scale_down, "
         f"t.min_replicas, t.max_replicas, t.quota_ok, s.last_ts, CAST({cur} AS BIGINT) AS cur "
-        "FROM scan s JOIN ticks t ON t.namespace = s.namespace AND t.rn = s.rn + 1) x1) x2) x3) x4) x5)")
-    body = ("SELECT namespace, id, ts, current_replicas, target_replicas, action, reason FROM scan WHERE rn > 0")
-    text = with_views(body, _M_VIEWS, _M_CTES + [ticks])
-    # make the recursive CTE the last one
-    return text.replace("WITH ", "WITH RECURSIVE ", 1).replace("\n" + body, ",\n" + rec + "\n" + body, 1)
+        "FROM scan s JOIN ticks t ON t.namespace = s.namespace AND t.rn = s.rn + 1) x1) x2) x3) x4) x5")
+    body = "SELECT namespace, id, ts, current_replicas, target_replicas, action, reason FROM scan WHERE rn > 0"
+    return with_views(body, _M_VIEWS, _M_CTES + [ticks], recursive=(header, rec))
 
 
 @job("M11_cooldown_gate", scan_sql(static=True), "metric")

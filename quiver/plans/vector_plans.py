@@ -66,14 +66,17 @@ def _batch_job(metric):
 _KNN_IDS = {"l2": "V7_exact_knn_l2", "cosine": "V8_exact_knn_cosine", "dot": "V9_exact_knn_dot"}
 
 
-def knn_oracle(metric: str, k: int, view: str = "fx_scaled_embeddings", qid: int = SINGLE_QUERY) -> str:
-    return with_views(
-        f"SELECT rank, vec_id, round(raw, 6) AS score FROM ("
-        f"SELECT e.vec_id, {sqlx.score(metric, 'e.embedding', 'q.embedding')} AS raw, "
-        f"row_number() OVER (ORDER BY {sqlx.score(metric, 'e.embedding', 'q.embedding')} {'ASC' if metric == 'l2' else 'DESC'}, e.vec_id) AS rank "
-        f"FROM {view} e, (SELECT embedding FROM {view} WHERE vec_id = {qid}) q) t WHERE rank <= {k}",
-        [view] if view.startswith("fx_") else [],
-    )
+def knn_body(metric: str, k: int, view: str = "fx_scaled_embeddings", qid: int = SINGLE_QUERY,
+             id_alias: str = "vec_id") -> str:
+    s = sqlx.score(metric, "e.embedding", "q.embedding")
+    return (f"SELECT rank, vec_id AS {id_alias}, round(raw, 6) AS score FROM ("
+            f"SELECT e.vec_id, {s} AS raw, row_number() OVER (ORDER BY {s} {'ASC' if metric == 'l2' else 'DESC'}, e.vec_id) AS rank "
+            f"FROM {view} e, (SELECT embedding FROM {view} WHERE vec_id = {qid}) q) t WHERE rank <= {k}")
+
+
+def knn_oracle(metric: str, k: int, view: str = "fx_scaled_embeddings", qid: int = SINGLE_QUERY,
+               id_alias: str = "vec_id") -> str:
+    return with_views(knn_body(metric, k, view, qid, id_alias), [view] if view.startswith("fx_") else [])
 
 
 def _knn_job(metric):
@@ -84,16 +87,17 @@ def _knn_job(metric):
     job(_KNN_IDS[metric], knn_oracle(metric, 10), "vector")(run)
 
 
-def knn_join_oracle(metric: str, k: int, view: str = "fx_scaled_embeddings") -> str:
+def knn_join_body(metric: str, k: int, view: str = "fx_scaled_embeddings") -> str:
     lo, hi = BATCH_QUERIES
     s = sqlx.score(metric, "e.embedding", "q.embedding")
-    return with_views(
-        f"SELECT query_id, rank, vec_id, round(raw, 6) AS score FROM ("
-        f"SELECT q.vec_id AS query_id, e.vec_id, {s} AS raw, "
-        f"row_number() OVER (PARTITION BY q.vec_id ORDER BY {s} {'ASC' if metric == 'l2' else 'DESC'}, e.vec_id) AS rank "
-        f"FROM {view} e, (SELECT vec_id, embedding FROM {view} WHERE vec_id BETWEEN {lo} AND {hi}) q) t WHERE rank <= {k}",
-        [view] if view.startswith("fx_") else [],
-    )
+    return (f"SELECT query_id, rank, vec_id, round(raw, 6) AS score FROM ("
+            f"SELECT q.vec_id AS query_id, e.vec_id, {s} AS raw, "
+            f"row_number() OVER (PARTITION BY q.vec_id ORDER BY {s} {'ASC' if metric == 'l2' else 'DESC'}, e.vec_id) AS rank "
+            f"FROM {view} e, (SELECT vec_id, embedding FROM {view} WHERE vec_id BETWEEN {lo} AND {hi}) q) t WHERE rank <= {k}")
+
+
+def knn_join_oracle(metric: str, k: int, view: str = "fx_scaled_embeddings") -> str:
+    return with_views(knn_join_body(metric, k, view), [view] if view.startswith("fx_") else [])
 
 
 def _knn_join_job(metric):

@@ -165,9 +165,15 @@ def duckdb_ctes(names: list[str]) -> list[tuple[str, str]]:
     return ctes
 
 
-def with_views(body: str, views: list[str] = (), ctes: list[tuple[str, str]] = ()) -> str:
-    """DuckDB SQL: ``WITH <fixture views>, <extra ctes> <body>``."""
-    parts = duckdb_ctes(list(views)) + list(ctes)
+def with_views(body: str, views: list[str] = (), ctes: list[tuple[str, str]] = (),
+               recursive: tuple[str, str] | None = None) -> str:
+    """DuckDB SQL: ``WITH [RECURSIVE] <fixture views>, <extra ctes>[, <recursive cte>] <body>``.
+
+    ``recursive`` is ``(header, text)``, e.g. ``("scan(a, b)", "SELECT ... UNION ALL SELECT ...")``.
+    """
+    parts = [f"{n} AS ({t})" for n, t in duckdb_ctes(list(views)) + list(ctes)]
+    if recursive is not None:
+        parts.append(f"{recursive[0]} AS ({recursive[1]})")
     if not parts:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in parts) + "\n" + body
+    return ("WITH RECURSIVE " if recursive is not None else "WITH ") + ",\n".join(parts) + "\n" + body
