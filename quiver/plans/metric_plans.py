@@ -9,6 +9,7 @@ from quiver.operators import reports as A
 from quiver.operators import scaling as M
 from quiver.operators.scaler_chunks import scaling_scan_chunked
 from quiver.operators.tenants import quota_check
+from quiver.plans import sqlx
 from quiver.plans.registry import job
 from quiver.sources.fixtures import spark_view, with_views
 from quiver.sources.tables import table
@@ -18,16 +19,9 @@ def v(spark, sf_dir, name):
     return spark_view(spark, sf_dir, name)
 
 
-FLOAT_RE = "'^\\s*([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)'"
-
-
-def sql_float(x):
-    return f"TRY_CAST(regexp_extract({x}, {FLOAT_RE}, 1) AS DOUBLE)"
-
-
-def sql_strip(col, suffix):
-    """DuckDB: drop a trailing suffix (regex-anchored)."""
-    return f"regexp_replace({col}, '{suffix}$', '')"
+sql_float = sqlx.leading_float
+sql_strip = sqlx.strip_suffix
+_MEM_FACTOR = sqlx.MEM_FACTOR
 
 
 # ------------------------------------------------------------------ U
@@ -43,9 +37,6 @@ def u1(spark, sf_dir):
                     F.round(U.parse_cpu("cpu_text", strict=True), 6).alias("cpu_cores_strict"))
 
 
-_MEM_FACTOR = ("CASE regexp_extract(mem_text, '([KMGTP]i)$', 1) WHEN 'Ki' THEN 1.0/1024 WHEN 'Gi' THEN 1024.0 "
-               "WHEN 'Ti' THEN 1048576.0 WHEN 'Pi' THEN 1073741824.0 ELSE 1.0 END")
-
 
 @job("U2_parse_memory_mib", with_views(
     f"SELECT id, mem_text, round(coalesce({sql_float('mem_text')} * {_MEM_FACTOR}, 0), 6) AS memory_mib, "
@@ -165,9 +156,8 @@ def a8(spark, sf_dir):
     return A.lifecycle_events(m.where("document_count <= 40"), m.where("document_count >= 10"))
 
 
-_POD_PARSED = (f"SELECT id, namespace, pod, ts, coalesce({sql_float(sql_strip('cpu_text', 'm'))}, 0) / 1000.0 AS cpu_cores, "
-               f"coalesce({sql_float('mem_text')} * {_MEM_FACTOR}, 0) AS memory_mib, "
-               f"coalesce({sql_float(sql_strip('disk_text', '%'))}, 0) AS disk_pct FROM fx_pod_usage")
+_POD_PARSED = (f"SELECT id, namespace, pod, ts, {sqlx.cpu_cores()} AS cpu_cores, {sqlx.memory_mib()} AS memory_mib, "
+               f"{sqlx.percent()} AS disk_pct FROM fx_pod_usage")
 
 
 @job("A9_fleet_usage", with_views(

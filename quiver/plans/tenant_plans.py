@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quiver.functions.text import parse_cpu, parse_memory_mib, parse_percent
 from quiver.operators import tenants as T
+from quiver.plans import sqlx
 from quiver.plans.registry import job
 from quiver.sources.fixtures import spark_view, with_views
 from quiver.sources.tables import table
@@ -178,12 +179,8 @@ def t14(spark, sf_dir):
     return T.request_normalise(v(spark, sf_dir, "fx_requests"))
 
 
-_WIDE_SQL = ("SELECT p.id, p.namespace, round(p_cpu, 6) AS cpu_usage, round(p_mem, 6) AS memory_usage, round(p_disk, 6) AS disk_usage, m.qps, p.ts "
-             "FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(regexp_replace(cpu_text, 'm$', ''), '^\\s*([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) AS DOUBLE), 0) / 1000.0 AS p_cpu, "
-             "coalesce(TRY_CAST(regexp_extract(mem_text, '^\\s*([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) AS DOUBLE) * "
-             "CASE regexp_extract(mem_text, '([KMGTP]i)$', 1) WHEN 'Ki' THEN 1.0/1024 WHEN 'Gi' THEN 1024.0 WHEN 'Ti' THEN 1048576.0 WHEN 'Pi' THEN 1073741824.0 ELSE 1.0 END, 0) AS p_mem, "
-             "coalesce(TRY_CAST(regexp_extract(regexp_replace(disk_text, '%$', ''), '^\\s*([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) AS DOUBLE), 0) AS p_disk "
-             "FROM fx_pod_usage) p JOIN fx_metrics m ON m.id = p.id")
+_WIDE_SQL = (f"SELECT p.id, p.namespace, round({sqlx.cpu_cores()}, 6) AS cpu_usage, round({sqlx.memory_mib()}, 6) AS memory_usage, "
+             f"round({sqlx.percent()}, 6) AS disk_usage, m.qps, p.ts FROM fx_pod_usage p JOIN fx_metrics m ON m.id = p.id")
 
 
 def wide_container_metrics(spark, sf_dir):
