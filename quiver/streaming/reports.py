@@ -1,9 +1,10 @@
 """A7 as an event-time stream: per-index, per-tick QPS and latency percentiles.
 
-A watermark bounds the window state: ticks older than the watermark are
-finalised and dropped from state (late rows for them are ignored).  Update
-mode emits each window's new aggregate whenever it changes; the sink keeps the
-latest version per (index, window).
+A watermark bounds the window state: once the watermark passes a tick's end,
+the tick is evicted from state and rows that arrive for it later are dropped
+(rows within the watermark delay are always counted).  Update mode emits each
+window's new aggregate whenever it changes; the sink keeps the latest version
+per (index, window).
 """
 
 from __future__ import annotations
