@@ -16,8 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Arrow batches for mapInPandas scorers; keep them moderate so a batch of
-    # 4096-dim vectors still fits comfortably in a Python worker.
+    # Arrow batches fed to the mapInArrow / applyInPandas tasks; moderate so a
+    # batch of 4096-dim vectors still fits comfortably in a Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
 }
 
@@ -39,7 +39,11 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``quiver`` importable in executor Python workers (``addPyFile`` of a zip of the
-    package, once per application) - the programmatic form of ``spark-submit --py-files``."""
+    package, once per application) - the programmatic form of ``spark-submit --py-files``.
+
+    The zip is staged on the driver only; Spark's file server hands it to every
+    executor (including replacements for lost ones), so no executor reads a
+    driver-local path."""
     import zipfile
 
     sc = spark.sparkContext
