@@ -88,7 +88,7 @@ def multiline_records(lines: DataFrame, line_col: str = "line_no", raw_col: str
 
 
 def regex_fields(records: DataFrame, text_col: str = "text") -> DataFrame:
-    """L3: named fields ``time`` and ``message`` of an Elasticsearch record; time parsed."""
+    """L3: named fields ``time`` and ``message`` of a search-node log record; time parsed."""
     t = F.regexp_extract(F.col(text_col), ES_LINE, 1)
     m = F.regexp_extract(F.col(text_col), ES_LINE, 2)
     matched = F.col(text_col).rlike(ES_LINE)

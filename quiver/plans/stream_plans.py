@@ -143,7 +143,7 @@ def l6s(spark, sf_dir):
 
 @job("L2_log_multiline_stream", ORACLE["L2_log_multiline"], "stream")
 def l2s(spark, sf_dir):
-    """Elasticsearch log lines arrive in three ordered files; open records flush when the file idles."""
+    """Search-node log lines arrive in three ordered files; open records flush when the file idles."""
     import time
 
     lines = v(spark, sf_dir, "fx_logs").where("tag = 'elasticsearch'").select(
