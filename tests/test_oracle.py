@@ -22,10 +22,11 @@ def test_entry_runs(spark):
 def test_every_job_has_oracle_or_is_iterative():
     jobs, oracle = E.queries(), E.oracle_sql()
     assert set(oracle) <= set(jobs)
-    assert sorted(set(jobs) - set(oracle)) == ["C6_kmeans_train", "I1_ivf_train"]
+    core = {k for k in jobs if k != "pipeline" and not k.startswith("op")}
+    assert sorted(core - set(oracle)) == ["C6_kmeans_train", "I1_ivf_train"]
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.LLM_JOBS)))
 def test_job_matches_oracle(spark, con, name):
     r = compare(spark, con, SF, name, E.queries()[name], E.oracle_sql().get(name))
     assert r["ok"] is not False, r
