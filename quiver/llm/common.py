@@ -212,49 +212,69 @@ def unblob(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> tuple[np.ndarr
     return np.concatenate(bodies), np.concatenate(ids)
 
 
-HIT_SCHEMA = "doc_id long, hits binary"
+#: Hits on their way to their documents: (document, value) pairs packed by group of documents.
+HIT_SCHEMA = "bucket int, body binary"
+PAIR = np.dtype([("i", "<i8"), ("v", "<u8")])
 
 
-def hit_rows(doc: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """One row per document with its values packed as bytes."""
-    order = np.argsort(doc, kind="stable")
-    doc, values = doc[order], values[order]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]]) if len(doc) else np.zeros(1, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[cut[:-1]] if len(doc) else [], pa.int64()),
-         pa.array([values[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "hits"])
+def _packed(doc: np.ndarray, values: np.ndarray, groups: int) -> tuple[np.ndarray, list[bytes]]:
+    pair = np.zeros(len(doc), PAIR)
+    pair["i"], pair["v"] = doc, values.astype(np.uint64)
+    group = (mix(pair["i"].astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    order = np.argsort(group, kind="stable")
+    group, pair = group[order], pair[order]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
+    return group[cut[:-1]] if len(group) else group, [pair[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])]
 
 
-def settled_rows(doc: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """Hits that a batch resolved by itself, in the schema of blobs: bucket -1, ids the document."""
-    rows = hit_rows(doc, values)
-    ids = pa.array([np.int64(x).tobytes() for x in rows.column("doc_id").to_pylist()], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, -1, np.int32)), ids, rows.column("hits")], names=["bucket", "ids", "body"])
+def hit_rows(doc: np.ndarray, values: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Hits (document, 64-bit value), one row per group of documents."""
+    group, bodies = _packed(doc, values, groups)
+    return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
+
+
+def settled_rows(doc: np.ndarray, values: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Hits that a batch resolved by itself, among its blobs: bucket -1 - group."""
+    group, bodies = _packed(doc, values, groups)
+    return pa.RecordBatch.from_arrays([pa.array(-1 - group, pa.int32()), pa.array([b""] * len(bodies), pa.binary()), pa.array(bodies, pa.binary())],
+                                      names=["bucket", "ids", "body"])
 
 
 def split_settled(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
     """(hit rows that only pass through, blobs to work on)."""
     through, work = [], []
     for batch in batches:
-        own = batch.column("bucket").to_numpy() < 0
-        passed = batch.filter(pa.array(own))
+        bucket = batch.column("bucket").to_numpy()
+        passed = batch.filter(pa.array(bucket < 0))
         if passed.num_rows:
-            ids = [int(np.frombuffer(x.as_buffer(), np.int64)[0]) for x in passed.column("ids")]
-            through.append(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), passed.column("body")], names=["doc_id", "hits"]))
-        work.append(batch.filter(pa.array(~own)))
+            through.append(pa.RecordBatch.from_arrays([pa.array(-1 - bucket[bucket < 0], pa.int32()), passed.column("body")], names=["bucket", "body"]))
+        work.append(batch.filter(pa.array(bucket >= 0)))
     return through, work
 
 
 def dealt(rows: DataFrame, buckets: int) -> DataFrame:
-    """Blobs to the task of their bucket, settled hits spread by document."""
-    slot = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("ids"), F.lit(buckets)).cast("int"))
+    """Blobs to the task of their bucket, settled hits to that of their group."""
+    slot = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.col("bucket")).cast("int")
     return rows.repartition(buckets, slot)
 
 
-def gathered(hits: DataFrame) -> DataFrame:
-    """One row per document: all its packed hits (at most its own windows)."""
-    return hits.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("hits")), "").alias("x")).select(
-        "doc_id", F.unhex("x").alias("hits"))
+def gathered(hits: DataFrame, groups: int) -> DataFrame:
+    """(doc_id, hits): one row per document with all its values as packed bytes (at most its own windows)."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bodies = [np.frombuffer(x.as_buffer(), PAIR) for batch in batches for x in batch.column("body")]
+        if not bodies:
+            return
+        pair = np.concatenate(bodies)
+        pair = pair[np.argsort(pair["i"], kind="stable")]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(pair["i"])) + 1, [len(pair)]])
+        for lo in range(0, len(cut) - 1, 1024):
+            edge = cut[lo:lo + 1025]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pair["i"][edge[:-1]], pa.int64()), pa.array([pair["v"][a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())],
+                names=["doc_id", "hits"])
+
+    return hits.repartition(groups, "bucket").mapInArrow(gather, "doc_id long, hits binary")
 
 
 # -------------------------------------------------- bounded document bitmap

@@ -42,6 +42,7 @@ DEPTHS = (1, 2, 4, 8)
 CELLS = 1 << 14
 ENTRY = np.dtype([("h", "<u8"), ("d", "<u2")])
 
+
 def _suffixes(buf: np.ndarray, offsets: np.ndarray, window: int):
     """(words, window starts, window hashes, prefix sums) of one piece."""
     words = C.find_words(buf, offsets, C.NON_SPACE)
@@ -118,7 +119,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             first = ids[d][head][np.cumsum(head) - 1] if len(h) else ids[d]
             here = ids[d] > first
             if here.any():  # resolved within the batch
-                yield C.settled_rows(ids[d][here], h[here])
+                yield C.settled_rows(ids[d][here], h[here], groups)
             body = np.zeros(int(head.sum()), ENTRY)
             body["h"], body["d"] = h[head], d[head]
             yield C.blobs(b[head], body, ids)
@@ -141,10 +142,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         np.minimum.at(least, k, doc)
         later = doc > least[k]
         if later.any():
-            yield C.hit_rows(doc[later], h[later])
+            yield C.hit_rows(doc[later], h[later], groups)
 
     rows = docs.select("doc_id", "text").mapInArrow(emit, C.BLOB_SCHEMA)
-    return C.dealt(rows, groups).mapInArrow(subtrees, C.HIT_SCHEMA)
+    return C.gathered(C.dealt(rows, groups).mapInArrow(subtrees, C.HIT_SCHEMA), groups)
 
 
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept string, kept_sha256 string"
@@ -205,8 +206,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     hits = C.written(repeated_windows(docs, window), "substring-hits")
     seen = C.maybe_in(hits)
     whole = docs.where(~seen).mapInArrow(_cut(window, texts), RESULT)
-    per_doc = C.gathered(hits)
-    part = docs.where(seen).join(per_doc, "doc_id", "left").mapInArrow(_cut(window, texts), RESULT)
+    part = docs.where(seen).join(hits, "doc_id", "left").mapInArrow(_cut(window, texts), RESULT)
     return whole.unionByName(part)
 
 
