@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiver.session import checkpoint_dir, scratch_path, ship_package
@@ -279,26 +279,21 @@ def gathered(hits: DataFrame, groups: int) -> DataFrame:
 
 # -------------------------------------------------- bounded document bitmap
 
-CELLS = 1 << 23  # bits, 1 MB in all: the bound on what is collected and sent to tasks
+CELLS = 1 << 23  # bits, 1 MB in all: the bound on what is broadcast
 
 
-def _cell(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(CELLS)) + 1
+def split_by(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows that ``ids`` may name, rows that it surely does not name), without a shuffle of ``docs``.
 
-
-def maybe_in(ids: DataFrame, key: str = "doc_id") -> Column:
-    """A JVM-side test on ``key``: false only for keys that ``ids`` surely lacks.
-
-    The bitmap has a fixed size, whatever the number of ids; with very many
-    ids it merely prunes less, so that a join after it stays exact."""
-    cells = ids.select(_cell(F.col(key)).alias("c"))
-    rows = cells.groupBy(F.bitmap_bucket_number("c").alias("b")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("m")).collect()
-    per = 32768
-    bits = bytearray(CELLS // 8)
-    for r in rows:
-        lo = (r["b"] - 1) * per // 8
-        bits[lo:lo + per // 8] = bytes(r["m"])[: per // 8]
-    at = _cell(F.col(key)) - 1
-    byte = F.conv(F.hex(F.substr(F.lit(bytes(bits)), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+    The ids are hashed into a bitmap of a fixed size, 256 rows of 4 KB, which is
+    broadcast whatever the number of ids; with very many ids it merely prunes
+    less, so an exact join of the first part must follow."""
+    cell = F.pmod(F.xxhash64(F.col(key)), F.lit(CELLS)) + 1
+    bits = ids.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("__bits"))
+    marked = docs.withColumn("__cell", cell)
+    marked = marked.join(F.broadcast(bits), F.bitmap_bucket_number("__cell") == F.col("__bucket"), "left")
+    at = F.bitmap_bit_position("__cell")
+    byte = F.conv(F.hex(F.substr("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = marked.withColumn("__maybe", F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False)))
+    return tuple(marked.where(c).select(*docs.columns) for c in (F.col("__maybe"), ~F.col("__maybe")))

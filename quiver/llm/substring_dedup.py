@@ -204,9 +204,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     C.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hits = C.written(repeated_windows(docs, window), "substring-hits")
-    seen = C.maybe_in(hits)
-    whole = docs.where(~seen).mapInArrow(_cut(window, texts), RESULT)
-    part = docs.where(seen).join(hits, "doc_id", "left").mapInArrow(_cut(window, texts), RESULT)
+    suspect, clean = C.split_by(docs, hits)
+    whole = clean.mapInArrow(_cut(window, texts), RESULT)
+    part = suspect.join(hits, "doc_id", "left").mapInArrow(_cut(window, texts), RESULT)
     return whole.unionByName(part)
 
 

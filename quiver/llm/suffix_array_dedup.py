@@ -317,10 +317,8 @@ def remove_duplicates(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     tied = C.written(_tied_samples(docs, cover, buckets), "tied-samples")
     repeats = digests.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-    # each a bounded bitmap: what it does not name cannot be touched, what it names is joined exactly
-    marked = C.maybe_in(tied) | C.maybe_in(copies) | C.maybe_in(repeats)
-    clean = docs.where(~marked)
-    suspects = docs.where(marked).dropDuplicates(["doc_id"])
+    suspects, clean = C.split_by(docs, tied.select("doc_id").unionByName(copies).unionByName(repeats.select("doc_id")))
+    suspects = suspects.dropDuplicates(["doc_id"])
     # whole copies leave here, with all their bytes removed
     joined = C.written(
         suspects.join(copies.withColumn("whole", F.lit(True)), "doc_id", "left")
