@@ -37,12 +37,12 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = parent
         else:
-            step = parent.withColumnsRenamed({"node": "root", "root": "next"})
+            step = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
             labels = labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
             labels = C.written(labels.unionByName(parent.join(labels, "node", "left_anti")), "labels")
         ends = left
         for end in ("hi", "lo"):
-            ends = ends.join(parent.withColumnsRenamed({"node": end, "root": f"root_{end}"}), end, "left").withColumn(
+            ends = ends.join(parent.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(
                 end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
         left = C.written(ends.where("hi != lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), "edges")
     return labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct().join(labels, "node", "left_anti"))
