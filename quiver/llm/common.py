@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    # the job's shuffle files go when nothing in the driver refers to them any more
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -212,31 +216,32 @@ def unblob(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> tuple[np.ndarr
     return np.concatenate(bodies), np.concatenate(ids)
 
 
-#: Hits on their way to their documents: (document, value) pairs packed by group of documents.
-HIT_SCHEMA = "bucket int, body binary"
-PAIR = np.dtype([("i", "<i8"), ("v", "<u8")])
+#: Hits on their way to their documents travel as blobs too: of a group of documents
+#: the ids with their numbers of values, and the values one after the other.
+IDS = np.dtype([("i", "<i8"), ("n", "<u4")])
 
 
-def _packed(doc: np.ndarray, values: np.ndarray, groups: int) -> tuple[np.ndarray, list[bytes]]:
-    pair = np.zeros(len(doc), PAIR)
-    pair["i"], pair["v"] = doc, values.astype(np.uint64)
-    group = (mix(pair["i"].astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
-    order = np.argsort(group, kind="stable")
-    group, pair = group[order], pair[order]
+def _packed(doc: np.ndarray, values: np.ndarray, groups: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    group = (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    order = np.lexsort((doc, group))
+    group, doc, values = group[order], doc[order], values[order]
     cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
-    return group[cut[:-1]] if len(group) else group, [pair[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])]
-
-
-def hit_rows(doc: np.ndarray, values: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Hits (document, 64-bit value), one row per group of documents."""
-    group, bodies = _packed(doc, values, groups)
-    return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
-
-
-def settled_rows(doc: np.ndarray, values: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Hits that a batch resolved by itself, among its blobs: bucket -1 - group."""
-    group, bodies = _packed(doc, values, groups)
-    return pa.RecordBatch.from_arrays([pa.array(-1 - group, pa.int32()), pa.array([b""] * len(bodies), pa.binary()), pa.array(bodies, pa.binary())],
+    ids, bodies = [], []
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        i, n = np.unique(doc[lo:hi], return_counts=True)
+        head = np.zeros(len(i), IDS)
+        head["i"], head["n"] = i, n
+        ids.append(head.tobytes())
+        bodies.append(values[lo:hi].tobytes())
+    return group[cut[:-1]].tolist() if len(group) else [], ids, bodies
+
+
+def hit_rows(doc: np.ndarray, values: np.ndarray, groups: int, settled: bool = False) -> pa.RecordBatch:
+    """Hits (document, value), one row per group of documents; hits that a batch
+    resolved by itself stand among its blobs, with the bucket -1 - group."""
+    group, ids, bodies = _packed(doc, values, groups)
+    group = np.array(group, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(-1 - group if settled else group, pa.int32()), pa.array(ids, pa.binary()), pa.array(bodies, pa.binary())],
                                       names=["bucket", "ids", "body"])
 
 
@@ -247,7 +252,8 @@ def split_settled(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatc
         bucket = batch.column("bucket").to_numpy()
         passed = batch.filter(pa.array(bucket < 0))
         if passed.num_rows:
-            through.append(pa.RecordBatch.from_arrays([pa.array(-1 - bucket[bucket < 0], pa.int32()), passed.column("body")], names=["bucket", "body"]))
+            through.append(pa.RecordBatch.from_arrays([pa.array(-1 - bucket[bucket < 0], pa.int32()), passed.column("ids"), passed.column("body")],
+                                                      names=["bucket", "ids", "body"]))
         work.append(batch.filter(pa.array(bucket >= 0)))
     return through, work
 
@@ -258,20 +264,26 @@ def dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartition(buckets, slot)
 
 
-def gathered(hits: DataFrame, groups: int) -> DataFrame:
+def gathered(hits: DataFrame, groups: int, dtype: str) -> DataFrame:
     """(doc_id, hits): one row per document with all its values as packed bytes (at most its own windows)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies = [np.frombuffer(x.as_buffer(), PAIR) for batch in batches for x in batch.column("body")]
-        if not bodies:
+        docs, values = [], []
+        for batch in batches:
+            for i, x in zip(batch.column("ids"), batch.column("body")):
+                head = np.frombuffer(i.as_buffer(), IDS)
+                docs.append(np.repeat(head["i"], head["n"]))
+                values.append(np.frombuffer(x.as_buffer(), dtype))
+        if not docs:
             return
-        pair = np.concatenate(bodies)
-        pair = pair[np.argsort(pair["i"], kind="stable")]
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(pair["i"])) + 1, [len(pair)]])
+        doc, value = np.concatenate(docs), np.concatenate(values)
+        order = np.argsort(doc, kind="stable")
+        doc, value = doc[order], value[order]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
         for lo in range(0, len(cut) - 1, 1024):
             edge = cut[lo:lo + 1025]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pair["i"][edge[:-1]], pa.int64()), pa.array([pair["v"][a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())],
+                [pa.array(doc[edge[:-1]], pa.int64()), pa.array([value[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())],
                 names=["doc_id", "hits"])
 
     return hits.repartition(groups, "bucket").mapInArrow(gather, "doc_id long, hits binary")

@@ -119,7 +119,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             first = ids[d][head][np.cumsum(head) - 1] if len(h) else ids[d]
             here = ids[d] > first
             if here.any():  # resolved within the batch
-                yield C.settled_rows(ids[d][here], h[here], groups)
+                yield C.hit_rows(ids[d][here], h[here], groups, settled=True)
             body = np.zeros(int(head.sum()), ENTRY)
             body["h"], body["d"] = h[head], d[head]
             yield C.blobs(b[head], body, ids)
@@ -145,7 +145,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield C.hit_rows(doc[later], h[later], groups)
 
     rows = docs.select("doc_id", "text").mapInArrow(emit, C.BLOB_SCHEMA)
-    return C.gathered(C.dealt(rows, groups).mapInArrow(subtrees, C.HIT_SCHEMA), groups)
+    return C.gathered(C.dealt(rows, groups).mapInArrow(subtrees, C.BLOB_SCHEMA), groups, "<u8")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept string, kept_sha256 string"

@@ -1,21 +1,21 @@
 """Suffix-array deduplication by a difference cover, one bucket of suffixes at a time.
 
-A difference cover D of v = 73 holds nine residues such that any two positions
+A difference cover D of v = 31 holds six residues such that any two positions
 i, j have a shift s < v with (i + s) mod v and (j + s) mod v both in D.  Two
 suffixes that agree on 100 bytes therefore agree, at some shift, on *cover
-samples* of 100 - v + 1 = 28 bytes, and the order of long ties can be read off the
+samples* of 100 - v + 1 = 70 bytes, and the order of long ties can be read off the
 samples' ranks instead of the texts.  That gives three blockwise passes, each
 of which sorts one bucket of suffixes per task:
 
-1. cover samples (an eighth of all positions) are bucketed by their 28 bytes;
+1. cover samples (a fifth of all positions) are bucketed by their 70 bytes;
    a bucket's sort tells which samples have rank ties.  Suffixes whose samples
    are all unique are settled: nothing equals them on 100 bytes.
-2. tied samples are ordered by their *context*, the 172 bytes any window
+2. tied samples are ordered by their *context*, the 130 bytes any window
    holding the sample can touch.  All windows of a context that has an earlier
    (doc, position) are duplicates; only the first member of each context of a
    still ambiguous sample goes on.
 3. the windows around those first members are sorted by their 100 bytes
-   (two 64-bit hashes); every window but the earliest is a duplicate.
+   (96 bits of hashes); every window but the earliest is a duplicate.
 
 Removed bytes are the union of the duplicate windows.  Whole copies of an
 earlier text need none of this: they are found by digest and removed whole.
@@ -44,13 +44,16 @@ from pyspark.sql import functions as F
 from quiver.llm import common as C
 
 LENGTH = 100
-# A perfect difference cover, every difference modulo 73 occurs once.
-COVER_MODULUS = 73
-COVER = (0, 1, 3, 7, 15, 31, 36, 54, 63)
+# A perfect difference cover, every difference modulo 31 occurs once.
+COVER_MODULUS = 31
+COVER = (1, 5, 11, 24, 25, 27)
 
-SAMPLE = np.dtype([("h", "<u8"), ("d", "<u2")])
-CONTEXT = np.dtype([("h", "<u8"), ("c", "<u8"), ("p", "<i8"), ("d", "<u2")])
-WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("p", "<i8"), ("d", "<u2")])
+# Samples and the samples of contexts need no more than 32 bits besides their
+# bucket: a chance tie only keeps a suffix in the work.  What decides is longer:
+# contexts have 64 bits and their sample's, windows 96.
+SAMPLE = np.dtype([("h", "<u4"), ("d", "<u2")])
+CONTEXT = np.dtype([("h", "<u4"), ("c", "<u8"), ("p", "<u4"), ("d", "<u2")])
+WINDOW = np.dtype([("h", "<u8"), ("g", "<u4"), ("p", "<u4"), ("d", "<u2")])
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
@@ -79,21 +82,11 @@ class Cover:
         ok = self.in_cover[local % COVER_MODULUS] & (local + self.sample <= size[row]) & (size[row] >= self.length)
         return at[ok], row[ok]
 
-    def samples(self, buf, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(byte, row, hash of the sample) of every cover sample."""
+    def samples(self, buf, offsets, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(byte, row, bucket, 32-bit rank name) of every cover sample."""
         at, row = self.positions(offsets)
-        return at, row, C.POLY.span(C.POLY.prefix_bytes(buf), at, at + self.sample)
-
-
-def _once_per_batch(h: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first entry of each distinct hash, entries whose hash occurs twice); first by ``tie``."""
-    order = np.lexsort((tie, h))
-    s = h[order]
-    head = np.ones(len(s), bool)
-    head[1:] = s[1:] != s[:-1]
-    single = head.copy()
-    single[:-1] &= head[1:]
-    return order[head], order[~single]
+        h = C.POLY.span(C.POLY.prefix_bytes(buf), at, at + self.sample)
+        return at, row, ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), h.astype(np.uint32)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -104,40 +97,57 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _tied_samples(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
-    """Pass 1: (doc_id, hits) with the hashes of samples that occur more than once."""
+    """Pass 1: (doc_id, hits) with the rank names of samples that occur more than once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, buf, offsets = _columns(batch)
-            hs, ds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            hs, bs, ds = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for lo, hi in C.pieces(offsets):
-                _, row, h = cover.samples(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                _, row, b, h = cover.samples(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], buckets)
                 hs.append(h)
+                bs.append(b)
                 ds.append(row + lo)
-            h, d = np.concatenate(hs), np.concatenate(ds)
-            first, again = _once_per_batch(h, ids[d])
-            if len(again):
-                again = again[np.lexsort((d[again], h[again]))]
-                new = np.ones(len(again), bool)
-                new[1:] = (h[again[1:]] != h[again[:-1]]) | (d[again[1:]] != d[again[:-1]])
-                again = again[new]
-                yield C.settled_rows(ids[d[again]], h[again], buckets)
-            body = np.zeros(len(first), SAMPLE)
-            body["h"], body["d"] = h[first], d[first]
-            yield C.blobs((C.mix(body["h"]) % np.uint64(buckets)).astype(np.int32), body, ids)
+            h, b, d = np.concatenate(hs), np.concatenate(bs), np.concatenate(ds)
+            order = np.lexsort((d, h, b))
+            h, b, d = h[order], b[order], d[order]
+            same = (h[1:] == h[:-1]) & (b[1:] == b[:-1])
+            head, single = np.ones(len(h), bool), np.ones(len(h), bool)
+            head[1:] = ~same
+            single[1:] &= ~same
+            single[:-1] &= ~same
+            # equal samples of this batch are tied as they are; one of them is sent on
+            again = ~single
+            again[1:] &= head[1:] | (d[1:] != d[:-1])
+            if again.any():
+                yield C.hit_rows(ids[d[again]], h[again], buckets, settled=True)
+            body = np.zeros(int(head.sum()), SAMPLE)
+            body["h"], body["d"] = h[head], d[head]
+            yield C.blobs(b[head], body, ids)
 
     def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         through, work = C.split_settled(batches)
         yield from through
-        body, doc = C.unblob(iter(work), SAMPLE)
-        label = np.sort(body["h"])
-        tied = np.unique(label[1:][label[1:] == label[:-1]])
-        if len(tied):
-            k = np.minimum(np.searchsorted(tied, body["h"]), len(tied) - 1)
-            at = tied[k] == body["h"]
-            yield C.hit_rows(doc[at], body["h"][at], buckets)
+        # a task may hold several buckets: their names are told apart
+        for group in _by_bucket(work):
+            body, doc = C.unblob(iter([group]), SAMPLE)
+            label = np.sort(body["h"])
+            tied = np.unique(label[1:][label[1:] == label[:-1]])
+            if len(tied):
+                k = np.minimum(np.searchsorted(tied, body["h"]), len(tied) - 1)
+                at = tied[k] == body["h"]
+                yield C.hit_rows(doc[at], body["h"][at], buckets)
+
+    return C.gathered(C.dealt(docs.mapInArrow(emit, C.BLOB_SCHEMA), buckets).mapInArrow(sort_bucket, C.BLOB_SCHEMA), buckets, "<u4")
 
-    return C.gathered(C.dealt(docs.mapInArrow(emit, C.BLOB_SCHEMA), buckets).mapInArrow(sort_bucket, C.HIT_SCHEMA), buckets)
+
+def _by_bucket(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if batches:
+        table = pa.Table.from_batches(batches).sort_by("bucket").combine_chunks()
+        bucket = table.column("bucket").to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            yield from table.slice(lo, hi - lo).combine_chunks().to_batches()
 
 
 def _order_contexts(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
@@ -149,54 +159,53 @@ def _order_contexts(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
         for batch in batches:
             ids, buf, offsets = _columns(batch)
             hits = batch.column("hits")
-            parts = [np.zeros(0, CONTEXT)]
+            parts, where = [np.zeros(0, CONTEXT)], [np.zeros(0, np.int32)]
             for lo, hi in C.pieces(offsets):
                 offs = offsets[lo:hi + 1] - offsets[lo]
                 piece = buf[offsets[lo]:offsets[hi]]
-                at, row, h = cover.samples(piece, offs)
+                at, row, bucket, h = cover.samples(piece, offs, buckets)
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
                 keep = np.zeros(len(h), bool)
                 for r in range(hi - lo):
                     if hits[lo + r].is_valid:
                         s = slice(edge[r], edge[r + 1])
-                        keep[s] = np.isin(h[s], np.frombuffer(hits[lo + r].as_buffer(), np.uint64))
+                        keep[s] = np.isin(h[s], np.frombuffer(hits[lo + r].as_buffer(), np.uint32))
                 at, row, h = at[keep], row[keep], h[keep]
+                where.append(bucket[keep])
                 left, right = np.maximum(at - reach, offs[row]), np.minimum(at + cover.length, offs[row + 1])
                 part = np.zeros(len(at), CONTEXT)
                 part["h"], part["p"], part["d"] = h, at - offs[row], row + lo
                 part["c"] = C.mix(C.POLY2.span(C.POLY2.prefix_bytes(piece), left, right) + ((at - left) * 4096 + (right - at)).astype(np.uint64))
                 parts.append(part)
-            body = np.concatenate(parts)
+            body, bucket = np.concatenate(parts), np.concatenate(where)
             # of equal contexts in this batch only the first is sent; the others are settled here
-            order = np.lexsort((body["p"], ids[body["d"]], body["c"], body["h"]))
-            body = body[order]
+            order = np.lexsort((body["p"], ids[body["d"]], body["c"], body["h"], bucket))
+            body, bucket = body[order], bucket[order]
             head = np.ones(len(body), bool)
-            head[1:] = (body["h"][1:] != body["h"][:-1]) | (body["c"][1:] != body["c"][:-1])
+            head[1:] = (body["h"][1:] != body["h"][:-1]) | (body["c"][1:] != body["c"][:-1]) | (bucket[1:] != bucket[:-1])
             rest = body[~head]
             if len(rest):
-                yield C.settled_rows(ids[rest["d"]], rest["p"] * 2 + 1, buckets)
-            body = body[head]
-            yield C.blobs((C.mix(body["h"]) % np.uint64(buckets)).astype(np.int32), body, ids)
+                yield C.hit_rows(ids[rest["d"]], rest["p"] * np.uint32(2) + np.uint32(1), buckets, settled=True)
+            yield C.blobs(bucket[head], body[head], ids)
 
     def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         through, work = C.split_settled(batches)
         yield from through
-        body, doc = C.unblob(iter(work), CONTEXT)
-        if not len(body):
-            return
-        order = np.lexsort((body["p"], doc, body["c"], body["h"]))
-        body, doc = body[order], doc[order]
-        new_h = np.ones(len(body), bool)
-        new_h[1:] = body["h"][1:] != body["h"][:-1]
-        first = new_h.copy()
-        first[1:] |= body["c"][1:] != body["c"][:-1]
-        group = np.cumsum(new_h) - 1
-        several = np.bincount(group, weights=first)[group] > 1
-        told = ~first | several
-        if told.any():
-            yield C.hit_rows(doc[told], (body["p"] * 2 + ~first)[told], buckets)
-
-    return C.gathered(C.dealt(docs.mapInArrow(emit, C.BLOB_SCHEMA), buckets).mapInArrow(sort_bucket, C.HIT_SCHEMA), buckets)
+        for part in _by_bucket(work):
+            body, doc = C.unblob(iter([part]), CONTEXT)
+            order = np.lexsort((body["p"], doc, body["c"], body["h"]))
+            body, doc = body[order], doc[order]
+            new_h = np.ones(len(body), bool)
+            new_h[1:] = body["h"][1:] != body["h"][:-1]
+            first = new_h.copy()
+            first[1:] |= body["c"][1:] != body["c"][:-1]
+            group = np.cumsum(new_h) - 1
+            several = np.bincount(group, weights=first)[group] > 1
+            told = ~first | several
+            if told.any():
+                yield C.hit_rows(doc[told], (body["p"] * np.uint32(2) + ~first)[told].astype(np.uint32), buckets)
+
+    return C.gathered(C.dealt(docs.mapInArrow(emit, C.BLOB_SCHEMA), buckets).mapInArrow(sort_bucket, C.BLOB_SCHEMA), buckets, "<u4")
 
 
 def _window_starts(points: np.ndarray, size: int, length: int) -> np.ndarray:
@@ -219,10 +228,11 @@ def _order_windows(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
                 for r in range(hi - lo):
                     if not hits[lo + r].is_valid:
                         continue
-                    point = np.frombuffer(hits[lo + r].as_buffer(), np.int64)
+                    point = np.frombuffer(hits[lo + r].as_buffer(), np.uint32).astype(np.int64)
                     at = _window_starts(point[point % 2 == 0] // 2, offs[r + 1] - offs[r], cover.length) + offs[r]
                     part = np.zeros(len(at), WINDOW)
-                    part["h"], part["g"] = C.POLY.span(one, at, at + cover.length), C.POLY2.span(two, at, at + cover.length)
+                    part["h"] = C.POLY.span(one, at, at + cover.length)
+                    part["g"] = C.POLY2.span(two, at, at + cover.length).astype(np.uint32)
                     part["p"], part["d"] = at - offs[r], lo + r
                     parts.append(part)
             body = np.concatenate(parts)
@@ -232,7 +242,7 @@ def _order_windows(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
             head[1:] = (body["h"][1:] != body["h"][:-1]) | (body["g"][1:] != body["g"][:-1])
             rest = body[~head]
             if len(rest):
-                yield C.settled_rows(ids[rest["d"]], rest["p"].copy(), buckets)
+                yield C.hit_rows(ids[rest["d"]], rest["p"].copy(), buckets, settled=True)
             body = body[head]
             yield C.blobs((C.mix(body["h"]) % np.uint64(buckets)).astype(np.int32), body, ids)
 
@@ -249,7 +259,7 @@ def _order_windows(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
         if later.any():
             yield C.hit_rows(doc[later], body["p"][later].copy(), buckets)
 
-    return C.gathered(C.dealt(docs.mapInArrow(emit, C.BLOB_SCHEMA), buckets).mapInArrow(sort_bucket, C.HIT_SCHEMA), buckets)
+    return C.gathered(C.dealt(docs.mapInArrow(emit, C.BLOB_SCHEMA), buckets).mapInArrow(sort_bucket, C.BLOB_SCHEMA), buckets, "<u4")
 
 
 def _cut(length: int):
@@ -268,7 +278,7 @@ def _cut(length: int):
                     x = batch.column(name)[r]
                     if not x.is_valid:
                         continue
-                    p = np.frombuffer(x.as_buffer(), np.int64)
+                    p = np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64)
                     if name == "hits":  # every window that holds the sample is a duplicate
                         p = p[p % 2 == 1] // 2
                         lo, hi = np.maximum(p - reach, 0), np.minimum(p, n - length)
@@ -316,20 +326,19 @@ def remove_duplicates(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .join(spread, ["digest", "salt"]).where("doc_id > least").select("doc_id").distinct(), "copies")
 
     tied = C.written(_tied_samples(docs, cover, buckets), "tied-samples")
-    repeats = digests.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-    suspects, clean = C.split_by(docs, tied.select("doc_id").unionByName(copies).unionByName(repeats.select("doc_id")))
-    suspects = suspects.dropDuplicates(["doc_id"])
-    # whole copies leave here, with all their bytes removed
-    joined = C.written(
-        suspects.join(copies.withColumn("whole", F.lit(True)), "doc_id", "left")
-        .join(tied, "doc_id", "left").select("doc_id", "text", "hits", F.coalesce("whole", F.lit(False)).alias("whole")), "suspects")
+    repeats = digests.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    suspects, clean = C.split_by(docs, tied.select("doc_id").unionByName(copies).unionByName(repeats))
+    # one shuffle of the suspects' texts; whole copies leave with all their bytes removed
+    facts = tied.join(copies.withColumn("whole", F.lit(True)), "doc_id", "full")
+    joined = C.written(suspects.dropDuplicates(["doc_id"]).join(facts, "doc_id", "left").select(
+        "doc_id", "text", "hits", F.coalesce("whole", F.lit(False)).alias("whole")), "suspects")
     gone = joined.where("whole").select("doc_id", "text")
     untied = joined.where("not whole and hits is null").select("doc_id", "text")
     work = joined.where("not whole and hits is not null").select("doc_id", "text", "hits")
 
-    points = _order_contexts(work, cover, buckets)
-    work = C.written(work.select("doc_id", "text").join(points, "doc_id", "left"), "points")
-    windows = _order_windows(work, cover, buckets).withColumnRenamed("hits", "windows")
+    points = C.written(_order_contexts(work, cover, buckets), "contexts")
+    work = work.drop("hits").join(points, "doc_id", "left")
+    windows = C.written(_order_windows(work, cover, buckets).withColumnRenamed("hits", "windows"), "windows")
     done = work.join(windows, "doc_id", "left").mapInArrow(_cut(length), RESULT)
     whole, none = F.lit(""), F.lit(False)
     return (_plain(clean, F.col("text"), none).unionByName(_plain(untied, F.col("text"), none))
