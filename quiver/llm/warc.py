@@ -27,9 +27,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -45,7 +46,7 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
-_NEXT = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.[01]\r?\n")
+_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
 _MASK = (1 << 64) - 1
 
 
@@ -53,8 +54,6 @@ _MASK = (1 << 64) - 1
 
 def record_id(page_id: int | None) -> str:
     """A urn:uuid that holds the page number (null: a number beyond 64 bits)."""
-    import uuid
-
     return f"<urn:uuid:{uuid.UUID(int=(1 << 127) if page_id is None else page_id & _MASK)}>"
 
 
@@ -124,7 +123,7 @@ class Damaged(Exception):
     pass
 
 
-def parse_record(data: bytes | memoryview, at: int, strict_end: bool = True) -> tuple[str, dict[str, str], bytes, int]:
+def parse_record(data: bytes, at: int) -> tuple[str, dict[str, str], bytes, int]:
     """(kind, headers, block, end) of the record at ``at``; raises Damaged."""
     if not _VERSION_LINE.match(data, at):
         raise Damaged("no version line")
