@@ -145,7 +145,7 @@ def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
 
 def directory(path: Column) -> Column:
     """Everything before the last slash; the root is the empty path."""
-    return F.regexp_replace(F.concat(F.lit("/"), path), r"^/?(.*?)/?[^/]*$", "$1")
+    return F.regexp_replace(F.regexp_replace(path, r"^/+", ""), r"/*[^/]*$", "")
 
 
 def ancestors(path: Column) -> Column:
