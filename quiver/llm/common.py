@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +37,19 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared scratch folder and read back: lineage ends here."""
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back: lineage ends here.
+
+    ``release``: the job shuffled much, and its shuffle files shall go before the next one."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    # the job's shuffle files go when nothing in the driver refers to them any more
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    # the job's shuffle files go when nothing in the driver refers to them any more; its
+    # last listener events still do for a moment
+    for _ in range(2 if release else 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -221,8 +227,8 @@ def unblob(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> tuple[np.ndarr
 IDS = np.dtype([("i", "<i8"), ("n", "<u4")])
 
 
-def _packed(doc: np.ndarray, values: np.ndarray, groups: int) -> tuple[list[int], list[bytes], list[bytes]]:
-    group = (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+def packed(doc: np.ndarray, values: np.ndarray, group: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+    """(groups, ids, values of the documents in order) of pairs (document, value)."""
     order = np.lexsort((doc, group))
     group, doc, values = group[order], doc[order], values[order]
     cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
@@ -239,12 +245,30 @@ def _packed(doc: np.ndarray, values: np.ndarray, groups: int) -> tuple[list[int]
 def hit_rows(doc: np.ndarray, values: np.ndarray, groups: int, settled: bool = False) -> pa.RecordBatch:
     """Hits (document, value), one row per group of documents; hits that a batch
     resolved by itself stand among its blobs, with the bucket -1 - group."""
-    group, ids, bodies = _packed(doc, values, groups)
+    group, ids, bodies = packed(doc, values, (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int32))
     group = np.array(group, np.int32)
     return pa.RecordBatch.from_arrays([pa.array(-1 - group if settled else group, pa.int32()), pa.array(ids, pa.binary()), pa.array(bodies, pa.binary())],
                                       names=["bucket", "ids", "body"])
 
 
+def pair_rows(doc: np.ndarray, values: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """Pairs (document, value), one row per bucket; a document's id is sent once per row."""
+    group, ids, bodies = packed(doc, values, bucket)
+    return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(ids, pa.binary()), pa.array(bodies, pa.binary())],
+                                      names=["bucket", "ids", "body"])
+
+
+def pairs(batches: Iterator[pa.RecordBatch], dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, values) of such rows."""
+    docs, values = [np.zeros(0, np.int64)], [np.zeros(0, dtype)]
+    for batch in batches:
+        for i, x in zip(batch.column("ids"), batch.column("body")):
+            head = np.frombuffer(i.as_buffer(), IDS)
+            docs.append(np.repeat(head["i"], head["n"]))
+            values.append(np.frombuffer(x.as_buffer(), dtype))
+    return np.concatenate(docs), np.concatenate(values)
+
+
 def split_settled(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
     """(hit rows that only pass through, blobs to work on)."""
     through, work = [], []
@@ -268,15 +292,9 @@ def gathered(hits: DataFrame, groups: int, dtype: str) -> DataFrame:
     """(doc_id, hits): one row per document with all its values as packed bytes (at most its own windows)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, values = [], []
-        for batch in batches:
-            for i, x in zip(batch.column("ids"), batch.column("body")):
-                head = np.frombuffer(i.as_buffer(), IDS)
-                docs.append(np.repeat(head["i"], head["n"]))
-                values.append(np.frombuffer(x.as_buffer(), dtype))
-        if not docs:
+        doc, value = pairs(batches, dtype)
+        if not len(doc):
             return
-        doc, value = np.concatenate(docs), np.concatenate(values)
         order = np.argsort(doc, kind="stable")
         doc, value = doc[order], value[order]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])

@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     ``texts``) and kept_sha256.  See the module docstring."""
     C.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hits = C.written(repeated_windows(docs, window), "substring-hits")
+    hits = C.written(repeated_windows(docs, window), "substring-hits", release=True)
     suspect, clean = C.split_by(docs, hits)
     whole = clean.mapInArrow(_cut(window, texts), RESULT)
     part = suspect.join(hits, "doc_id", "left").mapInArrow(_cut(window, texts), RESULT)

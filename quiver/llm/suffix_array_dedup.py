@@ -1,21 +1,21 @@
 """Suffix-array deduplication by a difference cover, one bucket of suffixes at a time.
 
-A difference cover D of v = 31 holds six residues such that any two positions
+A difference cover D of v = 21 holds five residues such that any two positions
 i, j have a shift s < v with (i + s) mod v and (j + s) mod v both in D.  Two
 suffixes that agree on 100 bytes therefore agree, at some shift, on *cover
-samples* of 100 - v + 1 = 70 bytes, and the order of long ties can be read off the
+samples* of 100 - v + 1 = 80 bytes, and the order of long ties can be read off the
 samples' ranks instead of the texts.  That gives three blockwise passes, each
 of which sorts one bucket of suffixes per task:
 
-1. cover samples (a fifth of all positions) are bucketed by their 70 bytes;
+1. cover samples (a quarter of all positions) are bucketed by their 80 bytes;
    a bucket's sort tells which samples have rank ties.  Suffixes whose samples
    are all unique are settled: nothing equals them on 100 bytes.
-2. tied samples are ordered by their *context*, the 130 bytes any window
+2. tied samples are ordered by their *context*, the 120 bytes any window
    holding the sample can touch.  All windows of a context that has an earlier
    (doc, position) are duplicates; only the first member of each context of a
    still ambiguous sample goes on.
 3. the windows around those first members are sorted by their 100 bytes
-   (96 bits of hashes); every window but the earliest is a duplicate.
+   (80 bits of hashes); every window but the earliest is a duplicate.
 
 Removed bytes are the union of the duplicate windows.  Whole copies of an
 earlier text need none of this: they are found by digest and removed whole.
@@ -44,16 +44,15 @@ from pyspark.sql import functions as F
 from quiver.llm import common as C
 
 LENGTH = 100
-# A perfect difference cover, every difference modulo 31 occurs once.
-COVER_MODULUS = 31
-COVER = (1, 5, 11, 24, 25, 27)
+# A perfect difference cover, every difference modulo 21 occurs once.
+COVER_MODULUS = 21
+COVER = (3, 6, 7, 12, 14)
 
 # Samples and the samples of contexts need no more than 32 bits besides their
 # bucket: a chance tie only keeps a suffix in the work.  What decides is longer:
-# contexts have 64 bits and their sample's, windows 96.
-SAMPLE = np.dtype([("h", "<u4"), ("d", "<u2")])
+# contexts have 64 bits and their sample's, windows 80.
 CONTEXT = np.dtype([("h", "<u4"), ("c", "<u8"), ("p", "<u4"), ("d", "<u2")])
-WINDOW = np.dtype([("h", "<u8"), ("g", "<u4"), ("p", "<u4"), ("d", "<u2")])
+WINDOW = np.dtype([("h", "<u8"), ("g", "<u2"), ("p", "<u4"), ("d", "<u2")])
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
@@ -121,22 +120,20 @@ def _tied_samples(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
             again[1:] &= head[1:] | (d[1:] != d[:-1])
             if again.any():
                 yield C.hit_rows(ids[d[again]], h[again], buckets, settled=True)
-            body = np.zeros(int(head.sum()), SAMPLE)
-            body["h"], body["d"] = h[head], d[head]
-            yield C.blobs(b[head], body, ids)
+            yield C.pair_rows(ids[d[head]], h[head], b[head])
 
     def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         through, work = C.split_settled(batches)
         yield from through
         # a task may hold several buckets: their names are told apart
         for group in _by_bucket(work):
-            body, doc = C.unblob(iter([group]), SAMPLE)
-            label = np.sort(body["h"])
-            tied = np.unique(label[1:][label[1:] == label[:-1]])
+            doc, name = C.pairs([group], "<u4")
+            order = np.sort(name)
+            tied = np.unique(order[1:][order[1:] == order[:-1]])
             if len(tied):
-                k = np.minimum(np.searchsorted(tied, body["h"]), len(tied) - 1)
-                at = tied[k] == body["h"]
-                yield C.hit_rows(doc[at], body["h"][at], buckets)
+                k = np.minimum(np.searchsorted(tied, name), len(tied) - 1)
+                at = tied[k] == name
+                yield C.hit_rows(doc[at], name[at], buckets)
 
     return C.gathered(C.dealt(docs.mapInArrow(emit, C.BLOB_SCHEMA), buckets).mapInArrow(sort_bucket, C.BLOB_SCHEMA), buckets, "<u4")
 
@@ -232,7 +229,7 @@ def _order_windows(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
                     at = _window_starts(point[point % 2 == 0] // 2, offs[r + 1] - offs[r], cover.length) + offs[r]
                     part = np.zeros(len(at), WINDOW)
                     part["h"] = C.POLY.span(one, at, at + cover.length)
-                    part["g"] = C.POLY2.span(two, at, at + cover.length).astype(np.uint32)
+                    part["g"] = C.POLY2.span(two, at, at + cover.length).astype(np.uint16)
                     part["p"], part["d"] = at - offs[r], lo + r
                     parts.append(part)
             body = np.concatenate(parts)
@@ -325,20 +322,20 @@ def remove_duplicates(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         digests.where(F.col("n") >= length).withColumn("salt", F.pmod("doc_id", F.lit(salts)).cast("int"))
         .join(spread, ["digest", "salt"]).where("doc_id > least").select("doc_id").distinct(), "copies")
 
-    tied = C.written(_tied_samples(docs, cover, buckets), "tied-samples")
+    tied = C.written(_tied_samples(docs, cover, buckets), "tied-samples", release=True)
     repeats = digests.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     suspects, clean = C.split_by(docs, tied.select("doc_id").unionByName(copies).unionByName(repeats))
     # one shuffle of the suspects' texts; whole copies leave with all their bytes removed
     facts = tied.join(copies.withColumn("whole", F.lit(True)), "doc_id", "full")
     joined = C.written(suspects.dropDuplicates(["doc_id"]).join(facts, "doc_id", "left").select(
-        "doc_id", "text", "hits", F.coalesce("whole", F.lit(False)).alias("whole")), "suspects")
+        "doc_id", "text", "hits", F.coalesce("whole", F.lit(False)).alias("whole")), "suspects", release=True)
     gone = joined.where("whole").select("doc_id", "text")
     untied = joined.where("not whole and hits is null").select("doc_id", "text")
     work = joined.where("not whole and hits is not null").select("doc_id", "text", "hits")
 
-    points = C.written(_order_contexts(work, cover, buckets), "contexts")
+    points = C.written(_order_contexts(work, cover, buckets), "contexts", release=True)
     work = work.drop("hits").join(points, "doc_id", "left")
-    windows = C.written(_order_windows(work, cover, buckets).withColumnRenamed("hits", "windows"), "windows")
+    windows = C.written(_order_windows(work, cover, buckets).withColumnRenamed("hits", "windows"), "windows", release=True)
     done = work.join(windows, "doc_id", "left").mapInArrow(_cut(length), RESULT)
     whole, none = F.lit(""), F.lit(False)
     return (_plain(clean, F.col("text"), none).unionByName(_plain(untied, F.col("text"), none))
