@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import ascending, normalize_metric
-from quiver.session import ship_package
+from quiver.session import scratch_path, ship_package
 
 # Largest query / centroid block shipped to tasks in one broadcast.
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -204,16 +204,28 @@ def check_block_size(rows: int, dim: int, budget: int) -> int:
     return max(1, math.ceil(need / budget))
 
 
+def id_array(column) -> np.ndarray:
+    """Ids as a sortable numpy array: text ids as fixed-width strings (code point order, as in Spark)."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return np.array(column.to_pylist(), dtype=str)
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+
+
+def _id_type(df: DataFrame, col: str) -> str:
+    """``string`` for text ids, else ``long``."""
+    return "string" if df.schema[col].dataType.simpleString() == "string" else "long"
+
+
 def collect_block(df: DataFrame, id_col: str, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Collect a size-checked block (ids, matrix) through Arrow."""
     tbl = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).toArrow()
-    ids = tbl.column("id").to_numpy()
+    ids = id_array(tbl.column("id"))
     mat = arrow_vectors(tbl.column("v")) if tbl.num_rows else np.zeros((0, 0))
     order = np.argsort(ids, kind="stable")
     return ids[order], mat[order]
 
 
-def _partition_topk(bq, k: int, metric: str, id_col: str, vec_col: str, probe_col: str | None, bprobe):
+def _partition_topk(bq, k: int, metric: str, id_col: str, vec_col: str, probe_col: str | None, bprobe, extra=()):
     asc = ascending(metric)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,10 +241,15 @@ def _partition_topk(bq, k: int, metric: str, id_col: str, vec_col: str, probe_co
             by_list = {c: np.asarray(js, dtype=np.int64) for c, js in tmp.items()}
         best_ids = [np.empty(0, dtype=np.int64) for _ in range(m)]
         best_raw = [np.empty(0) for _ in range(m)]
+        best_extra: list[list[tuple]] = [[] for _ in range(m)]
+        id_type = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = id_array(batch.column(id_col))
+            if id_type is None:
+                id_type = batch.schema.field(id_col).type
+                best_ids = [np.empty(0, dtype=ids.dtype) for _ in range(m)]
             x = arrow_vectors(batch.column(vec_col), qmat.shape[1])
             lists = batch.column(probe_col).to_numpy(zero_copy_only=False).astype(np.int64) if probe_col else None
             if probes is None:
@@ -257,16 +274,24 @@ def _partition_topk(bq, k: int, metric: str, id_col: str, vec_col: str, probe_co
                         cand_raw = np.concatenate([best_raw[j], raw[t][sel]])
                         keep = best_k(_sort_key(cand_raw, asc), cand_ids, k)
                         best_ids[j], best_raw[j] = cand_ids[keep], cand_raw[keep]
+                        if extra:  # carried with the hit, so that repeated ids keep their own values
+                            at = rows[p[sel]]
+                            values = best_extra[j] + list(zip(*(batch.column(c).take(pa.array(at)).to_pylist() for c in extra)))
+                            best_extra[j] = [values[i] for i in keep]
         lens = [len(b) for b in best_ids]
         if sum(lens) == 0:
             return
+        q_type = pa.string() if qids.dtype.kind == "U" else pa.int64()
+        out_type = pa.string() if pa.types.is_string(id_type) else pa.int64()
+        carried = list(zip(*(v for part in best_extra for v in part)))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat(qids, lens), pa.int64()),
-                pa.array(np.concatenate(best_ids), pa.int64()),
+                pa.array(np.repeat(qids, lens).tolist(), q_type),
+                pa.array(np.concatenate(best_ids).tolist(), out_type),
                 pa.array(np.concatenate(best_raw), pa.float64()),
+                *(pa.array(list(v), batch.schema.field(c).type) for c, v in zip(extra, carried)),
             ],
-            names=["query_id", id_col, "raw"],
+            names=["query_id", id_col, "raw", *extra],
         )
 
     return run
@@ -284,10 +309,12 @@ def block_topk(
     probes: DataFrame | None = None,
     list_col: str = "cluster_id",
     broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+    keep_cols: list[str] | None = None,
 ) -> DataFrame:
     """Exact top-k rows of ``corpus`` for every row of ``queries``.
 
-    Returns ``(query_id, <id_col>, raw, rank)``.  With ``probes`` =
+    Returns ``(query_id, <id_col>, raw, rank, *keep_cols)``; ids may be integers
+    or text.  Kept columns are those of the very row that was hit.  With ``probes`` =
     ``(query_id, cluster_id)`` only corpus rows whose ``list_col`` is probed by
     a query are scored for it (IVF search).  Queries go out in broadcast
     blocks of at most ``broadcast_bytes``; each block is one scan of the corpus.
@@ -296,15 +323,21 @@ def block_topk(
     spark: SparkSession = corpus.sparkSession
     ship_package(spark)
     query_vec_col = query_vec_col or vec_col
+    extra = list(keep_cols or [])
+    q_type, row_type = _id_type(queries, query_id_col), _id_type(corpus, id_col)
+    fields = "".join(f", `{c}` {corpus.schema[c].dataType.simpleString()}" for c in extra)
+    schema = f"query_id {q_type}, `{id_col}` {row_type}, raw double{fields}"
+    empty = spark.createDataFrame([], f"{schema}, rank int")
     if k <= 0:
-        return _empty_topk(spark, id_col)
-    q = queries.select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).alias("qv"))
+        return empty
+    q = queries.select(F.col(query_id_col).cast(q_type).alias("query_id"), F.col(query_vec_col).alias("qv")).where("qv is not null")
     dim_row = q.select(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
     nq, dim = int(dim_row["n"]), int(dim_row["d"] or 0)
     if nq == 0:
-        return _empty_topk(spark, id_col)
+        return empty
     nblocks = check_block_size(nq, dim + (16 if probes is not None else 0), broadcast_bytes)
-    cols = [id_col, vec_col] + ([list_col] if probes is not None else [])
+    cols = [F.col(id_col).cast(row_type).alias(id_col), F.col(vec_col)] + ([F.col(list_col)] if probes is not None else [])
+    cols += [F.col(c) for c in extra if c != list_col or probes is None]
     scan = corpus.select(*cols).where(F.col(vec_col).isNotNull())
     parts = []
     for b in range(nblocks):
@@ -316,13 +349,13 @@ def block_topk(
         bprobe = None
         source = scan
         if probes is not None:
-            pr = probes.select(F.col("query_id").cast("long").alias("q"), F.col(list_col).cast("long").alias("c"))
+            pr = probes.select(F.col("query_id").cast(q_type).alias("q"), F.col(list_col).cast("long").alias("c"))
             if nblocks > 1:
                 pr = pr.where(F.pmod(F.xxhash64("q"), F.lit(nblocks)) == b)
             pt = pr.toArrow()
-            pq = pt.column("q").to_numpy()
+            pq = id_array(pt.column("q"))
             pc = pt.column("c").to_numpy()
-            pos = {int(v): i for i, v in enumerate(qids)}
+            pos = {v: i for i, v in enumerate(qids.tolist())}
             per_query = [[] for _ in qids]
             for qq, cc in zip(pq.tolist(), pc.tolist()):
                 if qq in pos:
@@ -333,11 +366,10 @@ def block_topk(
                 continue
             # Static filter: prunes cluster_id partitions of a saved index.
             source = scan.where(F.col(list_col).isin(probed))
-        schema = f"query_id long, {id_col} long, raw double"
-        fn = _partition_topk(bq, k, metric, id_col, vec_col, list_col if probes is not None else None, bprobe)
+        fn = _partition_topk(bq, k, metric, id_col, vec_col, list_col if probes is not None else None, bprobe, extra)
         parts.append(source.mapInArrow(fn, schema))
     if not parts:
-        return _empty_topk(spark, id_col)
+        return empty
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
@@ -346,25 +378,31 @@ def block_topk(
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _empty_topk(spark: SparkSession, id_col: str) -> DataFrame:
-    return spark.createDataFrame([], f"query_id long, {id_col} long, raw double, rank int")
-
-
 def _nearest_centers_blocked(df, centers, k, metric, id_col, vec_col, center_id_col, center_vec_col,
                              keep_cols, n_centers, per_block):
-    """Centers beyond the broadcast budget: best k per block of ``per_block`` centers (each
-    block collected and broadcast in turn, one scan each), then the best k per row over all
-    blocks (one shuffle of rows x k x blocks candidates, never rows x centers)."""
-    rn = F.row_number().over(Window.orderBy(F.col(center_id_col))) - 1
-    numbered = centers.select(center_id_col, center_vec_col, F.floor(rn / per_block).alias("_blk"))
+    """Centers beyond the broadcast budget: best k per block of about ``per_block`` centers
+    (each block collected and broadcast in turn, one scan each), then the best k per row
+    over all blocks.  Rows get a key of their own in a written copy, so rows that share an
+    id stay apart; the shuffle carries keys and scores, and the rows' columns join back once."""
+    spark = df.sparkSession
+    keep = [c for c in (keep_cols or []) if c != id_col]
+    path = scratch_path(spark, "nearest-rows")
+    df.select(id_col, vec_col, *(c for c in keep if c != vec_col), F.monotonically_increasing_id().alias("_row")) \
+        .where(F.col(vec_col).isNotNull()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    blocks = math.ceil(1.25 * n_centers / per_block)
+    numbered = centers.select(center_id_col, center_vec_col, F.pmod(F.xxhash64(center_id_col), F.lit(blocks)).alias("_blk"))
     parts = None
-    for b in range(math.ceil(n_centers / per_block)):
+    for b in range(blocks):
         cids, cmat = collect_block(numbered.where(F.col("_blk") == b), center_id_col, center_vec_col)
-        part = _nearest_arrays(df, cids, cmat, k, metric, id_col, vec_col, center_id_col, keep_cols)
+        if len(cids) == 0:
+            continue
+        part = _nearest_arrays(rows, cids, cmat, k, metric, "_row", vec_col, center_id_col, None)
         parts = part if parts is None else parts.unionByName(part)
     order = F.col("raw").asc_nulls_last() if ascending(metric) else F.col("raw").desc_nulls_first()
-    w = Window.partitionBy(id_col).orderBy(order, F.col(center_id_col).asc())
-    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    w = Window.partitionBy("_row").orderBy(order, F.col(center_id_col).asc())
+    best = parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.join(rows.select("_row", id_col, *keep), "_row").select(id_col, "rank", center_id_col, "raw", *keep)
 
 
 def nearest_centers(

@@ -25,7 +25,8 @@ def tenant_slices(tables: dict[str, DataFrame], tenant: str, org_col: str = "ten
     """B1/B2: each table restricted to one tenant org (or all tables whole for ``all``).
 
     Tables without the org column are restricted through the tenant's
-    namespaces (``namespace``) or users (``user_id`` / ``tenant_id``).
+    namespaces (``namespace``) or users (``user_id`` / ``tenant_id``); a table
+    that none of these can restrict is an error, not an empty export.
     """
     if tenant == ALL_TENANTS:
         return dict(tables)
@@ -50,7 +51,7 @@ def tenant_slices(tables: dict[str, DataFrame], tenant: str, org_col: str = "ten
         elif "user_id" in df.columns and users is not None:
             out[name] = df.join(users.distinct(), "user_id", "left_semi")
         else:
-            out[name] = df.limit(0)
+            raise ValueError(f"table {name!r} has no tenant, namespace or user column to restrict it by")
     return out
 
 

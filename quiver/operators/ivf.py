@@ -105,6 +105,8 @@ def ivf_add(index: IVFIndex, df: DataFrame, id_col: str = "vec_id", vec_col: str
 
         src = latest_per_key(src, [id_col], [dedupe_order])
     src = src.select(F.col(id_col), F.col(vec_col).cast("array<double>").alias(vec_col), *keep)
+    missing = F.col(vec_col).isNull()
+    src = src.withColumn(vec_col, F.when(missing, F.raise_error(F.lit("Vector is null: filter with vector_validate"))).otherwise(F.col(vec_col)))
     bad = F.size(vec_col) != F.lit(index.dimension)
     src = src.withColumn(vec_col, F.when(bad, F.raise_error(F.concat(
         F.lit(f"Vector dimension mismatch: expected {index.dimension}, got "), F.size(vec_col).cast("string")))
@@ -129,13 +131,15 @@ def probe_one(index: IVFIndex, vector, nprobe: int) -> list[int]:
     index.require_trained()
     if nprobe < 0:
         raise ValueError("nprobe must be >= 0")
-    arr = index.centroid_arrays()
-    if arr is None:
-        raise ValueError("centroid table too large to rank on the driver; use ivf_search_batch")
-    ids, mat = arr
     q = np.asarray(vector, dtype=np.float64)[None, :]
     if q.shape[1] != index.dimension:
         raise ValueError("Query vector dimension mismatch")
+    arr = index.centroid_arrays()
+    if arr is None:  # ranked by a job: only the nprobe best ids come back
+        one = index.centroids.sparkSession.createDataFrame([(0, [float(v) for v in q[0]])], "query_id long, qv array<double>")
+        best = nearest_centers(one, index.centroids, min(nprobe, index.nlist), index.metric, id_col="query_id", vec_col="qv")
+        return [int(r["cluster_id"]) for r in best.orderBy("rank").collect()]
+    ids, mat = arr
     sc = score_matrix(mat, q, index.metric)[:, 0]
     pos = best_k(_sort_key(sc, ascending(index.metric)), ids, min(nprobe, index.nlist))
     return [int(ids[p]) for p in pos]
@@ -169,20 +173,16 @@ def ivf_search_batch(index: IVFIndex, lists: DataFrame, queries: DataFrame, k: i
                      broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, extra_cols: list[str] | None = None) -> DataFrame:
     """``(query_id, rank, doc_id, score, *extra_cols)`` for every query row.
 
-    ``extra_cols`` (e.g. the metadata map) are fetched for the k hits only, by
-    joining the hits back to the lists on ``doc_id``.
+    ``extra_cols`` (e.g. the metadata map) are carried with the rows that were hit,
+    so an id that was added twice gives each hit its own values.
     """
     if k < 0:
         raise ValueError("k must be >= 0")
     probes = ivf_probe(index, queries, nprobe, query_id_col, vec_col)
     top = block_topk(lists, queries, k, index.metric, id_col="doc_id", vec_col="vector",
                      query_id_col=query_id_col, query_vec_col=vec_col, probes=probes,
-                     broadcast_bytes=broadcast_bytes)
-    out = top.select("query_id", "rank", "doc_id", round_score(F.col("raw")).alias("score"))
-    if extra_cols:
-        meta = lists.select("doc_id", *extra_cols)
-        out = out.join(meta, "doc_id", "left").select("query_id", "rank", "doc_id", "score", *extra_cols)
-    return out
+                     broadcast_bytes=broadcast_bytes, keep_cols=extra_cols)
+    return top.select("query_id", "rank", "doc_id", round_score(F.col("raw")).alias("score"), *(extra_cols or []))
 
 
 def ivf_list_sizes(index: IVFIndex, lists: DataFrame) -> DataFrame:

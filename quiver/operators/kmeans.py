@@ -111,34 +111,51 @@ def _lloyd_partials(bc, bprev, nlist_ids, vec_col):
 
 
 def lloyd_partials(data: DataFrame, cids: np.ndarray, mat: np.ndarray, prev: np.ndarray | None = None,
-                   vec_col: str = "embedding", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                   reduce_on_driver: bool = False) -> DataFrame:
+                   vec_col: str = "embedding", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """C2 + C3 from driver-side centroids: ``(cluster_id, n, centroid, changed)`` for non-empty clusters.
 
     ``changed`` is true when any row's nearest centroid differs from its
-    nearest under ``prev`` (or from cluster 0 on the first round).  With
-    ``reduce_on_driver`` the raw per-task partial sums are returned instead
-    (for callers that have checked partitions x nlist x d is small).
+    nearest under ``prev`` (or from the first cluster without ``prev``).
+    Tables beyond the broadcast budget are assigned block by block.
     """
     spark = data.sparkSession
     ship_package(spark)
     if check_block_size(len(cids), mat.shape[1], broadcast_bytes) > 1:
-        raise ValueError("centroid table exceeds the broadcast budget")
+        return _lloyd_blocked(data, cids, mat, prev, vec_col, broadcast_bytes)
     bc = spark.sparkContext.broadcast((np.asarray(cids), np.asarray(mat)))
     bprev = spark.sparkContext.broadcast(np.asarray(prev)) if prev is not None else None
     parts = data.select(vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(
         _lloyd_partials(bc, bprev, cids, vec_col), "cluster_id long, n long, s array<double>, changed boolean")
-    if reduce_on_driver:
-        return parts
-    agg = (parts.groupBy("cluster_id")
-           .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"), F.max("changed").alias("changed")))
-    return agg.select(
+    return _means(parts.groupBy("cluster_id").agg(
+        F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"), F.max("changed").alias("changed")))
+
+
+def _means(sums: DataFrame) -> DataFrame:
+    return sums.select(
         "cluster_id", "n",
         F.transform(vector_to_array("s"), lambda v: v / F.col("n")).alias("centroid"),
         "changed",
     )
 
 
+def _lloyd_blocked(data: DataFrame, cids: np.ndarray, mat: np.ndarray, prev: np.ndarray | None, vec_col: str,
+                   broadcast_bytes: int) -> DataFrame:
+    spark = data.sparkSession
+
+    def nearest(rows: DataFrame, centers: np.ndarray, id_col: str) -> DataFrame:
+        return nearest_centers(rows, centroid_frame(spark, cids, centers), 1, "l2", id_col=id_col, vec_col=vec_col,
+                               keep_cols=[vec_col], broadcast_bytes=broadcast_bytes)
+
+    rows = data.select(F.lit(0).cast("long").alias("_now"), F.col(vec_col).cast("array<double>").alias(vec_col))
+    near = nearest(rows, mat, "_now").select(F.col("cluster_id").alias("_now"), vec_col)
+    if prev is None:
+        near = near.withColumn("changed", F.col("_now") != F.lit(int(cids[0])))
+    else:
+        near = nearest(near, prev, "_now").withColumn("changed", F.col("cluster_id") != F.col("_now"))
+    return _means(near.groupBy(F.col("_now").alias("cluster_id")).agg(
+        F.count(F.lit(1)).alias("n"), Summarizer.sum(array_to_vector(vec_col)).alias("s"), F.max("changed").alias("changed")))
+
+
 def lloyd_step(data: DataFrame, centroids: DataFrame, vec_col: str = "embedding",
                previous: DataFrame | None = None,
                broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
@@ -148,20 +165,6 @@ def lloyd_step(data: DataFrame, centroids: DataFrame, vec_col: str = "embedding"
     return lloyd_partials(data, cids, mat, prev, vec_col, broadcast_bytes)
 
 
-def _reduce_partials(tbl: pa.Table) -> tuple[dict, bool]:
-    if tbl.num_rows == 0:
-        return {}, False
-    cid = tbl.column("cluster_id").to_numpy()
-    n = tbl.column("n").to_numpy()
-    sums = arrow_vectors(tbl.column("s"))
-    changed = bool(pa.compute.any(tbl.column("changed")).as_py())
-    out = {}
-    for c in np.unique(cid):
-        m = cid == c
-        out[int(c)] = sums[m].sum(axis=0) / n[m].sum()
-    return out, changed
-
-
 def reseed_empty(data: DataFrame, empty_ids: list[int], seed: int, iteration: int, id_col: str = "vec_id",
                  vec_col: str = "embedding") -> DataFrame:
     """C4: empty clusters take distinct rows in seeded order: ``(cluster_id, <id_col>, centroid)``."""
@@ -207,7 +210,7 @@ class TrainResult:
 
 def kmeans_train(df: DataFrame, nlist: int, max_iterations: int = MAX_ITERATIONS,
                  threshold: float = CONVERGENCE_THRESHOLD, seed: int = SEED, id_col: str = "vec_id",
-                 vec_col: str = "embedding") -> TrainResult:
+                 vec_col: str = "embedding", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> TrainResult:
     """Lloyd iterations until no row moves or the relative change < threshold.
 
     Returns the centroids of the stopping round.  Errors on an empty input or
@@ -225,50 +228,23 @@ def kmeans_train(df: DataFrame, nlist: int, max_iterations: int = MAX_ITERATIONS
         init = kmeans_init(data, nlist, seed, id_col, vec_col)
         ids, mat = collect_block(init, "cluster_id", "centroid")
         prev = None
-        # Partial sums are at most partitions x nlist rows of d doubles: reduce them
-        # on the driver when that is provably small, else with a Spark aggregation.
-        nparts = data.rdd.getNumPartitions()
-        on_driver = nparts * len(ids) * (mat.shape[1] + 3) * 8 <= DEFAULT_BROADCAST_BYTES
         for it in range(max_iterations):
-            if on_driver:
-                got, changed = _reduce_partials(lloyd_partials(data, ids, mat, prev, vec_col, reduce_on_driver=True).toArrow())
-            else:
-                step = lloyd_partials(data, ids, mat, prev, vec_col).toArrow()
-                changed = bool(pa.compute.any(step.column("changed")).as_py()) if step.num_rows else False
-                got = dict(zip(step.column("cluster_id").to_pylist(), arrow_vectors(step.column("centroid"))))
+            step = lloyd_partials(data, ids, mat, None, vec_col, broadcast_bytes).toArrow()
+            got = dict(zip(step.column("cluster_id").to_pylist(), arrow_vectors(step.column("centroid")))) if step.num_rows else {}
+            # assignments start at the first cluster; a later round that moves no row
+            # leaves the centroids as they are, which the relative change tells -
+            # but for empty clusters, which are seeded anew
+            moved = it > 0 or any(c != int(ids[0]) for c in got)
             empty = [int(c) for c in ids if int(c) not in got]
+            if empty and prev is not None:
+                moved = bool(lloyd_partials(data, ids, mat, prev, vec_col, broadcast_bytes).agg(F.max("changed")).first()[0])
             if empty:
                 for r in reseed_empty(data, empty, seed, it + 1, id_col, vec_col).collect():
                     got[int(r["cluster_id"])] = np.asarray(r["centroid"], dtype=np.float64)
             new = np.stack([got[int(c)] for c in ids])
-            if not changed or relative_change(mat, new) < threshold:
+            if not moved or relative_change(mat, new) < threshold:
                 return TrainResult(centroid_frame(spark, ids, new), it + 1, True, n)
             prev, mat = mat, new
         return TrainResult(centroid_frame(spark, ids, mat), max_iterations, False, n)
     finally:
         data.unpersist()
-
-
-def kmeans_train_ml(df: DataFrame, nlist: int, max_iterations: int = MAX_ITERATIONS, seed: int = SEED,
-                    vec_col: str = "embedding", tol: float = 1e-4) -> TrainResult:
-    """C6 fast path on ``pyspark.ml.clustering.KMeans`` (random init).
-
-    Different initial rows and stopping rule (centroid movement < tol) from
-    :func:`kmeans_train`, so centroids differ; kept for very large inputs
-    where MLlib's implementation is preferred.
-    """
-    from pyspark.ml.clustering import KMeans
-
-    data = df.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features")) \
-        .where(F.col("features").isNotNull())
-    n = data.count()
-    if n == 0:
-        raise ValueError("Training vectors cannot be empty")
-    if n < nlist:
-        raise ValueError("Number of vectors must be >= nlist")
-    model = KMeans(k=nlist, maxIter=max_iterations, seed=seed, initMode="random", tol=tol,
-                   featuresCol="features").fit(data)
-    centers = [np.asarray(c, dtype=np.float64) for c in model.clusterCenters()]
-    iters = model.summary.numIter if model.hasSummary else max_iterations
-    return TrainResult(centroid_frame(df.sparkSession, list(range(len(centers))), np.stack(centers)), iters,
-                       iters < max_iterations, n)

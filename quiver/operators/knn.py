@@ -36,42 +36,29 @@ def score_all(corpus: DataFrame, query, metric: str, id_col: str = "vec_id", vec
     return out
 
 
-# Corpora estimated above this size are scored by the block scorer in ``mode="auto"``.
-BLOCK_MODE_BYTES = 256 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan (from file sizes; nothing is executed)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimates are advisory
-        return None
-
-
 def exact_knn(corpus: DataFrame, query, k: int, metric: str, id_col: str = "vec_id",
-              vec_col: str = "embedding", extra_cols: list[str] | None = None, mode: str = "auto") -> DataFrame:
+              vec_col: str = "embedding", extra_cols: list[str] | None = None, mode: str = "expr") -> DataFrame:
     """V7-V9: k best corpus rows for one query; ``(rank, id, score)``.
 
-    Ranked on the raw double score, ties to the lowest id; k = min(k, n).
-    ``mode="expr"`` scores with JVM expressions (no Python); ``mode="block"``
-    uses the Arrow/numpy block scorer, about 2x faster on large corpora;
-    ``mode="auto"`` picks block when the corpus is estimated above
-    ``BLOCK_MODE_BYTES``.  All modes give identical results.
+    Ranked on the raw double score, ties to the lowest id; k = min(k, n); rows
+    without a vector are never hits.  ``mode="expr"`` scores with JVM
+    expressions (no Python) at every size; ``mode="block"`` asks for the
+    Arrow/numpy block scorer, about 2x faster on large corpora, which carries no
+    ``extra_cols``.  Both modes give identical results.
     """
     if k < 0:
         raise ValueError("k must be >= 0")
     metric = normalize_metric(metric)
     extra = list(extra_cols or [])
-    if mode == "auto":
-        size = estimated_bytes(corpus)
-        mode = "block" if (size is not None and size > BLOCK_MODE_BYTES and not isinstance(query, Column)) else "expr"
-    if mode == "block" and not extra:
+    if mode not in ("expr", "block") or (mode == "block" and extra):
+        raise ValueError("mode is 'expr', or 'block' without extra columns")
+    if mode == "block":
         if isinstance(query, Column):
             raise ValueError("block mode needs the query vector as a list")
         qdf = corpus.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, qv array<double>")
         top = block_topk(corpus, qdf, k, metric, id_col=id_col, vec_col=vec_col, query_vec_col="qv")
         return top.select("rank", id_col, round_score(F.col("raw")).alias("score"))
-    scored = corpus.select(F.col(id_col), metric_score(metric, F.col(vec_col), query).alias("raw"), *extra)
+    scored = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col), metric_score(metric, F.col(vec_col), query).alias("raw"), *extra)
     top = scored.orderBy(*order_columns(metric, "raw", id_col)).limit(k)
     w = Window.orderBy(*order_columns(metric, "raw", id_col))
     return top.select(

@@ -17,7 +17,8 @@ FIRSTLINE = r"^\d{4}-\d{2}-\d{2}"
 ES_LINE = r"(?s)^(\d{4}-\d{2}-\d{2}[ ]\d{2}:\d{2}:\d{2}\.\d{3})[ ][A-Z][ ](.*)"
 ES_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 KUBE_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{9}Z$"
-KUBE_NAMESPACE = "^(es-serverless)$"
+#: The namespace that kube-tagged records are kept from, unless another is named.
+ALLOWED_NAMESPACE = "search-system"
 SEVERITY = "(?i)(Warning|Error|Fail)"
 DEFAULT_BUCKET_LINES = 1 << 20
 
@@ -54,37 +55,26 @@ def multiline_records(lines: DataFrame, line_col: str = "line_no", raw_col: str
     first line number, no time).
     """
     fc = list(file_cols or [])
-    single = not fc
-    if single:
-        lines = lines.withColumn("_file", F.lit(0))
-        fc = ["_file"]
     b = F.floor(F.col("_ln") / bucket_lines)
     df = lines.select(*fc, F.col(line_col).alias("_ln"), F.col(raw_col).alias("_raw")).withColumn("_b", b) \
         .withColumn("_first", F.col("_raw").rlike(FIRSTLINE))
     # latest first line inside the same bucket (window over a bounded bucket)
     wb = Window.partitionBy(*fc, "_b").orderBy("_ln").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_start_in", F.max(F.when(F.col("_first"), F.col("_ln"))).over(wb))
-    # carry: latest first line of all earlier buckets (one row per bucket)
+    # carry, one row per bucket: the latest first line of all earlier buckets, and the file's
+    # first line, which starts the record of lines that no first line precedes
     per_b = df.groupBy(*fc, "_b").agg(F.max(F.when(F.col("_first"), F.col("_ln"))).alias("_mx"),
                                       F.min("_ln").alias("_bmin"))
     wc = Window.partitionBy(*fc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_b.withColumn("_carry", F.max("_mx").over(wc)).select(*fc, "_b", "_carry")
+    carry = per_b.select(*fc, "_b", F.max("_mx").over(wc).alias("_carry"), F.min("_bmin").over(Window.partitionBy(*fc)).alias("_head"))
     df = df.join(carry, [*fc, "_b"], "left")
-    start = F.coalesce("_start_in", "_carry")
-    # leading lines with no first line before them: one record keyed by the file's first line
-    df = df.withColumn("_rec", start)
-    orphan = df.where(F.col("_rec").isNull())
-    recs = df.where(F.col("_rec").isNotNull())
-    first_orphan = orphan.groupBy(*fc).agg(F.min("_ln").alias("_o"))
-    orphan = orphan.join(first_orphan, fc, "inner")
-    orphan = orphan.withColumn("_rec", F.col("_o")).drop("_o")
-    allr = recs.unionByName(orphan)
+    allr = df.withColumn("_rec", F.coalesce("_start_in", "_carry", "_head"))
     g = allr.groupBy(*fc, "_rec").agg(
         F.count(F.lit(1)).alias("lines"),
         F.sort_array(F.collect_list(F.struct("_ln", "_raw"))).alias("_parts"))
     out = g.select(*fc, F.col("_rec").alias("record_start"), "lines",
                    F.array_join(F.transform("_parts", lambda p: p["_raw"]), "\n").alias("text"))
-    return out.drop("_file") if single else out
+    return out
 
 
 def regex_fields(records: DataFrame, text_col: str = "text") -> DataFrame:
@@ -96,11 +86,11 @@ def regex_fields(records: DataFrame, text_col: str = "text") -> DataFrame:
                           F.when(matched, m).alias("message"))
 
 
-def namespace_filter(records: DataFrame, tag_col: str = "tag") -> DataFrame:
-    """L4: kube-tagged records must come from the one allowed namespace (``KUBE_NAMESPACE``); others pass."""
+def namespace_filter(records: DataFrame, tag_col: str = "tag", allowed: str = ALLOWED_NAMESPACE) -> DataFrame:
+    """L4: kube-tagged records must come from the ``allowed`` namespace; others pass."""
     kube = F.col(tag_col).startswith("kubernetes")
     ns = F.col("kubernetes.namespace_name")
-    return records.where(~kube | F.coalesce(ns.rlike(KUBE_NAMESPACE), F.lit(False)))
+    return records.where(~kube | F.coalesce(ns == F.lit(allowed), F.lit(False)))
 
 
 def severity_filter(records: DataFrame, message_col: str = "MESSAGE") -> DataFrame:
@@ -118,9 +108,17 @@ def enrich(records: DataFrame, hostname: str, node_name: str) -> DataFrame:
     return out
 
 
-def metadata_join(records: DataFrame, pods: DataFrame, pod_col: str = "kubernetes_pod") -> DataFrame:
-    """Attach pod metadata (a dimension table; Spark broadcasts it when its size allows)."""
-    return records.join(pods, records[pod_col] == pods["pod_name"], "left").drop(pods["pod_name"])
+def metadata_join(records: DataFrame, pods: DataFrame, pod_col: str = "kubernetes_pod",
+                  namespace_col: str = "kubernetes_ns") -> DataFrame:
+    """Attach pod metadata (a dimension table; Spark broadcasts it when its size allows).
+
+    Pods are named by namespace and name where ``pods`` has a ``namespace_name``
+    column (two namespaces may use one pod name), else by name alone."""
+    match = records[pod_col] == pods["pod_name"]
+    if "namespace_name" in pods.columns:
+        match = match & (records[namespace_col] == pods["namespace_name"])
+        return records.join(pods, match, "left").drop(pods["pod_name"], pods["namespace_name"])
+    return records.join(pods, match, "left").drop(pods["pod_name"])
 
 
 def route(streams: dict[str, DataFrame]) -> DataFrame:
@@ -132,13 +130,15 @@ def route(streams: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def fanout_write(records: DataFrame, es_path: str, file_path: str, prefix: str) -> None:
-    """Copy to two sinks: day-split under a prefix (index per day), and one appended file sink."""
+def fanout_write(records: DataFrame, es_path: str, file_path: str, prefix: str, batch: str = "0") -> None:
+    """Copy to two sinks: day-split under a prefix (index per day), and one file sink.
+
+    Both sinks hold a folder per ``batch``, which a retry of that batch overwrites, so
+    no record is doubled; the second sink is filled from the first, so the
+    records are computed once."""
     day = F.coalesce(F.date_format("time", "yyyy.MM.dd"), F.lit("unknown"))
     keep = records.withColumn("logstash_prefix", F.lit(prefix)).withColumn("day", day)
-    keep = keep.persist()
-    try:
-        keep.write.mode("append").partitionBy("logstash_prefix", "day").parquet(es_path)
-        keep.drop("logstash_prefix", "day").write.mode("append").json(file_path)
-    finally:
-        keep.unpersist()
+    first = f"{es_path}/batch={batch}"
+    keep.write.mode("overwrite").partitionBy("logstash_prefix", "day").parquet(first)
+    stored = records.sparkSession.read.schema(keep.schema).parquet(first)
+    stored.drop("logstash_prefix", "day").write.mode("overwrite").json(f"{file_path}/batch={batch}")

@@ -3,7 +3,7 @@ history is processed by many tasks.
 
 State entering a chunk is (replicas, last action time).  Replicas take few
 values (the initial count or a clamped target); the last action time only
-matters for ticks within the cooldown (600 s) after the chunk start, so it
+matters for ticks within the longer cooldown after the chunk start, so it
 falls into a few classes bounded by those ticks' times.  Three steps:
 
 1. per (namespace, chunk): simulate every entry class at once (numpy arrays
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from quiver.operators.scaling import ScalerConfig, decide
 from quiver.operators.windows import epoch_micros
-from quiver.session import ship_package
+from quiver.session import scratch_path, ship_package
 
 NONE = np.int64(-(2 ** 62))
-DAY = 86400
+SPAN = 600  # seconds: chunks are runs of such spans, so that a busy day is split too
 
 _IN_COLS = ["namespace", "id", "ts", "replicas", "user_id", "want_up", "want_down", "enable_auto_scale_up",
             "enable_auto_scale_down", "min_replicas", "max_replicas", "quota_ok"]
@@ -36,7 +36,7 @@ _IN_COLS = ["namespace", "id", "ts", "replicas", "user_id", "want_up", "want_dow
 
 def _entry_classes(ts_us: np.ndarray, start_us: int, cfg: ScalerConfig):
     """Intervals [lo, hi] of last-action times (before the chunk) that act alike in this chunk."""
-    horizon = cfg.scale_down_cooldown_s * 1_000_000
+    horizon = max(cfg.scale_up_cooldown_s, cfg.scale_down_cooldown_s) * 1_000_000
     early = ts_us[ts_us < start_us + horizon]
     bps = np.unique(np.concatenate([early - cfg.scale_up_cooldown_s * 1_000_000,
                                     early - cfg.scale_down_cooldown_s * 1_000_000]))
@@ -70,10 +70,10 @@ def _simulate(pdf: pd.DataFrame, cur: np.ndarray, last: np.ndarray, cfg: ScalerC
         if not (cols["enable_auto_scale_up"][i] or cols["enable_auto_scale_down"][i]):
             continue
         if cols["want_up"][i]:
-            tgt = np.minimum((c * 3) // 2, cfg.max_replicas)
+            tgt = np.minimum((c * cfg.scale_up_factor).astype(np.int64), cfg.max_replicas)
             tgt = np.where(tgt <= c, c + 1, tgt)
         elif cols["want_down"][i]:
-            tgt = np.maximum(c // 2, cfg.min_replicas)
+            tgt = np.maximum((c * cfg.scale_down_factor).astype(np.int64), cfg.min_replicas)
             tgt = np.where(tgt >= c, c - 1, tgt)
         else:
             continue
@@ -88,8 +88,8 @@ def _simulate(pdf: pd.DataFrame, cur: np.ndarray, last: np.ndarray, cfg: ScalerC
         lst = np.where(go, t, lst)
         if not static:
             c = np.where(go, t2, c)
-        # a last-action time 600 s or more in the past can no longer block anything
-        lst = np.where((lst != NONE) & (t - lst >= down_cool), NONE, lst)
+        # a last-action time as old as the longer cooldown can no longer block anything
+        lst = np.where((lst != NONE) & (t - lst >= max(up_cool, down_cool)), NONE, lst)
         if len(c) > 1 and i % 8 == 7:
             u2, inv2 = np.unique(np.stack([c, lst], axis=1), axis=0, return_inverse=True)
             c, lst, inv = u2[:, 0].copy(), u2[:, 1].copy(), inv2.reshape(-1)[inv]
@@ -171,24 +171,29 @@ def _pass2(cfg: ScalerConfig, parity: bool, static: bool):
 
 def scaling_scan_chunked(inputs: DataFrame, cfg: ScalerConfig = ScalerConfig(), parity_noop: bool = False,
                          static_current: bool = False, target_rows: int = 100_000,
-                         day_seconds: int = DAY) -> DataFrame:
+                         span_seconds: int = SPAN) -> DataFrame:
     """M11 / M13 decisions, identical to the sequential scan, with work split by time chunk.
 
-    Chunks are runs of whole days holding about ``target_rows`` ticks of a
-    namespace (decided from a per-day count table), so a quiet namespace is one
-    chunk and a hot one is spread over many tasks.  When no namespace needs
-    more than one chunk, the plain sorted scan is used (same result, less work).
+    Chunks are runs of whole spans of ``span_seconds`` holding about ``target_rows``
+    ticks of a namespace (decided from a count table per span), so a quiet
+    namespace is one chunk and a hot one is spread over many tasks.  The inputs
+    are evaluated once, into shared scratch.  When no namespace needs more than
+    one chunk, the plain sorted scan is used: the same rule, driven by the
+    same ``cfg``.
     """
     spark = inputs.sparkSession
     ship_package(spark)
-    day_us = day_seconds * 1_000_000
+    day_us = span_seconds * 1_000_000
     ts_type = dict(inputs.dtypes)["ts"]
     src = inputs.select(*_IN_COLS).withColumn("ts_us", epoch_micros(F.col("ts"))) \
         .withColumn("_day", F.floor(F.col("ts_us") / F.lit(day_us)).cast("long")) \
         .withColumn("replicas", F.col("replicas").cast("long")) \
         .withColumn("min_replicas", F.col("min_replicas").cast("long")) \
         .withColumn("max_replicas", F.col("max_replicas").cast("long"))
-    # day -> chunk: cumulative tick counts per namespace over its (few) days
+    path = scratch_path(spark, "scaler-inputs")
+    src.write.parquet(path)
+    src = spark.read.schema(src.schema).parquet(path)
+    # span -> chunk: cumulative tick counts per namespace over its spans
     days = src.groupBy("namespace", "_day").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("namespace").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
@@ -197,7 +202,7 @@ def scaling_scan_chunked(inputs: DataFrame, cfg: ScalerConfig = ScalerConfig(),
         # every namespace fits in one chunk: the sorted scan already bounds each task
         from quiver.operators.scaling import scaling_scan
 
-        return scaling_scan(inputs, cfg, parity_noop=parity_noop, static_current=static_current)
+        return scaling_scan(src, cfg, parity_noop=parity_noop, static_current=static_current)
     starts = days.groupBy("namespace", "_chunk").agg((F.min("_day") * F.lit(day_us)).alias("_start"))
     starts = starts.withColumn("_last", F.col("_chunk") == F.max("_chunk").over(Window.partitionBy("namespace")))
     mapping = days.select("namespace", "_day", "_chunk").join(starts, ["namespace", "_chunk"])

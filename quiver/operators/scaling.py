@@ -259,7 +259,8 @@ def counter_rate(counters: DataFrame, seconds: int = 300, key: str = "namespace"
     df = ext.withColumn("_inc", inc.cast("double")).withColumn("_s", epoch_micros(F.col("ts")) / 1_000_000.0)
     rw = Window.partitionBy(key, "_b").orderBy("_s").rangeBetween(-seconds, 0)
     span = F.col("_s") - F.min("_s").over(rw)
-    total = F.sum("_inc").over(rw) - F.first("_inc").over(rw)
+    # the first sample of the range by (ts, id), so that equal times have one answer
+    total = F.sum("_inc").over(rw) - F.min_by("_inc", F.struct("_s", "id")).over(rw)
     out = df.withColumn("rate", F.when(span > 0, total / span))
     return out.where("_own").drop("_inc", "_s", "_own", "_b")
 

@@ -33,7 +33,7 @@ _RF = ("rf", f"SELECT record_start, lines, text, CASE WHEN regexp_matches(text,
              f"CASE WHEN regexp_matches(text, {_ESRE}) THEN regexp_extract(text, {_ESRE}, 2) END AS message FROM rec")
 _SYS = ("sys", "SELECT event_id, event_type || ' ' || props AS MESSAGE, ts AS time FROM events WHERE regexp_matches(event_type || ' ' || props, '(?i)(Warning|Error|Fail)')")
 _KUBE = ("kube", f"SELECT line_no, log, namespace_name AS kubernetes_ns, pod_name AS kubernetes_pod, container_name AS kubernetes_container, "
-                 f"'{HOST}' AS hostname, '{NODE}' AS node_name FROM l1p WHERE tag LIKE 'kubernetes%' AND coalesce(regexp_matches(namespace_name, '{L.KUBE_NAMESPACE}'), false)")
+                 f"'{HOST}' AS hostname, '{NODE}' AS node_name FROM l1p WHERE tag LIKE 'kubernetes%' AND coalesce(namespace_name = '{L.ALLOWED_NAMESPACE}', false)")
 _ROUTE = ("routed", "SELECT 'kubernetes' AS route, line_no AS record_key, log AS message, CAST(NULL AS TIMESTAMP) AS time FROM kube "
                     "UNION ALL SELECT 'elasticsearch', record_start, message, time FROM rf "
                     "UNION ALL SELECT 'system', event_id, MESSAGE, time FROM sys")
@@ -88,7 +88,7 @@ def l3(spark, sf_dir):
 
 
 @job("L4_log_namespace_filter", with_views(
-    f"SELECT line_no, tag FROM l1p WHERE NOT (tag LIKE 'kubernetes%') OR coalesce(regexp_matches(namespace_name, '{L.KUBE_NAMESPACE}'), false)",
+    f"SELECT line_no, tag FROM l1p WHERE NOT (tag LIKE 'kubernetes%') OR coalesce(namespace_name = '{L.ALLOWED_NAMESPACE}', false)",
     _LV, [_L1, _L1P]), "log")
 def l4(spark, sf_dir):
     return L.namespace_filter(parsed_lines(spark, sf_dir)).select("line_no", "tag")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +27,13 @@ def json_dir_scan(spark: SparkSession, path: str, prefix: str, schema: T.StructT
 
 def write_named_json(spark: SparkSession, df: DataFrame, path: str, prefix: str) -> list[str]:
     """Write ``df`` as JSON lines and name the part files ``<prefix>_<n>.json`` (driver renames a
-    bounded list of part files; the rows never leave the executors)."""
-    tmp = path.rstrip("/") + f"/_staging_{prefix}"
-    df.write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT).json(tmp)
+    bounded list of part files; the rows never leave the executors).
+
+    Every call uses fresh names and its own staging folder, so earlier files stay;
+    a rename that fails is an error, and then the staging folder is kept."""
+    call = uuid.uuid4().hex
+    tmp = path.rstrip("/") + f"/_staging_{prefix}_{call}"
+    df.write.mode("errorifexists").option("timestampNTZFormat", TS_FORMAT).json(tmp)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     src = jvm.org.apache.hadoop.fs.Path(tmp)
@@ -35,8 +41,9 @@ def write_named_json(spark: SparkSession, df: DataFrame, path: str, prefix: str)
     out = []
     parts = sorted(st.getPath().toString() for st in fs.listStatus(src) if st.getPath().getName().startswith("part-"))
     for i, p in enumerate(parts):
-        dst = f"{path.rstrip('/')}/{prefix}_{i:05d}.json"
-        fs.rename(jvm.org.apache.hadoop.fs.Path(p), jvm.org.apache.hadoop.fs.Path(dst))
+        dst = f"{path.rstrip('/')}/{prefix}_{call}_{i:05d}.json"
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(p), jvm.org.apache.hadoop.fs.Path(dst)):
+            raise OSError(f"could not rename {p} to {dst}")
         out.append(dst)
     fs.delete(src, True)
     return out

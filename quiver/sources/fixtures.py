@@ -102,7 +102,7 @@ VIEWS: dict[str, str] = {
         "select event_id as line_no, case when event_id % 4 = 0 then concat('2024-01-01 00:00:00.000 I ', event_type) "
         "when event_id % 4 = 1 then concat('  at frame ', cast(event_id as string)) "
         "else concat('{{\"log\":\"', event_type, '\",\"kubernetes\":{{\"namespace_name\":\"', "
-        "case when event_id % 3 = 0 then 'es-serverless' else 'other' end, '\",\"pod_name\":\"pod-', cast(user_id % 10 as string), '\"}}}}') end as raw, "
+        "case when event_id % 3 = 0 then 'search-system' else 'other' end, '\",\"pod_name\":\"pod-', cast(user_id % 10 as string), '\"}}}}') end as raw, "
         "case when event_id % 4 <= 1 then 'elasticsearch' else 'kubernetes' end as tag from {events}"
     ),
     "fx_search_log": (

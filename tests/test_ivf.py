@@ -146,14 +146,6 @@ def test_stats(trained):
     assert abs(s.avg_cluster_size - 10.0) < 1e-9
 
 
-def test_kmeans_ml_fast_path(spark):
-    from quiver.operators.kmeans import kmeans_train_ml
-
-    df, _ = frame(spark, 100, 10, 11)
-    res = kmeans_train_ml(df, 5)
-    assert res.centroids.count() == 5
-
-
 def test_stream_ingest_then_compact(spark):
     from quiver.streaming import ingest
     from quiver.streaming.sources import stage_files

@@ -111,7 +111,7 @@ def test_multiline_across_buckets(spark):
 
 
 def test_namespace_and_severity_filters(spark):
-    allowed = L.KUBE_NAMESPACE.lstrip("^(").rstrip(")$")
+    allowed = L.ALLOWED_NAMESPACE
     df = spark.createDataFrame([(1, '{"log":"x","kubernetes":{"namespace_name":"%s"}}' % allowed, "kubernetes.a"),
                                 (2, '{"log":"y","kubernetes":{"namespace_name":"other"}}', "kubernetes.b"),
                                 (3, "plain text", "elasticsearch")], "line_no long, raw string, tag string")

@@ -155,13 +155,26 @@ def test_screened_topk_small_row_chunks(monkeypatch):
     assert np.array_equal(full[0], part[0]) and np.array_equal(full[1], part[1])
 
 
-def test_auto_mode_uses_plan_estimate(spark, monkeypatch):
+def test_both_modes_agree_with_null_vectors(spark):
     import quiver.operators.knn as K
 
     df, x = _random(spark, 80, 6, 8)
+    df = df.unionByName(spark.createDataFrame([(-1, None)], df.schema))
     q = [float(v) for v in x[5]]
-    small = K.exact_knn(df, q, 4, "l2").collect()
-    monkeypatch.setattr(K, "BLOCK_MODE_BYTES", 0)                 # everything counts as large -> block
-    big = K.exact_knn(df, q, 4, "l2").collect()
-    assert sorted(tuple(r) for r in small) == sorted(tuple(r) for r in big)
-    assert K.estimated_bytes(df) is not None
+    expr = K.exact_knn(df, q, 4, "l2").collect()
+    block = K.exact_knn(df, q, 4, "l2", mode="block").collect()
+    assert sorted(tuple(r) for r in expr) == sorted(tuple(r) for r in block)
+    assert all(r["vec_id"] >= 0 for r in expr)
+    with pytest.raises(ValueError):
+        K.exact_knn(df, q, 4, "l2", mode="block", extra_cols=["embedding"])
+
+
+def test_blocked_centers_keep_rows_that_share_an_id(spark):
+    rows = [(7, [0.0, 1.0], "a"), (7, [5.0, 5.0], "b"), (8, [5.0, 6.0], "c"), (9, None, "d")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, note string")
+    centers = spark.createDataFrame([(k, [float(k), float(k)]) for k in range(6)], "cluster_id long, centroid array<double>")
+    whole = B.nearest_centers(df, centers, 2, "l2", keep_cols=["note"])
+    parts = B.nearest_centers(df, centers, 2, "l2", keep_cols=["note"], broadcast_bytes=40)
+    cols = ["vec_id", "note", "rank", "cluster_id", "raw"]
+    assert sorted(tuple(r[c] for c in cols) for r in whole.collect()) == sorted(tuple(r[c] for c in cols) for r in parts.collect())
+    assert whole.count() == 6
