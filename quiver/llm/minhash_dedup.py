@@ -16,9 +16,11 @@ similarity, so register values can be banded:
    components.
 
 No bucket is expanded to all its pairs: first each text is compared with the
-smallest id of its buckets, best shared leader first, and only pairs whose
-ends are still in different components are looked at after that (so a group of
-copies costs one comparison per copy, while no link is lost).
+smallest id of its buckets in the first four bands; in the other bands a
+component is one row per bucket, compared with the bucket's smallest component;
+then only texts of one bucket that are still in different components are
+paired, each pair once and by its sketches within the join.  So a group of
+copies costs a few comparisons per copy, while no link is lost.
 
 Defined cases: a null, empty or wordless text has an empty set, is linked with
 nothing and keeps its own doc_id as component; a text with fewer words than a
@@ -45,6 +47,8 @@ REGISTERS, BAND = 128, 4
 # SetSketch parameters: base, rate and largest register value.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 ESTIMATE_FLOOR = 0.62
+#: Bands of the first round of comparisons.
+FIRST_BANDS = 4
 
 _RNG = np.random.default_rng(808)
 _MUL = (_RNG.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -172,57 +176,72 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int]
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     reps = C.written(reps, "texts")
 
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(
-        F.slice("sketch", i * BAND + 1, BAND))))
-    rows = reps.select("doc_id", "n", band.alias("band", "h")).select("doc_id", "n", F.xxhash64("band", "h").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = C.written(rows.join(shared, "key"), "buckets")
-    facts = C.written(reps.select("doc_id", "n", "sketch").join(members.select("doc_id").distinct(), "doc_id"), "candidates")
-    texts = C.written(C.split_by(docs, facts)[0].join(facts.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
-
     likely = share[0] / share[1] - (0.8 - ESTIMATE_FLOOR)
+    bands = REGISTERS // BAND
 
     def close(n_a: Column, n_b: Column) -> Column:
         return share[1] * F.least(n_a, n_b) >= share[0] * F.greatest(n_a, n_b)
 
+    def slice_of(sketch: str, i: Column) -> Column:
+        return F.slice(sketch, i * BAND + 1, BAND)
+
+    def buckets(labels: DataFrame, first: int, last: int) -> DataFrame:
+        """(doc_id, n, sketch, root, band, key) of every text in the bands first..last - 1."""
+        at = F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("band")
+        rows = labels.select("doc_id", "root", "n", "sketch", at)
+        return rows.withColumn("key", F.xxhash64("band", slice_of("sketch", F.col("band"))))
+
+    def stars(labels: DataFrame, first: int, last: int) -> DataFrame:
+        """Pairs (a, b): of every bucket with texts of several components, the smallest text of the
+        smallest component with the smallest text of each other one; a component is one row a bucket."""
+        parts = buckets(labels, first, last).groupBy("key", "root").agg(F.min("doc_id").alias("b"))
+        heads = parts.groupBy("key").agg(F.min(F.struct("root", "b")).alias("x"), F.count("*").alias("c")).where("c > 1")
+        return parts.join(heads.select("key", "x"), "key").where("root != x.root").select(F.col("x.b").alias("a"), "b").distinct()
+
     def checked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that are links: estimated first, then verified on full sets."""
+        """Of written pairs (a, b), those that are links: estimated first, then verified on full sets."""
+        def ends(p: DataFrame) -> DataFrame:
+            return p.select(F.col("a").alias("doc_id")).unionByName(p.select(F.col("b").alias("doc_id")))
+
+        facts = C.split_by(reps.select("doc_id", "n", "sketch"), ends(pairs))[0]
         for end in ("a", "b"):
             pairs = pairs.join(facts.select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
         more, same = _compare("s_a", "s_b")
         pairs = pairs.where(close(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b", more.alias("more"), same.alias("same"))
         pairs = pairs.where(likelihood_estimate(F.col("more"), F.col("same"), F.col("n_a"), F.col("n_b")) >= likely).select("a", "b")
+        pairs = C.written(pairs, "likely-pairs")
+        texts = C.split_by(docs, ends(pairs))[0].dropDuplicates(["doc_id"])
         for end in ("a", "b"):
             pairs = pairs.join(texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}")), end)
         return pairs.mapInArrow(_verify(size, share), "a long, b long")
 
     def labelled(links: DataFrame) -> DataFrame:
         found = components(links).withColumnRenamed("node", "doc_id")
-        return C.written(facts.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")), "components")
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = pairs.join(labels.withColumnsRenamed({"doc_id": end, "root": f"root_{end}"}), end)
-        return pairs.where("root_a != root_b").select("a", "b")
+        return C.written(reps.join(found, "doc_id", "left").select("doc_id", "n", "sketch", F.coalesce("root", "doc_id").alias("root")), "components")
 
-    stars = C.written(members.where("doc_id != leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(
-        F.count("*").alias("bands")), "stars")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a"))
-    links = C.written(checked(best.select("a", "b")), "links")
+    # the first bands join nearly all copies, one comparison each
+    alone = reps.withColumn("root", F.col("doc_id"))
+    tried = C.written(stars(alone, 0, FIRST_BANDS), "stars")
+    links = C.written(checked(tried), "links")
     labels = labelled(links)
-    # leaders that are still in another component
-    links = C.written(links.unionByName(checked(apart(stars.select("a", "b"), labels))), "links")
+    # the other bands, component by component
+    second = C.written(stars(labels, FIRST_BANDS, bands), "stars")
+    links = C.written(links.unionByName(checked(second)), "links")
     labels = labelled(links)
-    # what is left: members of one bucket in different components, compared by their sketches within the join
-    mixed = members.select("key", "doc_id", "n").join(labels, "doc_id")
-    mixed = C.written(mixed.join(mixed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "key")
-                      .join(facts.select("doc_id", "sketch"), "doc_id"), "mixed-buckets")
-    x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "root", "sketch"))) for s in "ab")
+    # what is left: texts of one bucket in different components, compared by their sketches
+    # within the join; a pair counts in the first band it shares
+    keys = buckets(labels, 0, bands)
+    mixed = keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    mixed = C.written(keys.join(mixed, "key"), "mixed-buckets")
+    x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{e}") for c in ("doc_id", "n", "root", "sketch", "band"))) for e in "ab")
     _, same = _compare("sketch_a", "sketch_b")
+    earlier = F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: (i < F.col("band_a")) & (
+        slice_of("sketch_a", i) == slice_of("sketch_b", i)))
     cross = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") < F.col("root_b")) & close(F.col("n_a"), F.col("n_b"))
-                   & (same >= int(REGISTERS * likely)))
+                   & (same >= int(REGISTERS * likely)) & ~earlier)
     cross = cross.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
-    cross = cross.join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    before = tried.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = C.written(cross.join(before, ["a", "b"], "left_anti"), "cross-pairs")
     links = C.written(links.unionByName(checked(cross)), "links")
     labels = labelled(links)
 
