@@ -31,6 +31,8 @@ from quiver.llm import toxicity as tox
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
+#: Shares of tokens in the mix; toxic documents are gone by then.
+TARGETS = {"good": 0.87, "plain": 0.13, "toxic": 0.0}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, C.table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, C.table(spark, sf_dir, "labels"), TARGETS)
 
 
 STAGES = [

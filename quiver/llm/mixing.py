@@ -22,7 +22,7 @@ Defined cases: null texts are empty and have no tokens; a document without
 tokens gets a rate like others but weighs nothing; null or other label values
 and labels of unknown documents are not trained on; a document with several
 label rows counts once, by the largest label; a domain without rows has a prior
-of one pseudo-row; rows that repeat a doc_id are documents of their own;
+of one pseudo-row and no evidence; rows that repeat a doc_id are documents of their own;
 extra columns are ignored; without tokens all rates are 1.
 """
 
@@ -74,7 +74,9 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], rows: int = TR
     chosen = table.where(seen >= 3).select("word", chi2.alias("chi2"), *(f"n{k}" for k in range(len(domains)))).orderBy(F.desc("chi2"), "word").limit(size).collect()
     absent, weights = [0.0] * len(domains), {}
     for r in chosen:
-        p = [(r[f"n{k}"] + 0.5) / (t + 1) for k, t in enumerate(total)]
+        # a domain's pseudo-row has the pooled frequency, so that a domain without rows has no evidence
+        pooled = (sum(r[f"n{k}"] for k in range(len(domains))) + 0.5) / (sum(total) + 1)
+        p = [(r[f"n{k}"] + pooled) / t for k, t in enumerate(total)]
         weights[r["word"]] = [math.log(x / (1 - x)) for x in p]
         absent = [a + math.log(1 - x) for a, x in zip(absent, p)]
     return {"prior": [math.log(t / sum(total)) for t in total], "absent": absent, "weights": weights}
