@@ -72,7 +72,7 @@ VIEWS: dict[str, str] = {
         "case when rn = 1 then 'STARTED' when ix % 11 = 0 then 'UNASSIGNED' when (o_orderkey * 13) % 29 = 1 then 'INITIALIZING' "
         "when (o_orderkey * 13) % 29 = 2 then 'RELOCATING' when (o_orderkey * 13) % 29 = 3 then 'UNASSIGNED' else 'STARTED' end as state, "
         "case when rn = 3 and (o_orderkey * 13) % 29 = 3 then '' else cast(1000 + ix + case when rn = 1 then 0 else (o_orderkey * 7) % 12 end as string) end as docs, "
-        "concat(cast(10 + o_orderkey % 2 as string), 'mb') as store, concat('node-', cast(o_orderkey % 7 as string)) as node "
+        "concat(cast(10 + (o_orderkey % 7) % 2 as string), 'mb') as store, concat('node-', cast(o_orderkey % 7 as string)) as node "
         "from (select o_orderkey, o_custkey % 150 as ix, o_orderkey % 6 as sh, "
         "row_number() over (partition by o_custkey % 150, o_orderkey % 6 order by o_orderkey) as rn from {orders}) t where rn <= 3"
     ),

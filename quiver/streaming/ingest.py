@@ -10,13 +10,15 @@ from quiver.streaming.sources import idempotent_batch_writer
 
 
 def ivf_ingest_stream(index: IVFIndex, stream: DataFrame, lists_path: str, checkpoint: str,
-                      id_col: str = "vec_id", vec_col: str = "embedding", available_now: bool = True) -> StreamingQuery:
+                      id_col: str = "vec_id", vec_col: str = "embedding", available_now: bool = True,
+                      keep_cols: list[str] | None = None) -> StreamingQuery:
     """Each micro-batch is assigned to lists by the index metric and appended under
-    ``lists/cluster_id=*/batch_id=*``; replays overwrite their own batch."""
+    ``lists/cluster_id=*/batch_id=*``; replays overwrite their own batch.  ``keep_cols``
+    (e.g. the metadata map) are stored with the vectors."""
     write = idempotent_batch_writer(lists_path, ["cluster_id"])
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        write(ivf_add(index, batch, id_col=id_col, vec_col=vec_col), epoch_id)
+        write(ivf_add(index, batch, id_col=id_col, vec_col=vec_col, keep_cols=keep_cols), epoch_id)
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
