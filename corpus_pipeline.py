@@ -20,7 +20,6 @@ extra columns pass through; empty input gives empty output.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,14 +47,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.unionByName(near.join(gone, "doc_id", "left_anti"))
 
 
-def _whole_characters(kept: pd.Series) -> pd.Series:
-    """Bytes as text; the halves of characters that a cut went through are dropped."""
-    return kept.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore")).astype(object)
-
-
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = suffix_array_dedup.remove_duplicates(docs)
-    text = F.pandas_udf(_whole_characters, "string")
+    text = F.pandas_udf(suffix_array_dedup.whole_characters, "string")
     cut = C.written(found.where("n_removed > 0").select("doc_id", text("kept").alias("__kept")).dropDuplicates(["doc_id"]), "cut-texts")
     near, clean = C.split_by(docs, cut)
     part = near.join(cut, "doc_id", "left").where("__kept is null or __kept != ''")

@@ -37,6 +37,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -342,6 +343,11 @@ def remove_duplicates(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             .unionByName(_plain(gone, whole, F.lit(True))).unionByName(done))
 
 
+def whole_characters(kept: pd.Series) -> pd.Series:
+    """Bytes as text; the halves of characters that a cut went through are dropped."""
+    return kept.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore")).astype(object)
+
+
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract digest of ``remove_duplicates`` over all of ``documents``."""
     return remove_duplicates(C.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
