@@ -17,8 +17,10 @@ def _roots(parent: DataFrame) -> DataFrame:
     """(node, root) from (node, root) pointers that lead to smaller nodes, by pointer jumping."""
     while True:
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = C.written(parent.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"),
-                                                                  F.col("next").isNotNull().alias("moved")), "roots")
+        # two jumps a round; a pointer that still moved at the second may have further to go
+        once = parent.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        jumped = C.written(once.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"),
+                                                                F.col("next").isNotNull().alias("moved")), "roots")
         parent = jumped.select("node", "root")
         if not jumped.where("moved").limit(1).count():
             return parent

@@ -230,9 +230,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int]
     labels = labelled(links)
     # what is left: texts of one bucket in different components, compared by their sketches
     # within the join; a pair counts in the first band it shares
-    keys = buckets(labels, 0, bands)
-    mixed = keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    mixed = C.written(keys.join(mixed, "key"), "mixed-buckets")
+    keys = buckets(labels, 0, bands).select("key", "band", "doc_id", "n", "root")
+    several = C.written(keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "mixed-keys")
+    mixed = C.written(C.split_by(keys, several, "key")[0].join(several, "key"), "mixed-buckets")
+    sketches = C.split_by(reps.select("doc_id", "sketch"), mixed)[0]
+    mixed = mixed.join(sketches, "doc_id")
     x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{e}") for c in ("doc_id", "n", "root", "sketch", "band"))) for e in "ab")
     _, same = _compare("sketch_a", "sketch_b")
     earlier = F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: (i < F.col("band_a")) & (
@@ -242,8 +244,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int]
     cross = cross.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
     before = tried.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = C.written(cross.join(before, ["a", "b"], "left_anti"), "cross-pairs")
-    links = C.written(links.unionByName(checked(cross)), "links")
-    labels = labelled(links)
+    late = C.written(checked(cross), "links")
+    if late.limit(1).count():
+        labels = labelled(links.unionByName(late))
 
     whole = reps.select("digest", "doc_id").join(labels, "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("root"))
     own = F.coalesce("root", "doc_id")
