@@ -142,15 +142,18 @@ def fit(members: DataFrame, targets: list[float], volume: float = VOLUME, iterat
     m = np.array([[float(first[f"m{min(i, j)}_{max(i, j)}"]) / total for j in range(d)] for i in range(d)])
     m += np.eye(d) * 1e-9 * np.trace(m)  # a domain without mass pulls on nobody
     steps: list[tuple[list[float], float]] = []
-    momentum = 1.0
+    momentum, before = 1.0, np.full(d, np.inf)
     shape = members.select("n_tokens", "p")
     for _ in range(iterations):
         state = rates(F.col("p"), steps)
         sums = shape.select("n_tokens", "p", state.alias("s")).agg(
             *(F.sum(F.col("n_tokens") * F.element_at("p", k + 1) * F.col("s.y")).alias(f"y{k}") for k in range(d)),
             *(F.sum(F.col("n_tokens") * F.element_at("p", k + 1) * F.col("s.r")).alias(f"r{k}") for k in range(d))).first()
-        if max(abs(float(sums[f"r{k}"]) / total - goal[k]) for k in range(d)) <= tolerance:
+        reached = np.array([float(sums[f"r{k}"]) / total for k in range(d)])
+        # on target, or as near as nonnegative rates come: a tenth of the tolerance is not gained any more
+        if np.abs(reached - goal).max() <= tolerance or np.abs(reached - before).max() < tolerance / 10:
             break
+        before = reached
         residual = np.array([float(sums[f"y{k}"]) / total for k in range(d)]) - goal
         following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         steps.append((np.linalg.solve(m, residual).tolist(), (momentum - 1) / following))
