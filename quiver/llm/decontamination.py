@@ -7,22 +7,22 @@ shorter item) marks its words as hit; spans of hit words that exceed a length
 limit, or texts whose hit share exceeds a coverage limit, are removed.
 
 The automaton is sent to every task, so its size is bounded: items are packed
-into shards of at most ``SHARD_WORDS`` words, chosen by Spark from a running
-total, and one pass over the texts is made per shard (benchmarks of usual size
-are one shard).  No more than one shard's items are ever collected, and an
+into shards of about ``SHARD_WORDS // 2`` words, dealt by a hash, and one pass
+over the texts is made per shard (benchmarks of usual size are one shard).  No more than one shard's items are ever collected, and an
 item over the bound is cut into overlapping parts that hold all its windows.
 Streaming is exact and cheap: words that no item has reset the automaton, so
 only runs of item words long enough for a window are stepped through.
 
 Defined cases: null or empty texts have no words and no hit; items without
-words match nothing; repeated items each count; rows that repeat a doc_id are
-judged one by one; extra columns stay in ``decontaminate`` and are ignored in
+words match nothing; repeated items each count; rows that repeat a doc_id, or
+have a null one, are judged one by one; extra columns stay in ``decontaminate`` and are ignored in
 ``contamination``; an empty benchmark leaves every text clean.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,7 +135,7 @@ class SuffixAutomaton:
                     s = self.link[s]
 
 
-HITS = "doc_id long, row long, n_words long, hit binary, items array<long>"
+HITS = "doc_id long, row long, key long, n_words long, hit binary, items array<long>"
 
 
 def _prepare_items(rows: list[tuple[int, str]], window: int):
@@ -157,7 +157,7 @@ def _scan(shared, window: int):
         table, number, automaton, least = shared.value
         for batch in batches:
             ids = batch.column("doc_id")
-            rows = batch.column("row")
+            rows, keys = batch.column("row"), batch.column("key")
             buf, offsets = C.strings(batch.column("text"))
             for lo, hi in C.pieces(offsets):
                 n = hi - lo
@@ -189,17 +189,18 @@ def _scan(shared, window: int):
                             items[d].update(found)
                 packed = [None if x is None else np.packbits(np.cumsum(x)[:-1] > 0).tobytes() for x in hits]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, n), rows.slice(lo, n), pa.array(np.diff(bound), pa.int64()), pa.array(packed, pa.binary()),
-                     pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "hit", "items"])
+                    [ids.slice(lo, n), rows.slice(lo, n), keys.slice(lo, n), pa.array(np.diff(bound), pa.int64()), pa.array(packed, pa.binary()),
+                     pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], names=["doc_id", "row", "key", "n_words", "hit", "items"])
 
     return scan
 
 
 def _shards(benchmark: DataFrame, window: int) -> DataFrame:
-    """Items (item_id, part text) with a shard number; shards hold at most about SHARD_WORDS words.
+    """Items (item_id, part text) with a shard number; shards hold about SHARD_WORDS // 2 words.
 
     Items are numbered by ranges of a hash of their id, so that no task sees all of them."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)  # as texts: A-Z only
+    words = F.regexp_extract_all(lower, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     items = items.withColumn("w", F.size(words)).where("w > 0")
     # an item over the bound is cut into parts that overlap by window - 1 words
@@ -214,25 +215,29 @@ def _shards(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, row - any number that tells rows of one
-    doc_id apart): n_words, hit (bit per word, null without hits), items (ids with occurring windows)."""
+    """Per row of ``docs`` (doc_id, text, row - any number, passed on): doc_id, row,
+    n_words, hit (bit per word, null without hits), items (ids with occurring windows)."""
     spark = docs.sparkSession
     C.prepare(spark)
     shards = C.written(_shards(benchmark, window), "benchmark-shards")
     numbers = [r["shard"] for r in shards.select("shard").distinct().collect()] or [0]
+    keyed = docs.select("doc_id", "row", "text", F.monotonically_increasing_id().alias("key"))
+    if len(numbers) > 1:  # the passes must see one number per row
+        keyed = C.written(keyed, "decontamination-rows")
     out = None
     for s in numbers:
         rows = [(r["item_id"], r["text"]) for r in shards.where(F.col("shard") == s).select("item_id", "text").toLocalIterator()]
         shared = spark.sparkContext.broadcast(_prepare_items(rows, window))
-        found = docs.select("doc_id", "row", "text").mapInArrow(_scan(shared, window), HITS)
+        found = keyed.mapInArrow(_scan(shared, window), HITS)
         out = found if out is None else out.unionByName(found)
     if len(numbers) == 1:
-        return out
+        return out.drop("key")
     merged = F.expr("""unhex(aggregate(collect_list(hex(hit)), '', (a, x) -> case when a = '' then x else
         array_join(transform(sequence(1, length(a) div 2), i -> lpad(hex(cast(conv(substring(a, 2 * i - 1, 2), 16, 10) as int)
         | cast(conv(substring(x, 2 * i - 1, 2), 16, 10) as int)), 2, '0')), '') end))""")
-    return out.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.when(F.count("hit") > 0, merged).alias("hit"),
-                                           F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return out.groupBy("doc_id", "row", "key").agg(
+        F.max("n_words").alias("n_words"), F.when(F.count("hit") > 0, merged).alias("hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("key")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -260,7 +265,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     suspect, clean = C.split_by(keyed, found)
     facts = found.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row2"), F.col("n_words").alias("__n"), F.col("hit").alias("__hit"))
-    suspect = suspect.join(facts, (suspect["doc_id"].cast("long") == F.col("__id")) & (suspect["__row"] == F.col("__row2")), "left")
+    suspect = suspect.join(facts, suspect["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (suspect["__row"] == F.col("__row2")), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, n: pd.Series, hit: pd.Series) -> pd.Series:

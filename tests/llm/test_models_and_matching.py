@@ -167,6 +167,27 @@ def test_long_items_are_cut_without_loss(spark, monkeypatch):
     assert got == brute_hits(docs, items)
 
 
+@pytest.mark.parametrize("shard", [400_000, 30])
+def test_repeated_rows_stay_whatever_the_number_of_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(decon, "SHARD_WORDS", shard)
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(14))) for k in range(8)]
+    docs = [(1, items[0][1]), (1, items[0][1]), (1, "other"), (2, None), (2, None), (None, items[3][1]), (None, items[3][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r["items"], r.hit is not None) for r in decon.contamination(decon._rows(df), bench).collect()]
+    want = [(1, 14, [0], True)] * 2 + [(1, 1, [], False)] + [(2, 0, [], False)] * 2 + [(None, 14, [3], True)] * 2
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    kept = decon.decontaminate(df, bench).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.text) == [(1, "other")] and sum(r.text is None for r in kept) == 2
+
+
+def test_long_items_lower_only_ascii_letters(spark, monkeypatch):
+    monkeypatch.setattr(decon, "SHARD_WORDS", 30)
+    text = " ".join(f"Éw{k}Ü" for k in range(100))
+    got = hits_of(decon.contamination(decon._rows(spark.createDataFrame([(1, text)], "doc_id long, text string")),
+                                      spark.createDataFrame([(9, text)], "item_id long, text string")).collect())
+    assert got == brute_hits([(1, text)], [(9, text)]) and all(got[1][1])
+
+
 def test_automaton_tracks_longest_matches():
     rng = random.Random(2)
     items = [(k, [rng.randrange(3) for _ in range(rng.randint(1, 12))]) for k in range(8)]
