@@ -10,7 +10,12 @@ Reading: ``read_archives`` checks every record - the member's CRC, the version
 line, header, length, and the block and payload digests.  After a failed check it
 searches for the next gzip member or version line that reads as a whole valid
 record, goes on there, and logs the bytes between as a quarantined gap with the
-reason.  Damage to one record therefore costs that record only.
+reason.  Inside a damaged member it does the same in the content inflated so far:
+its valid records stay (at the member's offset), and each gap is logged with the
+member's offset, the gap's bytes of content as its length, and ``in member`` with
+the place in the content as its reason.  Damage to one record therefore costs that
+record only; in a damaged member a record's own checks decide, and of a member of which the compressed data breaks off, what comes after
+the break is lost up to the next member or version line.
 
 Bounds: an archive is one row and is read in one task; hot payloads are joined
 in 16 salted parts, and page bodies are shuffled only for pages that may be
@@ -120,7 +125,11 @@ class Gap:
 
 
 class Damaged(Exception):
-    pass
+    """``content``: what could be inflated of a gzip member, up to ``end``."""
+
+    def __init__(self, reason: str, content: bytes = b"", end: int | None = None):
+        super().__init__(reason)
+        self.content, self.end = content, end
 
 
 def parse_record(data: bytes, at: int) -> tuple[str, dict[str, str], bytes, int]:
@@ -156,56 +165,102 @@ def parse_record(data: bytes, at: int) -> tuple[str, dict[str, str], bytes, int]
 
 
 def inflate(data: bytes, at: int, limit: int = 1 << 30) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at ``at``; raises Damaged."""
+    """(content, end) of the gzip member at ``at``; raises Damaged with the content inflated so far."""
     d, view, out, pos, size = zlib.decompressobj(31), memoryview(data), [], at, 0
     try:
         while not d.eof:
             if pos >= len(data):
-                raise Damaged("truncated member")
+                raise Damaged("truncated member", b"".join(out), len(data))
             part = view[pos:pos + 65536]
             out.append(d.decompress(part, limit - size + 1))
             size += len(out[-1])
             if size > limit or d.unconsumed_tail:
-                raise Damaged("member too large")
+                raise Damaged("member too large", b"".join(out), pos + len(part) - len(d.unconsumed_tail))
             pos += len(part)
     except zlib.error as e:
-        raise Damaged(f"gzip: {'crc' if 'check' in str(e) else 'data'}") from e
+        # once more, the failed part byte by byte up to the damage
+        d, end = zlib.decompressobj(31), pos
+        for k in range(at, pos, 65536):
+            d.decompress(view[k:k + 65536])
+        try:
+            while True:
+                out.append(d.decompress(view[end:end + 1]))
+                end += 1
+        except zlib.error:
+            pass
+        crc = "check" in str(e)
+        if crc:  # the content is complete; damaged is the trailer, or what it tells of
+            end -= 7 if "length" in str(e) else 3
+        raise Damaged(f"gzip: {'crc' if crc else 'data'}", b"".join(out), end) from e
     return b"".join(out), pos - len(d.unused_data)
 
 
-def _valid_at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """Records of the member or plain record at ``at``, and where it ends; raises Damaged."""
+def _in_member(content: bytes, at: int, length: int, reason: str = "") -> tuple[list[Record | Gap], bool]:
+    """Valid records of a member's content and the gaps between them, and whether there was a record.
+
+    ``reason``: why the content ends early; then what is left at its end is a gap for it."""
+    found, pos, lost, why, some = [], 0, None, "", False
+    while pos < len(content):
+        try:
+            kind, headers, block, end = parse_record(content, pos)
+        except Damaged as e:
+            if lost is None:
+                lost, why = pos, str(e)
+            m = _VERSION_LINE.search(content, pos + 1)
+            pos = m.start() if m else len(content)
+            continue
+        if lost is not None:
+            found.append(Gap(at, pos - lost, f"in member at {lost}: {why}"))
+            lost = None
+        found.append(Record(at, length, kind, headers, block))
+        pos, some = end, True
+    if lost is not None:
+        found.append(Gap(at, pos - lost, f"in member at {lost}: {reason or why}"))
+    return found, some
+
+
+def _valid_at(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """Records of the member or plain record at ``at``, and where it ends; raises Damaged.
+
+    A whole member with some valid record is returned with its inner gaps."""
     if data[at:at + 2] == b"\x1f\x8b":
         content, end = inflate(data, at)
-        records, pos = [], 0
-        while pos < len(content):
-            kind, headers, block, pos = parse_record(content, pos)
-            records.append(Record(at, end - at, kind, headers, block))
-        if not records:
-            raise Damaged("empty member")
-        return records, end
+        found, some = _in_member(content, at, end - at)
+        if not some:
+            raise Damaged(found[0].reason.partition(": ")[2] if found else "empty member")
+        return found, end
     kind, headers, block, end = parse_record(data, at)
     return [Record(at, end - at, kind, headers, block)], end
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All valid records of an archive, and the byte gaps between them."""
+    """All valid records of an archive, and the byte gaps between them and inside members."""
     at, lost, reason = 0, None, ""
     while at < len(data):
         try:
             records, end = _valid_at(data, at)
         except Damaged as e:
-            if lost is None:
+            end = at + 1 if e.end is None else e.end
+            inner, some = _in_member(e.content, at, end - at, str(e))
+            if some:  # the records before the damage; the search goes on behind it
+                if lost is not None:
+                    yield Gap(lost, at - lost, reason)
+                yield from inner
+                if end == len(data) and not isinstance(inner[-1], Gap):
+                    yield Gap(end, 0, str(e))
+                lost, reason = end, str(e)
+            elif lost is None:
                 lost, reason = at, str(e)
-            m = _NEXT.search(data, at + 1)
+            m = _NEXT.search(data, end if some else at + 1)
             at = m.start() if m else len(data)
             continue
         if lost is not None:
-            yield Gap(lost, at - lost, reason)
+            if at > lost:
+                yield Gap(lost, at - lost, reason)
             lost = None
         yield from records
         at = end
-    if lost is not None:
+    if lost is not None and lost < len(data):
         yield Gap(lost, len(data) - lost, reason)
 
 

@@ -87,6 +87,39 @@ def test_salvage_checks_digests():
     assert found[1].reason == "block digest"
 
 
+def salvaged(data):
+    found = list(warc.salvage(data))
+    return [warc.page_of(x.headers["warc-record-id"]) for x in found if isinstance(x, warc.Record)], [x for x in found if isinstance(x, warc.Gap)]
+
+
+def test_salvage_inside_a_member():
+    parts = records()
+    parts[2] = parts[2].replace(b"payload 2", b"payload X", 1)
+    one = warc.member(b"".join(parts))
+    kept, gaps = salvaged(warc.member(records(1)[0]) + one)
+    assert kept == [0, 0, 1, 3, 4, 5]
+    assert [(g.offset, g.length, g.reason) for g in gaps] == [(len(warc.member(records(1)[0])), len(parts[2]), f"in member at {len(parts[0]) + len(parts[1])}: block digest")]
+
+
+def test_salvage_of_broken_members():
+    rng = random.Random(8)
+    parts = [warc.page_record(k, "u", rng.randbytes(3000), None) for k in range(30)]
+    one, after = warc.member(b"".join(parts)), warc.member(warc.page_record(99, "u", b"z" * 90, None))
+    for trailer in (-8, -4):  # CRC, length
+        bad = bytearray(one)
+        bad[trailer] ^= 1
+        kept, gaps = salvaged(bytes(bad) + after)
+        assert kept == [*range(30), 99] and [(g.offset, g.length, g.reason) for g in gaps] == [(len(one) - 8, 8, "gzip: crc")]
+    kept, gaps = salvaged(one[:75_000])  # truncated beyond one read of the inflater
+    assert kept == list(range(len(kept))) and len(kept) >= 22 and gaps[-1].reason.endswith("truncated member")
+    assert salvaged(one[:-8])[0] == list(range(30)) and salvaged(one[:-8])[1] == [warc.Gap(len(one) - 8, 0, "truncated member")]
+    text = [warc.page_record(k, "u", " ".join(rng.choices(["some", "words", "of", "a", "page", str(k)], k=900)).encode(), None) for k in range(40)]
+    one = bytearray(warc.member(b"".join(text)))
+    one[len(one) // 2:len(one) // 2 + 400] = b"\xff" * 400
+    kept, gaps = salvaged(bytes(one) + after)
+    assert kept[-1] == 99 and kept[:-1] == list(range(len(kept) - 1)) and len(kept) > 10 and gaps[-1].offset + gaps[-1].length == len(one)
+
+
 def test_damaged_rows_are_quarantined(spark):
     data = b"".join(warc.member(r) for r in records(3))
     got = warc.read_archives(spark.createDataFrame([("a", bytearray(b"xx" + data)), ("b", None)], "archive string, content binary"))
