@@ -7,7 +7,7 @@ stage's documents.  All stages but the last keep the columns of
 
 1. ``toxicity`` drops documents with a toxicity score of 0.5 or more;
 2. ``near_dedup`` keeps the smallest doc_id of each group of near duplicates
-   (five-word shingles, Jaccard 0.8);
+   (five-word shingles, Jaccard 0.8; rows of one doc_id are judged by their own text);
 3. ``suffix_dedup`` cuts byte runs of 100 or more that occur earlier, and drops
    documents of which nothing is left;
 4. ``decontamination`` cuts spans that match benchmark items, and drops documents
@@ -41,10 +41,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash_dedup.near_duplicates(docs, SHINGLE)
-    gone = C.written(found.where("not kept").select("doc_id").distinct(), "near-copies")
-    near, clean = C.split_by(docs, gone)
-    return clean.unionByName(near.join(gone, "doc_id", "left_anti"))
+    found = minhash_dedup.near_duplicate_rows(docs, SHINGLE)
+    gone = C.written(found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct(), "near-copies")
+    near, clean = C.split_by(docs.withColumn("__row", minhash_dedup.row_hash()), gone, "__row")
+    same = near["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (near["__row"] == gone["__row"])
+    return clean.unionByName(near.join(gone, same, "left_anti")).drop("__row")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,9 +24,11 @@ copies costs a few comparisons per copy, while no link is lost.
 
 Defined cases: a null, empty or wordless text has an empty set, is linked with
 nothing and keeps its own doc_id as component; a text with fewer words than a
-shingle is one shingle; rows that repeat a doc_id are returned once each with
-the same component; extra columns are ignored; an empty table gives an empty
-result.
+shingle is one shingle; rows that repeat a doc_id are returned once each, every
+one with the component of its own text; a null doc_id takes part like any other
+and sorts after all of them: its component_id is the smallest doc_id of its
+component, and null, with the row kept, where no text of the component has one;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,13 +82,13 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, size: int):
     return row, value, (buf, start, end, doc)
 
 
-PROFILE = "doc_id long, n_shingles long, digest string, sketch array<int>"
+PROFILE = "doc_id long, row long, n_shingles long, digest string, sketch array<int>"
 
 
 def _profile(size: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, rows = batch.column("doc_id"), batch.column("row")
             buf, offsets = C.strings(batch.column("text"))
             for lo, hi in C.pieces(offsets):
                 n = hi - lo
@@ -112,9 +114,9 @@ def _profile(size: int):
                 words = np.where(C.NON_SPACE[low], low, np.uint8(0x20))[keep].tobytes()
                 digest = [hashlib.sha256(words[edge[r]:edge[r + 1]].rstrip(b" ")).hexdigest() for r in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi], pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()),
+                    [ids.slice(lo, n), rows.slice(lo, n), pa.array(count, pa.int64()), pa.array(digest, pa.string()),
                      pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * REGISTERS, pa.int32()), pa.array(sketch.ravel(), pa.int32()))],
-                    names=["doc_id", "n_shingles", "digest", "sketch"])
+                    names=["doc_id", "row", "n_shingles", "digest", "sketch"])
 
     return profile
 
@@ -162,19 +164,29 @@ def _verify(size: int, share: tuple[int, int]):
     return verify
 
 
+def row_hash() -> Column:
+    """What tells apart the texts of one doc_id."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept; see ``near_duplicate_rows``."""
+    return near_duplicate_rows(docs, size, share).drop("row")
+
+
+def near_duplicate_rows(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = (80, 100)) -> DataFrame:
+    """Per row of ``docs``: doc_id, row (``row_hash`` of its text), n_shingles, component_id, kept.
 
     Two sets are linked when share[1] * intersection >= share[0] * union.  See
     the module docstring; for thresholds under 0.8 raise the number of bands."""
     spark = docs.sparkSession
     C.prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash().alias("row"))
     prof = C.written(docs.mapInArrow(_profile(size), PROFILE), "sketches")
-    # one row per distinct word sequence
+    # one row per distinct word sequence, under a number of its own: a doc_id may have several
     reps = prof.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    reps = C.written(reps, "texts")
+        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    reps = C.written(reps.withColumn("key", F.monotonically_increasing_id()), "texts")
 
     likely = share[0] / share[1] - (0.8 - ESTIMATE_FLOOR)
     bands = REGISTERS // BAND
@@ -186,41 +198,42 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int]
         return F.slice(sketch, i * BAND + 1, BAND)
 
     def buckets(labels: DataFrame, first: int, last: int) -> DataFrame:
-        """(doc_id, n, sketch, root, band, key) of every text in the bands first..last - 1."""
+        """(key, n, sketch, root, band, bucket) of every text in the bands first..last - 1."""
         at = F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("band")
-        rows = labels.select("doc_id", "root", "n", "sketch", at)
-        return rows.withColumn("key", F.xxhash64("band", slice_of("sketch", F.col("band"))))
+        rows = labels.select("key", "root", "n", "sketch", at)
+        return rows.withColumn("bucket", F.xxhash64("band", slice_of("sketch", F.col("band"))))
 
     def stars(labels: DataFrame, first: int, last: int) -> DataFrame:
         """Pairs (a, b): of every bucket with texts of several components, the smallest text of the
         smallest component with the smallest text of each other one; a component is one row a bucket."""
-        parts = buckets(labels, first, last).groupBy("key", "root").agg(F.min("doc_id").alias("b"))
-        heads = parts.groupBy("key").agg(F.min(F.struct("root", "b")).alias("x"), F.count("*").alias("c")).where("c > 1")
-        return parts.join(heads.select("key", "x"), "key").where("root != x.root").select(F.col("x.b").alias("a"), "b").distinct()
+        parts = buckets(labels, first, last).groupBy("bucket", "root").agg(F.min("key").alias("b"))
+        heads = parts.groupBy("bucket").agg(F.min(F.struct("root", "b")).alias("x"), F.count("*").alias("c")).where("c > 1")
+        return parts.join(heads.select("bucket", "x"), "bucket").where("root != x.root").select(F.col("x.b").alias("a"), "b").distinct()
 
     def checked(pairs: DataFrame) -> DataFrame:
         """Of written pairs (a, b), those that are links: estimated first, then verified on full sets."""
-        def ends(p: DataFrame) -> DataFrame:
-            return p.select(F.col("a").alias("doc_id")).unionByName(p.select(F.col("b").alias("doc_id")))
+        def ends(p: DataFrame, a: str, b: str, name: str) -> DataFrame:
+            return p.select(F.col(a).alias(name)).unionByName(p.select(F.col(b).alias(name)))
 
-        facts = C.split_by(reps.select("doc_id", "n", "sketch"), ends(pairs))[0]
+        facts = C.split_by(reps.select("key", "row", "n", "sketch"), ends(pairs, "a", "b", "key"), "key")[0]
         for end in ("a", "b"):
-            pairs = pairs.join(facts.select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
+            pairs = pairs.join(facts.select(F.col("key").alias(end), F.col("row").alias(f"row_{end}"), F.col("n").alias(f"n_{end}"),
+                                            F.col("sketch").alias(f"s_{end}")), end)
         more, same = _compare("s_a", "s_b")
-        pairs = pairs.where(close(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b", more.alias("more"), same.alias("same"))
-        pairs = pairs.where(likelihood_estimate(F.col("more"), F.col("same"), F.col("n_a"), F.col("n_b")) >= likely).select("a", "b")
+        pairs = pairs.where(close(F.col("n_a"), F.col("n_b"))).select("a", "b", "row_a", "row_b", "n_a", "n_b", more.alias("more"), same.alias("same"))
+        pairs = pairs.where(likelihood_estimate(F.col("more"), F.col("same"), F.col("n_a"), F.col("n_b")) >= likely).select("a", "b", "row_a", "row_b")
         pairs = C.written(pairs, "likely-pairs")
-        texts = C.split_by(docs, ends(pairs))[0].dropDuplicates(["doc_id"])
+        texts = C.split_by(docs, ends(pairs, "row_a", "row_b", "row"), "row")[0].dropDuplicates(["row"])
         for end in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}")), end)
-        return pairs.mapInArrow(_verify(size, share), "a long, b long")
+            pairs = pairs.join(texts.select(F.col("row").alias(f"row_{end}"), F.col("text").alias(f"text_{end}")), f"row_{end}")
+        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, share), "a long, b long")
 
     def labelled(links: DataFrame) -> DataFrame:
-        found = components(links).withColumnRenamed("node", "doc_id")
-        return C.written(reps.join(found, "doc_id", "left").select("doc_id", "n", "sketch", F.coalesce("root", "doc_id").alias("root")), "components")
+        found = components(links).withColumnRenamed("node", "key")
+        return C.written(reps.join(found, "key", "left").select("key", "n", "sketch", F.coalesce("root", "key").alias("root")), "components")
 
     # the first bands join nearly all copies, one comparison each
-    alone = reps.withColumn("root", F.col("doc_id"))
+    alone = reps.withColumn("root", F.col("key"))
     tried = C.written(stars(alone, 0, FIRST_BANDS), "stars")
     links = C.written(checked(tried), "links")
     labels = labelled(links)
@@ -230,28 +243,31 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int]
     labels = labelled(links)
     # what is left: texts of one bucket in different components, compared by their sketches
     # within the join; a pair counts in the first band it shares
-    keys = buckets(labels, 0, bands).select("key", "band", "doc_id", "n", "root")
-    several = C.written(keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "mixed-keys")
-    mixed = C.written(C.split_by(keys, several, "key")[0].join(several, "key"), "mixed-buckets")
-    sketches = C.split_by(reps.select("doc_id", "sketch"), mixed)[0]
-    mixed = mixed.join(sketches, "doc_id")
-    x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{e}") for c in ("doc_id", "n", "root", "sketch", "band"))) for e in "ab")
+    keys = buckets(labels, 0, bands).select("bucket", "band", "key", "n", "root")
+    several = C.written(keys.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket"), "mixed-keys")
+    mixed = C.written(C.split_by(keys, several, "bucket")[0].join(several, "bucket"), "mixed-buckets")
+    sketches = C.split_by(reps.select("key", "sketch"), mixed, "key")[0]
+    mixed = mixed.join(sketches, "key")
+    x, y = (mixed.select("bucket", *(F.col(c).alias(f"{c}_{e}") for c in ("key", "n", "root", "sketch", "band"))) for e in "ab")
     _, same = _compare("sketch_a", "sketch_b")
     earlier = F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: (i < F.col("band_a")) & (
         slice_of("sketch_a", i) == slice_of("sketch_b", i)))
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") < F.col("root_b")) & close(F.col("n_a"), F.col("n_b"))
+    cross = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("root_a") < F.col("root_b")) & close(F.col("n_a"), F.col("n_b"))
                    & (same >= int(REGISTERS * likely)) & ~earlier)
-    cross = cross.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+    cross = cross.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
     before = tried.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = C.written(cross.join(before, ["a", "b"], "left_anti"), "cross-pairs")
     late = C.written(checked(cross), "links")
     if late.limit(1).count():
         labels = labelled(links.unionByName(late))
 
-    whole = reps.select("digest", "doc_id").join(labels, "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("root"))
-    own = F.coalesce("root", "doc_id")
-    return (prof.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(whole, "digest", "left")
-            .select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept")))
+    # the smallest doc_id of every component; most are one text
+    texts = reps.select("key", "digest", "doc_id").join(labels.select("key", "root"), "key")
+    least = texts.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    whole = texts.join(least, "root").select("digest", "component_id")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return (prof.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(whole, "digest", "left")
+            .select("doc_id", "row", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")))
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

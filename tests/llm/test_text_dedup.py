@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from quiver.llm import common as C
 from quiver.llm import minhash_dedup, substring_dedup, suffix_array_dedup
 from quiver.llm.components import components
@@ -142,6 +143,20 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert got == {i: (len(sets[i]), roots[i], roots[i] == i) for i in sets}
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(4))
+    big = (1 << 53) + 1
+    rows = [(5, a), (5, b), (5, b), (7, b), (7, c), (3, c + " x"), (None, a + " y"), (None, d), (None, d + " z"), (None, None), (big, "lone text here now")]
+    want = [(5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (7, 3, False), (3, 3, True), (None, 5, False), (None, None, True), (None, None, True),
+            (None, None, True), (big, big, True)]
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, [*rows, (7, "of its own")]), "").collect()
+    gone = [(7, b), (7, c), (None, a + " y")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([x for x in rows if x not in gone] + [(7, "of its own")], key=repr)
+
+
 def test_chains_of_near_copies_share_a_component(spark):
     """Each text is close to the next only: links must not be lost although no text is close to all."""
     words = [f"w{k}" for k in range(200)]
