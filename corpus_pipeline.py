@@ -14,7 +14,8 @@ stage's documents.  All stages but the last keep the columns of
    that consist mostly of them;
 5. ``mixing`` gives every document its rate in the final mix.
 
-Nulls: a null text is an empty one to every stage and stays null unless cut;
+Nulls: a null text is an empty one to every stage and stays null unless cut; a
+row with a null doc_id comes after all ids and is kept, cut or dropped by its own text;
 extra columns pass through; empty input gives empty output.
 """
 
@@ -49,6 +50,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType
+    docs, first = C.with_ids(docs)
     found = suffix_array_dedup.remove_duplicates(docs)
     text = F.pandas_udf(suffix_array_dedup.whole_characters, "string")
     cut = C.written(found.where("n_removed > 0").select("doc_id", text("kept").alias("__kept")).dropDuplicates(["doc_id"]), "cut-texts")
@@ -57,7 +60,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     new = {"text": F.coalesce("__kept", "text"),
            "n_chars": F.when(F.col("__kept").isNotNull(), F.char_length("__kept")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None}
     columns = [new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns]
-    return clean.unionByName(part.select(*columns))
+    return C.without_ids(clean.unionByName(part.select(*columns)), first, kind)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def with_ids(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """(docs, first): rows with a null doc_id get numbers of their own, from ``first`` on, above every
+    doc_id and in the order of their texts' hashes; without such rows ``docs`` itself and None."""
+    doc_id = F.col("doc_id").cast("long")
+    most, nulls = docs.agg(F.max(doc_id), F.count_if(doc_id.isNull())).first()
+    if not nulls:
+        return docs, None
+    first = 0 if most is None else most + 1
+    if first + (1 << 56) >= 1 << 63:
+        raise ValueError("doc_id leaves no numbers for rows without one")
+    text = F.col("text").cast("string")
+    number = F.lit(first) + F.monotonically_increasing_id()
+    lone = written(docs.where(doc_id.isNull()).orderBy(F.xxhash64(text), text).withColumn("doc_id", number), "rows-without-id")
+    return docs.where(doc_id.isNotNull()).withColumn("doc_id", doc_id).unionByName(lone.select(*docs.columns)), first
+
+
+def without_ids(df: DataFrame, first: int | None, kind: str = "long") -> DataFrame:
+    """``df`` with the numbers of ``with_ids`` taken back to null."""
+    return df if first is None else df.withColumn("doc_id", F.when(F.col("doc_id") < first, F.col("doc_id")).cast(kind))
+
+
 def shuffle_buckets(spark: SparkSession, total_bytes: int, per_bucket: int = 24 << 20) -> int:
     """Buckets for entries derived from ``total_bytes`` of text; grows with the input."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes or 0) // per_bucket))

@@ -17,7 +17,8 @@ equal texts always have equal fingerprints and different short ones do not.
 
 Defined cases: a null text is the empty text; two empty fingerprints cannot
 occur; rows that repeat a doc_id are neighbours of each other in the order of
-their texts; extra columns are ignored; an empty table gives an empty result.
+their texts; rows with a null doc_id follow all ids in the order of their texts'
+hashes and are returned with the null; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.llm import common as C
@@ -150,8 +151,14 @@ def with_next(docs: DataFrame, slices: int) -> DataFrame:
     ids, at most ``slices`` of them."""
     ids = docs.agg(F.percentile_approx("doc_id", [i / slices for i in range(slices)], 100_000).alias("p"), F.min("doc_id").alias("least")).first()
     bounds = sorted({*(ids["p"] or []), *([ids["least"]] if ids["least"] is not None else [])})
-    table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
-    own = F.size(F.filter(table, lambda b: b <= F.col("doc_id"))) - 1
+
+    def slice_of(bounds: list[int]) -> Column:
+        table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
+        return F.size(F.filter(table, lambda b: b <= F.col("doc_id"))) - 1
+
+    # percentiles go through doubles, which miss ids over 2**53: the smallest id from each on is the bound
+    bounds = sorted(r[0] for r in docs.groupBy(slice_of(bounds).alias("slice")).agg(F.min("doc_id").alias("b")).select("b").collect())
+    own = slice_of(bounds)
     before = F.pmod(F.col("slice") - 1, F.lit(max(len(bounds), 1)))
     rows = docs.withColumn("slice", own)
     # of the rows of a bound's id the smallest text is the guest
@@ -173,7 +180,7 @@ def compare_with_edits(docs: DataFrame, anchors=tuple(ANCHORS), chain: int = CHA
     """The contract's columns: fingerprints of each text and of its edited text, and both likenesses."""
     spark = docs.sparkSession
     C.prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs, first = C.with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     table = _anchor_hashes(anchors)
 
     def block(rows: list[tuple[int, str]], following: str) -> pa.RecordBatch:
@@ -209,7 +216,7 @@ def compare_with_edits(docs: DataFrame, anchors=tuple(ANCHORS), chain: int = CHA
                 size += len(t)
 
     slices = C.shuffle_buckets(spark, C.text_bytes(docs), per_bucket=16 << 20)
-    return with_next(docs.where("doc_id is not null"), slices).mapInArrow(run, RESULT)
+    return C.without_ids(with_next(docs, slices).mapInArrow(run, RESULT), first)
 
 
 def op10_document_fingerprints(spark, sf_dir: str) -> DataFrame:

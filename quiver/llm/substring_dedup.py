@@ -21,7 +21,9 @@ never shuffled.
 
 Defined cases: a null or empty text has no words (kept text empty); texts
 shorter than the window keep everything; rows that repeat a doc_id are
-judged one by one, and equal doc_ids are never "smaller" than each other; other
+judged one by one, and equal doc_ids are never "smaller" than each other; rows
+with a null doc_id are documents of their own that come after all ids, in the
+order of their texts' hashes, and are returned with the null; other
 columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
@@ -202,12 +204,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     repeats removed), kept (kept words joined by one space; null unless
     ``texts``) and kept_sha256.  See the module docstring."""
     C.prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs, first = C.with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     hits = C.written(repeated_windows(docs, window), "substring-hits", release=True)
     suspect, clean = C.split_by(docs, hits)
     whole = clean.mapInArrow(_cut(window, texts), RESULT)
     part = suspect.join(hits, "doc_id", "left").mapInArrow(_cut(window, texts), RESULT)
-    return whole.unionByName(part)
+    return C.without_ids(whole.unionByName(part), first)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

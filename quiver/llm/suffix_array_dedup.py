@@ -27,7 +27,9 @@ tied sample are never shuffled.
 
 Defined cases: null is the empty text; a text under 100 bytes keeps
 everything; a doc_id that repeats is one document and gives one row (of differing
-texts under one doc_id, one is taken); other columns are ignored whatever their
+texts under one doc_id, one is taken); rows with a null doc_id are documents of
+their own that come after all ids, in the order of their texts' hashes, and are
+returned with the null; other columns are ignored whatever their
 names; an empty table gives an empty result.
 """
 
@@ -311,7 +313,7 @@ def remove_duplicates(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     C.prepare(spark)
     cover = Cover(length)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs, first = C.with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     buckets = C.shuffle_buckets(spark, C.text_bytes(docs))
 
     # whole copies: texts whose digest has a smaller doc_id
@@ -339,8 +341,8 @@ def remove_duplicates(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     windows = C.written(_order_windows(work, cover, buckets).withColumnRenamed("hits", "windows"), "windows", release=True)
     done = work.join(windows, "doc_id", "left").mapInArrow(_cut(length), RESULT)
     whole, none = F.lit(""), F.lit(False)
-    return (_plain(clean, F.col("text"), none).unionByName(_plain(untied, F.col("text"), none))
-            .unionByName(_plain(gone, whole, F.lit(True))).unionByName(done))
+    return C.without_ids(_plain(clean, F.col("text"), none).unionByName(_plain(untied, F.col("text"), none))
+                         .unionByName(_plain(gone, whole, F.lit(True))).unionByName(done), first)
 
 
 def whole_characters(kept: pd.Series) -> pd.Series:

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from quiver.llm import common as C
-from quiver.llm import minhash_dedup, substring_dedup, suffix_array_dedup
+from quiver.llm import minhash_dedup, spotsigs, substring_dedup, suffix_array_dedup
 from quiver.llm.components import components
 
 SCHEMA = "doc_id long, text string, bucket string, hits int"
@@ -116,6 +116,29 @@ def test_substring_repeated_ids_are_not_smaller_than_each_other(spark):
     assert sorted(got) == [(1, 0), (1, 0), (2, 20)]
 
 
+BIG = (1 << 53) + 1
+
+
+def null_id_rows():
+    """Rows without a doc_id: a copy of an id's text, two copies of each other, a text of its own, a null."""
+    rng = random.Random(21)
+    a, b, c = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(3))
+    return [(BIG, a), (BIG + 1, "some words " + a), (None, a), (None, b), (None, b), (None, c), (None, None)], a, b, c
+
+
+def test_null_ids_come_after_all_ids(spark):
+    rows, a, b, c = null_id_rows()
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(BIG, 40, 0), (BIG + 1, 42, 40), (None, 40, 40), (None, 40, 0), (None, 40, 40), (None, 40, 0), (None, 0, 0)], key=repr)
+    n = len(a)
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_array_dedup.remove_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(BIG, n, 0), (BIG + 1, n + 11, n), (None, n, n), (None, n, 0), (None, n, n), (None, n, 0), (None, 0, 0)], key=repr)
+    got = [(r.doc_id, r.n_chars) for r in spotsigs.compare_with_edits(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(i, len(t or "")) for i, t in rows], key=repr)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.suffix_dedup(spark, frame(spark, rows), "").collect()]
+    assert sorted(kept, key=repr) == sorted([(BIG, a), (BIG + 1, "some words "), (None, b), (None, c), (None, None)], key=repr)
+
+
 def test_difference_cover_is_perfect():
     d, v = suffix_array_dedup.COVER, suffix_array_dedup.COVER_MODULUS
     assert sorted((a - b) % v for a in d for b in d if a != b) == list(range(1, v))
