@@ -25,7 +25,7 @@ def documents(spark):
 def test_all_are_registered():
     names = set(E.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
