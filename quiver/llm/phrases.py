@@ -51,7 +51,9 @@ FIRST = 2000
 #: A phrase is dropped for a longer one that has this share (in hundredths) of its occurrences.
 SHARE = 50
 #: Bytes of text whose n-grams are grouped at once.
-SLAB = 4 << 20
+SLAB = (2 << 20) - 1
+#: Words whose bytes are compared at once.
+COMPARED = 1 << 16
 #: Bits of the broadcast bitmap of frequent fingerprints, one bitmap a length.
 CELLS = 1 << 25
 #: Text behind one bucket of the shuffle.
@@ -150,16 +152,30 @@ class Grams:
         while len(left):
             _, at, key = np.unique(self.words[left], return_index=True, return_inverse=True)
             pointer = left[at][key]
-            size, size_there = self.end[left] - self.start[left], self.end[pointer] - self.start[pointer]
-            equal = size == size_there
-            a, b = np.flatnonzero(equal), size[equal]
-            within = np.arange(int(b.sum())) - np.repeat(np.cumsum(b) - b, b)
-            differ = self.buf[np.repeat(self.start[left[a]], b) + within] != self.buf[np.repeat(self.start[pointer[a]], b) + within]
-            equal[np.repeat(a, b)[differ]] = False
+            size = self.end[left] - self.start[left]
+            equal = size == self.end[pointer] - self.start[pointer]
+            compared = np.flatnonzero(equal & (pointer != left))
+            for lo in range(0, len(compared), COMPARED):
+                a = compared[lo:lo + COMPARED]
+                b = size[a]
+                within = np.arange(int(b.sum())) - np.repeat(np.cumsum(b) - b, b)
+                differ = self.buf[np.repeat(self.start[left[a]], b) + within] != self.buf[np.repeat(self.start[pointer[a]], b) + within]
+                equal[np.repeat(a, b)[differ]] = False
             first[left[equal]] = pointer[equal]
             left = left[~equal]  # a collision: grouped again among themselves
         return first
 
+    def texts(self, at: np.ndarray, n: int, text: bytes) -> list[bytes]:
+        """The n-grams from the words ``at`` on, their words joined by one space."""
+        spaced = np.ones(len(at), bool)
+        for k in range(n - 1):
+            end = self.end[at + k]
+            spaced &= (self.start[at + k + 1] - end == 1) & (self.buf[end] == 0x20)
+        out = [text[lo:hi] for lo, hi in zip(self.start[at].tolist(), self.end[at + n - 1].tolist())]
+        for i in np.flatnonzero(~spaced).tolist():
+            out[i] = b" ".join(out[i].split())
+        return out
+
 
 def cells(fingerprints: np.ndarray) -> np.ndarray:
     return (fingerprints >> np.uint64(32)) % np.uint64(CELLS)
@@ -262,30 +278,26 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         frequent |= frequent_bitmaps(docs, (n,), frequent, buckets, least)
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.binary(), pa.binary()))],
+                                          names=["bucket", "lang", "phrases", "times"])
+
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches):
             grams = Grams(*slab)
             same, text = grams.same_words(), slab[0].tobytes()
-            parts = []
+            words = np.bincount(grams.lang, minlength=len(grams.langs))
+            some = np.flatnonzero(words)
+            yield rows(some % buckets, [grams.langs[i] for i in some], [None] * len(some), [words[i:i + 1].tobytes() for i in some])
             for n in range(1, longest + 1):
                 at = grams.frequent_places(n, known.value)
                 pointer, prints, times = grouped(at, n, grams.fingerprints(at, n), same)
-                parts.append((pointer, np.full(len(pointer), n), buckets_of(prints, buckets), grams.lang[pointer], times))
-            pointer, length, bucket, lang, times = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((lang, bucket))
-            pointer, length, bucket, lang, times = (x[order] for x in (pointer, length, bucket, lang, times))
-            ends = [(grams.start[np.minimum(pointer + k, len(same) - 1)].tolist(), grams.end[np.minimum(pointer + k, len(same) - 1)].tolist())
-                    for k in range(longest)]
-            phrases = [b" ".join([text[ends[k][0][i]:ends[k][1][i]] for k in range(n)]) for i, n in enumerate(length.tolist())]
-            cut = bounds(bucket, lang)
-            words = np.bincount(grams.lang, minlength=len(grams.langs))
-            some = np.flatnonzero(words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([bucket[cut[:-1]], some % buckets]), pa.int32()),
-                 pa.array([grams.langs[i] for i in np.concatenate([lang[cut[:-1]], some])], pa.string()),
-                 pa.array([b"\n".join(phrases[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])] + [None] * len(some), pa.binary()),
-                 pa.array([times[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])] + [words[i:i + 1].tobytes() for i in some], pa.binary())],
-                names=["bucket", "lang", "phrases", "times"])
+                bucket, lang = buckets_of(prints, buckets), grams.lang[pointer]
+                order = np.lexsort((lang, bucket))
+                pointer, bucket, lang, times = (x[order] for x in (pointer, bucket, lang, times))
+                phrases, cut = grams.texts(pointer, n, text), bounds(bucket, lang)
+                yield rows(bucket[cut[:-1]], [grams.langs[i] for i in lang[cut[:-1]]], [b"\n".join(phrases[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])],
+                           [times[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])])
 
     def materialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
