@@ -1,11 +1,10 @@
 """Arrow/numpy block scoring inside Spark tasks.
 
-Used where many (query, vector) scores are needed: the exact kNN join, batch
-IVF search, and nearest-centroid assignment.  The *small* side (a bounded
-block of queries or the centroid table) is shipped to every task as a
-broadcast variable after its size is checked; the *large* side is scanned
-where it lies, batch by batch, and only the best ``k`` rows per query leave a
-task.  No (query, vector) pair is ever materialised as a row.
+Scores of many (row, column) pairs, with the best ``k`` columns of every row, for
+the searches of ``quiver.operators.topk`` and for nearest-centroid assignment.  The
+centroid table is shipped to every task as a broadcast variable after its size is
+checked; the rows are scanned where they lie, batch by batch.  No (row, column)
+pair is ever materialised as a row of a table.
 
 Scores use a left-to-right double sum over dimensions, the same order as the
 ``aggregate`` expressions in ``quiver.functions.vector`` and as DuckDB's list
@@ -19,16 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import ascending, normalize_metric
 from quiver.session import scratch_path, ship_package
 
-# Largest query / centroid block shipped to tasks in one broadcast.
+# Largest set of queries or centroids shipped to tasks in one broadcast.
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-# Queries scored together against one Arrow batch (bounds the n x q temporaries).
-QUERY_SLAB = 256
 
 
 def arrow_vectors(col: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -211,11 +208,6 @@ def id_array(column) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
 
-def _id_type(df: DataFrame, col: str) -> str:
-    """``string`` for text ids, else ``long``."""
-    return "string" if df.schema[col].dataType.simpleString() == "string" else "long"
-
-
 def collect_block(df: DataFrame, id_col: str, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Collect a size-checked block (ids, matrix) through Arrow."""
     tbl = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).toArrow()
@@ -225,159 +217,6 @@ def collect_block(df: DataFrame, id_col: str, vec_col: str) -> tuple[np.ndarray,
     return ids[order], mat[order]
 
 
-def _partition_topk(bq, k: int, metric: str, id_col: str, vec_col: str, probe_col: str | None, bprobe, extra=()):
-    asc = ascending(metric)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qmat = bq.value
-        probes = bprobe.value if bprobe is not None else None
-        m = len(qids)
-        by_list: dict[int, np.ndarray] = {}
-        if probes is not None:
-            pairs = [(int(c), j) for j, ps in enumerate(probes) for c in ps]
-            tmp: dict[int, list] = {}
-            for c, j in pairs:
-                tmp.setdefault(c, []).append(j)
-            by_list = {c: np.asarray(js, dtype=np.int64) for c, js in tmp.items()}
-        best_ids = [np.empty(0, dtype=np.int64) for _ in range(m)]
-        best_raw = [np.empty(0) for _ in range(m)]
-        best_extra: list[list[tuple]] = [[] for _ in range(m)]
-        id_type = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = id_array(batch.column(id_col))
-            if id_type is None:
-                id_type = batch.schema.field(id_col).type
-                best_ids = [np.empty(0, dtype=ids.dtype) for _ in range(m)]
-            x = arrow_vectors(batch.column(vec_col), qmat.shape[1])
-            lists = batch.column(probe_col).to_numpy(zero_copy_only=False).astype(np.int64) if probe_col else None
-            if probes is None:
-                groups = [(np.arange(m), np.arange(len(ids)))]
-            else:
-                # rows grouped by list; each group is scored only against the queries probing it
-                order = np.argsort(lists, kind="stable")
-                uniq, starts = np.unique(lists[order], return_index=True)
-                ends = np.append(starts[1:], len(order))
-                groups = [(by_list[int(c)], order[a:b]) for c, a, b in zip(uniq, starts, ends) if int(c) in by_list]
-            for qidx, rows in groups:
-                xr, idr = x[rows], ids[rows]
-                for s in range(0, len(qidx), QUERY_SLAB):
-                    qs = qidx[s:s + QUERY_SLAB]
-                    pos, raw = topk_exact(qmat[qs], xr, idr, metric, k)
-                    for t, j in enumerate(qs):
-                        p = pos[t]
-                        sel = p >= 0
-                        if not sel.any():
-                            continue
-                        cand_ids = np.concatenate([best_ids[j], idr[p[sel]]])
-                        cand_raw = np.concatenate([best_raw[j], raw[t][sel]])
-                        keep = best_k(_sort_key(cand_raw, asc), cand_ids, k)
-                        best_ids[j], best_raw[j] = cand_ids[keep], cand_raw[keep]
-                        if extra:  # carried with the hit, so that repeated ids keep their own values
-                            at = rows[p[sel]]
-                            values = best_extra[j] + list(zip(*(batch.column(c).take(pa.array(at)).to_pylist() for c in extra)))
-                            best_extra[j] = [values[i] for i in keep]
-        lens = [len(b) for b in best_ids]
-        if sum(lens) == 0:
-            return
-        q_type = pa.string() if qids.dtype.kind == "U" else pa.int64()
-        out_type = pa.string() if pa.types.is_string(id_type) else pa.int64()
-        carried = list(zip(*(v for part in best_extra for v in part)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(qids, lens).tolist(), q_type),
-                pa.array(np.concatenate(best_ids).tolist(), out_type),
-                pa.array(np.concatenate(best_raw), pa.float64()),
-                *(pa.array(list(v), batch.schema.field(c).type) for c, v in zip(extra, carried)),
-            ],
-            names=["query_id", id_col, "raw", *extra],
-        )
-
-    return run
-
-
-def block_topk(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int,
-    metric: str,
-    id_col: str = "vec_id",
-    vec_col: str = "embedding",
-    query_id_col: str = "query_id",
-    query_vec_col: str | None = None,
-    probes: DataFrame | None = None,
-    list_col: str = "cluster_id",
-    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-    keep_cols: list[str] | None = None,
-) -> DataFrame:
-    """Exact top-k rows of ``corpus`` for every row of ``queries``.
-
-    Returns ``(query_id, <id_col>, raw, rank, *keep_cols)``; ids may be integers
-    or text.  Kept columns are those of the very row that was hit.  With ``probes`` =
-    ``(query_id, cluster_id)`` only corpus rows whose ``list_col`` is probed by
-    a query are scored for it (IVF search).  Queries go out in broadcast
-    blocks of at most ``broadcast_bytes``; each block is one scan of the corpus.
-    """
-    metric = normalize_metric(metric)
-    spark: SparkSession = corpus.sparkSession
-    ship_package(spark)
-    query_vec_col = query_vec_col or vec_col
-    extra = list(keep_cols or [])
-    q_type, row_type = _id_type(queries, query_id_col), _id_type(corpus, id_col)
-    fields = "".join(f", `{c}` {corpus.schema[c].dataType.simpleString()}" for c in extra)
-    schema = f"query_id {q_type}, `{id_col}` {row_type}, raw double{fields}"
-    empty = spark.createDataFrame([], f"{schema}, rank int")
-    if k <= 0:
-        return empty
-    q = queries.select(F.col(query_id_col).cast(q_type).alias("query_id"), F.col(query_vec_col).alias("qv")).where("qv is not null")
-    dim_row = q.select(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
-    nq, dim = int(dim_row["n"]), int(dim_row["d"] or 0)
-    if nq == 0:
-        return empty
-    nblocks = check_block_size(nq, dim + (16 if probes is not None else 0), broadcast_bytes)
-    cols = [F.col(id_col).cast(row_type).alias(id_col), F.col(vec_col)] + ([F.col(list_col)] if probes is not None else [])
-    cols += [F.col(c) for c in extra if c != list_col or probes is None]
-    scan = corpus.select(*cols).where(F.col(vec_col).isNotNull())
-    parts = []
-    for b in range(nblocks):
-        qb = q if nblocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(nblocks)) == b)
-        qids, qmat = collect_block(qb, "query_id", "qv")
-        if len(qids) == 0:
-            continue
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        bprobe = None
-        source = scan
-        if probes is not None:
-            pr = probes.select(F.col("query_id").cast(q_type).alias("q"), F.col(list_col).cast("long").alias("c"))
-            if nblocks > 1:
-                pr = pr.where(F.pmod(F.xxhash64("q"), F.lit(nblocks)) == b)
-            pt = pr.toArrow()
-            pq = id_array(pt.column("q"))
-            pc = pt.column("c").to_numpy()
-            pos = {v: i for i, v in enumerate(qids.tolist())}
-            per_query = [[] for _ in qids]
-            for qq, cc in zip(pq.tolist(), pc.tolist()):
-                if qq in pos:
-                    per_query[pos[qq]].append(cc)
-            bprobe = spark.sparkContext.broadcast([np.array(sorted(set(p)), dtype=np.int64) for p in per_query])
-            probed = sorted({c for p in per_query for c in p})
-            if not probed:
-                continue
-            # Static filter: prunes cluster_id partitions of a saved index.
-            source = scan.where(F.col(list_col).isin(probed))
-        fn = _partition_topk(bq, k, metric, id_col, vec_col, list_col if probes is not None else None, bprobe, extra)
-        parts.append(source.mapInArrow(fn, schema))
-    if not parts:
-        return empty
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    order = F.col("raw").asc_nulls_last() if ascending(metric) else F.col("raw").desc_nulls_first()
-    w = Window.partitionBy("query_id").orderBy(order, F.col(id_col).asc())
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def _nearest_centers_blocked(df, centers, k, metric, id_col, vec_col, center_id_col, center_vec_col,
                              keep_cols, n_centers, per_block):
     """Centers beyond the broadcast budget: best k per block of about ``per_block`` centers

@@ -9,15 +9,19 @@ Layout on disk: ``<path>/centroids`` (cluster_id, centroid),
 * one query: probes are picked on the driver from the small centroid table,
   then ``cluster_id IN (...)`` prunes the scan and a literal-vector score
   expression feeds ``TakeOrderedAndProject``.
-* many queries: probes table -> block scorer restricted to probed lists; a
-  hot list is read in file splits by many tasks, never gathered in one.
+* many queries: every query row gets its probes beside it (``probed``), and
+  ``quiver.operators.topk`` brings queries and lists together - by broadcast
+  while the queries fit, else in cells of (list, query slice, list slice), so
+  that neither a hot list nor a popular one gathers in a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +29,18 @@ from quiver.functions.vector import ascending, metric_score, normalize_metric, o
 from quiver.operators.block import (
     DEFAULT_BROADCAST_BYTES,
     _sort_key,
+    arrow_vectors,
     best_k,
-    block_topk,
     check_block_size,
     _nearest_arrays,
     collect_block,
     nearest_centers,
     score_matrix,
+    topk_exact,
 )
+from quiver.operators.topk import block_topk
 from quiver.operators.kmeans import SEED, centroid_frame, kmeans_train
+from quiver.session import ship_package
 
 # ANN query and mapping defaults.
 DEFAULT_NLIST = 100
@@ -126,6 +133,30 @@ def ivf_probe(index: IVFIndex, queries: DataFrame, nprobe: int, query_id_col: st
                       round_score(F.col("raw")).alias("score"))
 
 
+def probed(index: IVFIndex, queries: DataFrame, nprobe: int, query_id_col: str = "query_id", vec_col: str = "embedding") -> DataFrame:
+    """``(query_id, qv, probes)``: every query row with a vector, beside the ids of its best lists."""
+    index.require_trained()
+    if nprobe < 0:
+        raise ValueError("nprobe must be >= 0")
+    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("qv")).where("qv is not null")
+    k, arrays = min(nprobe, index.nlist), index.centroid_arrays()
+    if arrays is None:
+        near = nearest_centers(q, index.centroids, k, index.metric, id_col="query_id", vec_col="qv", keep_cols=["qv"])
+        return near.groupBy("query_id", "qv").agg(F.collect_set("cluster_id").alias("probes"))
+    ship_package(q.sparkSession)
+    centers = q.sparkSession.sparkContext.broadcast(arrays)
+    metric = index.metric
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, mat = centers.value
+        for batch in batches:
+            place, _ = topk_exact(arrow_vectors(batch.column("qv"), mat.shape[1]), mat, ids, metric, k)
+            found = pa.ListArray.from_arrays(pa.array(np.arange(len(place) + 1) * place.shape[1], pa.int32()), pa.array(ids[place].reshape(-1), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("qv"), found], names=["query_id", "qv", "probes"])
+
+    return q.mapInArrow(run, f"query_id {q.schema['query_id'].dataType.simpleString()}, qv array<double>, probes array<long>")
+
+
 def probe_one(index: IVFIndex, vector, nprobe: int) -> list[int]:
     """I4 (single query) on the driver: the centroid table is nlist x d."""
     index.require_trained()
@@ -178,9 +209,12 @@ def ivf_search_batch(index: IVFIndex, lists: DataFrame, queries: DataFrame, k: i
     """
     if k < 0:
         raise ValueError("k must be >= 0")
-    probes = ivf_probe(index, queries, nprobe, query_id_col, vec_col)
-    top = block_topk(lists, queries, k, index.metric, id_col="doc_id", vec_col="vector",
-                     query_id_col=query_id_col, query_vec_col=vec_col, probes=probes,
+    asked = probed(index, queries, nprobe, query_id_col, vec_col)
+    # ids of lists, at most nlist: prunes the folders of a saved index
+    wanted = [r[0] for r in asked.select(F.explode("probes")).distinct().limit(index.nlist).collect()]
+    if len(wanted) < index.nlist:
+        lists = lists.where(F.col("cluster_id").isin(wanted))
+    top = block_topk(lists, asked, k, index.metric, id_col="doc_id", vec_col="vector", query_vec_col="qv", probes_col="probes",
                      broadcast_bytes=broadcast_bytes, keep_cols=extra_cols)
     return top.select("query_id", "rank", "doc_id", round_score(F.col("raw")).alias("score"), *(extra_cols or []))
 
@@ -310,7 +344,7 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, k: int, id_col: str = "doc_
 
 
 __all__ = [
-    "IVFIndex", "from_centroids", "ivf_train", "ivf_add", "ivf_probe", "probe_one", "ivf_search",
+    "IVFIndex", "from_centroids", "ivf_train", "ivf_add", "ivf_probe", "probed", "probe_one", "ivf_search",
     "ivf_search_batch", "ivf_list_sizes", "ivf_size", "ivf_stats", "ivf_save", "ivf_load", "ivf_clear",
     "ann", "hits_to_docs", "train_job", "recall_at_k", "centroid_frame",
 ]

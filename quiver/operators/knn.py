@@ -2,9 +2,9 @@
 
 One query: the vector becomes a literal (or a scalar subquery) inside a
 JVM-side score expression, so the plan is Scan -> Project ->
-TakeOrderedAndProject with no join and no Python.  Many queries: the
-block scorer (``quiver.operators.block``) ships size-checked query blocks
-to the tasks that scan the corpus and returns k rows per query per task.
+TakeOrderedAndProject with no join and no Python.  A table of queries of
+any size: ``quiver.operators.topk`` broadcasts queries that fit to the scan
+of the corpus, and exchanges larger ones with the corpus in cells.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import metric_score, normalize_metric, order_columns, round_score, vector_literal
-from quiver.operators.block import DEFAULT_BROADCAST_BYTES, block_topk
+from quiver.operators.block import DEFAULT_BROADCAST_BYTES
+from quiver.operators.topk import block_topk
 
 
 def query_vector(df: DataFrame, id_value, id_col: str = "vec_id", vec_col: str = "embedding") -> Column:

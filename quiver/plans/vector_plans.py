@@ -12,7 +12,7 @@ from quiver.sources.fixtures import spark_view, with_views
 
 METRICS = ("l2", "cosine", "dot")
 SINGLE_QUERY = 0          # FIXTURES: single query = vec_id 0
-BATCH_QUERIES = (20, 24)  # FIXTURES: query batch = vec_id 20-24
+BATCH_EVERY = 100         # query table: every vector whose id is divisible by 100, against all
 
 
 def scaled(spark, sf_dir):
@@ -20,8 +20,7 @@ def scaled(spark, sf_dir):
 
 
 def batch_queries(emb):
-    lo, hi = BATCH_QUERIES
-    return emb.where(F.col("vec_id").between(lo, hi)).select(F.col("vec_id").alias("query_id"), "embedding")
+    return emb.where(F.col("vec_id") % BATCH_EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 # V1-V3: pairwise score of each vector with its successor (equi-join on id + 1).
@@ -88,12 +87,11 @@ def _knn_job(metric):
 
 
 def knn_join_body(metric: str, k: int, view: str = "fx_scaled_embeddings") -> str:
-    lo, hi = BATCH_QUERIES
     s = sqlx.score(metric, "e.embedding", "q.embedding")
     return (f"SELECT query_id, rank, vec_id, round(raw, 6) AS score FROM ("
             f"SELECT q.vec_id AS query_id, e.vec_id, {s} AS raw, "
             f"row_number() OVER (PARTITION BY q.vec_id ORDER BY {s} {'ASC' if metric == 'l2' else 'DESC'}, e.vec_id) AS rank "
-            f"FROM {view} e, (SELECT vec_id, embedding FROM {view} WHERE vec_id BETWEEN {lo} AND {hi}) q) t WHERE rank <= {k}")
+            f"FROM {view} e, (SELECT vec_id, embedding FROM {view} WHERE vec_id % {BATCH_EVERY} = 0) q) t WHERE rank <= {k}")
 
 
 def knn_join_oracle(metric: str, k: int, view: str = "fx_scaled_embeddings") -> str:
