@@ -67,20 +67,18 @@ def status_refresh(latest: DataFrame, deployments: DataFrame) -> DataFrame:
 def metric_history(metrics: DataFrame, cfg: ScalerConfig = ScalerConfig(),
                    bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """M3: per sample, the size of its last-5 history and that history's first sample."""
-    ext, w = rows_history(metrics, ["namespace"], ["ts", "id"], cfg.history, bucket_seconds=bucket_seconds)
-    out = ext.withColumn("hist_n", F.count(F.lit(1)).over(w)).withColumn("hist_first_id", F.first("id").over(w))
-    return out.where("_own").drop("_own", "_b")
+    columns = lambda w: {"hist_n": F.count(F.lit(1)).over(w), "hist_first_id": F.first("id").over(w)}
+    return rows_history(metrics, ["namespace"], ["ts", "id"], cfg.history, columns, bucket_seconds=bucket_seconds)
 
 
 def metric_trend(metrics: DataFrame, cfg: ScalerConfig = ScalerConfig(),
                  bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """M4: mean successive difference over the history = (last - first) / (n - 1); 0 if n < 2."""
-    ext, w = rows_history(metrics, ["namespace"], ["ts", "id"], cfg.history, bucket_seconds=bucket_seconds)
-    out = ext.withColumn("hist_n", F.count(F.lit(1)).over(w))
-    for m in METRICS:
-        out = out.withColumn(TREND[m], F.when(F.col("hist_n") < 2, F.lit(0.0)).otherwise(
-            (F.col(m) - F.first(m).over(w)) / (F.col("hist_n") - 1)))
-    return out.where("_own").drop("_own", "_b")
+    def columns(w):
+        n = F.count(F.lit(1)).over(w)
+        return {"hist_n": n, **{TREND[m]: F.when(n < 2, F.lit(0.0)).otherwise((F.col(m) - F.first(m).over(w)) / (n - 1)) for m in METRICS}}
+
+    return rows_history(metrics, ["namespace"], ["ts", "id"], cfg.history, columns, bucket_seconds=bucket_seconds)
 
 
 def trend_adjust(df: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Spark evaluates ``Window.partitionBy(key)`` by shuffling each key to one task;
 a key holding a third of the rows would then be sorted by one task.  These
-helpers partition by (key, time bucket) instead and add exactly the rows from
-earlier buckets that a bounded frame can reach ("halo" rows), so results are
-identical to the plain window while every task holds at most one bucket.
+helpers partition by (key, time bucket) instead and bring in exactly the rows of
+earlier buckets that a bounded frame can reach, so results are identical to the
+plain window while every task holds at most one bucket.
 """
 
 from __future__ import annotations
@@ -39,43 +39,33 @@ def with_bucket_width(df: DataFrame, key_cols: list[str], ts_col: str, seconds:
     width = F.greatest(F.col("_span"), F.lit(1)) * F.lit(float(TARGET_BUCKET_ROWS)) / F.col("_cnt")
     width = F.least(F.greatest(width, F.lit(float(max(min_seconds, MIN_BUCKET_SECONDS)) * 1e6)),
                     F.lit(float(max(MAX_BUCKET_SECONDS, min_seconds)) * 1e6))
-    st = st.select(*key_cols, F.floor(width).cast("long").alias("_bw"))
-    return df.join(st, key_cols)
+    st = st.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key_cols)], F.floor(width).cast("long").alias("_bw"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key_cols)]
+    return df.join(st, same, "left").select(*df.columns, "_bw")
 
 
-def rows_history(df: DataFrame, key_cols: list[str], order_cols: list[str], n: int, ts_col: str = "ts",
-                 bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> tuple[DataFrame, Window]:
-    """Rows of ``df`` plus halo rows, and the window for a frame of the last ``n`` rows.
+def rows_history(df: DataFrame, key_cols: list[str], order_cols: list[str], n: int, columns, ts_col: str = "ts",
+                 bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """``df`` with columns over the frame of a row and the n-1 rows before it, of its key, in order.
 
-    Evaluate frame functions with the returned window (already limited to
-    ``rowsBetween(-(n-1), 0)``) and keep rows where ``_own`` is true.
-    The halo of a bucket is the n-1 rows preceding it, found among the last
-    n-1 rows of every bucket (a table of at most n-1 rows per bucket).
+    ``columns`` takes the window and returns a dict of names to expressions.  The rows are
+    exchanged once, by (key, time bucket).  From the n-th row of a bucket on, a frame lies in its
+    bucket.  The rows before need a carry: the first and last n-1 rows of all buckets, a
+    table of at most 2(n-1) rows a bucket, read from the same exchange, hold their whole frames
+    in order, so the same window over the key gives their columns.
     """
     h = n - 1
     base = with_bucket_width(df, key_cols, ts_col, bucket_seconds)
     base = base.withColumn("_b", F.floor(epoch_micros(F.col(ts_col)) / F.col("_bw")).cast("long")).drop("_bw")
-    own = base.withColumn("_own", F.lit(True))
+    bucket = Window.partitionBy(*key_cols, "_b")
+    placed = base.withColumn("_r", F.row_number().over(bucket.orderBy(*order_cols))).withColumn("_n", F.count(F.lit(1)).over(bucket))
+    frame = lambda w: w.orderBy(*order_cols).rowsBetween(-h, 0)
+    within = placed.withColumns(columns(frame(bucket))).where(F.col("_r") > h)
     if h <= 0:
-        w = Window.partitionBy(*key_cols, "_b").orderBy(*order_cols).rowsBetween(0, 0)
-        return own, w
-    desc = [F.col(c).desc() for c in order_cols]
-    tails = base.withColumn("_rd", F.row_number().over(Window.partitionBy(*key_cols, "_b").orderBy(*desc))) \
-        .where(F.col("_rd") <= h).drop("_rd")
-    # position of each tail row among the key's tail rows
-    tails = tails.withColumn("_p", F.row_number().over(Window.partitionBy(*key_cols).orderBy(*order_cols)))
-    # number of tail rows before each bucket present in the data
-    buckets = tails.groupBy(*key_cols, "_b").agg(F.count(F.lit(1)).alias("_tc"))
-    wb = Window.partitionBy(*key_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("_pb", F.coalesce(F.sum("_tc").over(wb), F.lit(0)))
-    # the halo of bucket B is tail positions (P_B - h, P_B]: expand each bucket into h positions (equi-join)
-    want = buckets.select(*key_cols, F.col("_b").alias("_tb"),
-                          F.explode(F.sequence(F.col("_pb") - h + 1, F.col("_pb"))).alias("_p")).where(F.col("_p") >= 1)
-    halo = tails.join(want, [*key_cols, "_p"]).drop("_p", "_tc").withColumn("_b", F.col("_tb")).drop("_tb") \
-        .withColumn("_own", F.lit(False))
-    ext = own.unionByName(halo.select(*own.columns))
-    w = Window.partitionBy(*key_cols, "_b").orderBy(*order_cols).rowsBetween(-h, 0)
-    return ext, w
+        return within.drop("_b", "_r", "_n")
+    edges = placed.where((F.col("_r") <= h) | (F.col("_r") > F.col("_n") - h))
+    carried = edges.withColumns(columns(frame(Window.partitionBy(*key_cols)))).where(F.col("_r") <= h)
+    return within.unionByName(carried).drop("_b", "_r", "_n")
 
 
 def range_history(df: DataFrame, key_cols: list[str], ts_col: str, seconds: int,
