@@ -211,10 +211,11 @@ def _tgt_sql(cur):
     return f"CAST(CASE WHEN want_up THEN {up} WHEN want_down THEN {dn} ELSE {cur} END AS BIGINT)"
 
 
-def decisions(spark, sf_dir, per_resource=False):
+def decisions(spark, sf_dir, per_resource=False, metrics=None):
     deps = v(spark, sf_dir, "fx_ns_deployments")
     q = quota_check(deps.select(F.col("user_id").alias("tenant_id")), v(spark, sf_dir, "fx_tenant_quota"))
-    return M.decision_inputs(v(spark, sf_dir, "fx_metrics"), deps, v(spark, sf_dir, "fx_policies"), q, per_resource)
+    metrics = v(spark, sf_dir, "fx_metrics") if metrics is None else metrics
+    return M.decision_inputs(metrics, deps, v(spark, sf_dir, "fx_policies"), q, per_resource)
 
 
 @job("M1_load_class", with_views(
@@ -310,7 +311,7 @@ def m12(spark, sf_dir):
     return d.select("id", "namespace", c.alias("clamped_replicas"), (~F.coalesce(blocked, F.lit(False))).alias("quota_pass"))
 
 
-def scan_sql(static: bool) -> str:
+def scan_sql(static: bool, ctes=None) -> str:
     cur = "t.replicas" if static else "s.cur_state"
     ticks = ("ticks", "SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY ts, id) AS rn FROM dec")
     header = "scan(namespace, rn, id, ts, cur_state, last_ts, current_replicas, target_replicas, action, reason)"
@@ -332,7 +333,7 @@ def scan_sql(static: bool) -> str:
         f"t.min_replicas, t.max_replicas, t.quota_ok, s.last_ts, CAST({cur} AS BIGINT) AS cur "
         "FROM scan s JOIN ticks t ON t.namespace = s.namespace AND t.rn = s.rn + 1) x1) x2) x3) x4) x5")
     body = "SELECT namespace, id, ts, current_replicas, target_replicas, action, reason FROM scan WHERE rn > 0"
-    return with_views(body, _M_VIEWS, _M_CTES + [ticks], recursive=(header, rec))
+    return with_views(body, _M_VIEWS, (ctes or _M_CTES) + [ticks], recursive=(header, rec))
 
 
 @job("M11_cooldown_gate", scan_sql(static=True), "metric")
@@ -347,6 +348,19 @@ def m13(spark, sf_dir):
     return scaling_scan_chunked(decisions(spark, sf_dir))
 
 
+# One namespace with over a third of all ticks, cut into chunks of a few hundred, which are composed in two levels.
+_HOT_CTES = [("hot", "SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN 'ns-0' ELSE namespace END AS namespace) FROM fx_metrics"),
+             ("tr", _TREND_CTE[1].replace("FROM fx_metrics", "FROM hot")), *_M_CTES[1:]]
+
+
+@job("M13_scaling_recommendations_hot", scan_sql(static=False, ctes=_HOT_CTES), "metric")
+def m13_hot(spark, sf_dir):
+    """The chain with a hot namespace, far over the ticks of one chunk."""
+    m = v(spark, sf_dir, "fx_metrics")
+    m = m.withColumn("namespace", F.when(F.col("id") % 3 == 0, "ns-0").otherwise(F.col("namespace")))
+    return scaling_scan_chunked(decisions(spark, sf_dir, metrics=m), target_rows=300, fan_in=4)
+
+
 @job("M14_metric_retention", with_views(
     "SELECT id, namespace, ts FROM fx_metrics WHERE ts >= (SELECT max(ts) FROM fx_metrics) - INTERVAL 15 DAY", ["fx_metrics"]), "metric")
 def m14(spark, sf_dir):
