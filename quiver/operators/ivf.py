@@ -47,6 +47,8 @@ DEFAULT_NLIST = 100
 DEFAULT_NPROBE = 10
 DEFAULT_K = 10
 DEFAULT_ALGORITHM = "ivf"
+#: Column metadata of lists that stand in a folder each.
+FOLDERS = "folder_per_value"
 
 
 @dataclass
@@ -210,12 +212,14 @@ def ivf_search_batch(index: IVFIndex, lists: DataFrame, queries: DataFrame, k: i
     if k < 0:
         raise ValueError("k must be >= 0")
     asked = probed(index, queries, nprobe, query_id_col, vec_col)
-    # ids of lists, at most nlist: prunes the folders of a saved index
-    wanted = [r[0] for r in asked.select(F.explode("probes")).distinct().limit(index.nlist).collect()]
-    if len(wanted) < index.nlist:
-        lists = lists.where(F.col("cluster_id").isin(wanted))
+    if lists.schema["cluster_id"].metadata.get(FOLDERS):
+        # ids of lists, at most nlist: prunes the folders of a saved index
+        wanted = [r[0] for r in asked.select(F.explode("probes")).distinct().limit(index.nlist).collect()]
+        if len(wanted) < index.nlist:
+            lists = lists.where(F.col("cluster_id").isin(wanted))
+    size = queries.where(F.col(vec_col).isNotNull()).count(), index.dimension
     top = block_topk(lists, asked, k, index.metric, id_col="doc_id", vec_col="vector", query_vec_col="qv", probes_col="probes",
-                     broadcast_bytes=broadcast_bytes, keep_cols=extra_cols)
+                     broadcast_bytes=broadcast_bytes, keep_cols=extra_cols, query_size=size)
     return top.select("query_id", "rank", "doc_id", round_score(F.col("raw")).alias("score"), *(extra_cols or []))
 
 
@@ -284,7 +288,7 @@ def compact_lists(spark: SparkSession, path: str, target: str) -> DataFrame:
 def ivf_load(spark: SparkSession, path: str) -> tuple[IVFIndex, DataFrame]:
     p = spark.read.parquet(f"{path}/params").first()
     cent = spark.read.parquet(f"{path}/centroids")
-    lists = spark.read.parquet(f"{path}/lists")
+    lists = spark.read.parquet(f"{path}/lists").withMetadata("cluster_id", {FOLDERS: True})
     return IVFIndex(cent, int(p["nlist"]), int(p["dimension"]), p["metric"], bool(p["trained"])), lists
 
 

@@ -286,13 +286,14 @@ def merged(candidates: DataFrame, k: int, metric: str, levels: int) -> DataFrame
 
 def block_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str = "vec_id", vec_col: str = "embedding",
                query_id_col: str = "query_id", query_vec_col: str | None = None, probes_col: str | None = None, list_col: str = "cluster_id",
-               broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, keep_cols: list[str] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+               broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, keep_cols: list[str] | None = None, cell_rows: int = CELL_ROWS, query_size: tuple[int, int] | None = None) -> DataFrame:
     """Exact top-k rows of ``corpus`` for every row of ``queries``: ``(query_id, <id_col>, raw, rank, *keep_cols)``.
 
     Ids may be integers or text; kept columns are those of the very row that was hit.  With ``probes_col``,
     an array of list ids beside each query, only corpus rows whose ``list_col`` is among them are scored for
     that query (IVF search).  ``broadcast_bytes`` bounds the queries and results that a task holds: beyond it
-    queries are exchanged with the corpus in cells."""
+    queries are exchanged with the corpus in cells.  ``query_size`` (queries, dimension) saves a
+    job where it is known."""
     metric = normalize_metric(metric)
     spark: SparkSession = corpus.sparkSession
     ship_package(spark)
@@ -306,14 +307,16 @@ def block_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str, id_co
     names = [F.col("query_id"), F.col("_id").alias(id_col), F.col("raw"), F.col("rank"), *[F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)]]
     q = queries.select(F.col(query_id_col).cast(types[1]).alias("query_id"), F.col(query_vec_col or vec_col).cast("array<double>").alias("qv"),
                        *([F.col(probes_col).cast("array<long>").alias("probes")] if probes_col else [])).where("qv is not null")
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
-    if k <= 0 or not size["n"]:
+    if query_size is None:
+        query_size = tuple(q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("qv")), F.lit(0))).first())
+    n_queries, dim = query_size
+    if k <= 0 or not n_queries:
         return spark.createDataFrame([], f"{schema}, rank int").select(*names)
     scan = corpus.select(F.col(id_col).cast(types[0]).alias("_id"), F.col(vec_col).alias("_v"), *([F.col(list_col).cast("long").alias("_list")] if probes_col else []),
                          *[F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)]).where("_v is not null")
     # a query's vector, its results twice while they are merged, and its probes
-    per_query = 8 * size["d"] + 64 * k + (128 if probes_col else 0)
-    if size["n"] * per_query <= broadcast_bytes:
+    per_query = 8 * dim + 64 * k + (128 if probes_col else 0)
+    if n_queries * per_query <= broadcast_bytes:
         found = _in_place(scan, q, k, metric, types, schema)
         levels = 2 if plan_bytes(scan) > FLAT_PARTS << 27 else 1
     else:
