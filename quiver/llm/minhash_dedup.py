@@ -18,9 +18,20 @@ similarity, so register values can be banded:
 No bucket is expanded to all its pairs: first each text is compared with the
 smallest id of its buckets in the first four bands; in the other bands a
 component is one row per bucket, compared with the bucket's smallest component;
-then only texts of one bucket that are still in different components are
-paired, each pair once and by its sketches within the join.  So a group of
-copies costs a few comparisons per copy, while no link is lost.
+then texts of one bucket that are still in different components are paired, each
+pair once and by its sketches within the join, where the bucket has few components.
+
+Buckets of many components come from groups of near copies around one text, of which
+most pairs are near the threshold without reaching it, so that no sketch tells them
+apart.  There (``apart``) texts are not compared with each other but with the group's
+*base*, the shingles that most of its texts have: a text is its differences from the
+base, and the intersection of two texts follows from the sizes of their differences and
+the overlap of these.  Two texts whose differences are small are linked whatever they
+are; they are all linked with the text of the smallest differences.  Any other link
+needs an overlap of a known size, so the two texts share one of the first few of
+their differences (prefix filter), and only texts that share one are looked at.
+The base decides what is compared, never what is a link.  So a group of copies
+costs a few comparisons per copy, while no link is lost.
 
 Defined cases: a null, empty or wordless text has an empty set, is linked with
 nothing and keeps its own doc_id as component; a text with fewer words than a
@@ -38,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.llm import common as C
@@ -51,6 +62,10 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 ESTIMATE_FLOOR = 0.62
 #: Bands of the first round of comparisons.
 FIRST_BANDS = 4
+#: Components of a bucket up to which its texts are paired by their sketches.
+FEW_ROOTS = 8
+#: Texts of a group that make its base, and parts of a group in joins with facts about it.
+BASE_TEXTS, SALTS = 64, 32
 
 _RNG = np.random.default_rng(808)
 _MUL = (_RNG.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -143,19 +158,84 @@ def likelihood_estimate(more: Column, same: Column, n_a: Column, n_b: Column) ->
     return (mid - root) / (2 * u * v * m)
 
 
-def _verify(size: int, share: tuple[int, int]):
-    def sets(column):
-        buf, offsets = C.strings(column)
-        for lo, hi in C.pieces(offsets):
-            row, h, _ = shingles(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], size)
-            cut = np.searchsorted(row, np.arange(hi - lo + 1))
-            for r in range(hi - lo):
-                yield np.unique(h[cut[r]:cut[r + 1]])
+def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The shingle set of every text."""
+    buf, offsets = C.strings(column)
+    for lo, hi in C.pieces(offsets):
+        row, h, _ = shingles(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], size)
+        cut = np.searchsorted(row, np.arange(hi - lo + 1))
+        for r in range(hi - lo):
+            yield np.unique(h[cut[r]:cut[r + 1]])
+
+
+def _shingle_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x.view(np.int64) for x in _sets(batch.column("text"), size)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            values = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["key", "shingles"])
+
+    return run
+
+
+def _salted(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """``members`` with the facts about their group; a group of any size is met in ``SALTS`` parts."""
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).join(copies, ["group", "salt"]).drop("salt")
+
+
+def differences(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(group, key, root, diff, weight, room) of (group, key, root, shingles) rows: what a text has and the
+    group's base has not, then what it lacks of it; two texts are linked when
+    (share[0] + share[1]) * overlap of their diffs >= the sum of their weights - room."""
+    first = Window.partitionBy("group").orderBy(F.xxhash64("key"), "key")
+    some = members.withColumn("i", F.row_number().over(first)).where(F.col("i") <= BASE_TEXTS)
+    texts = some.groupBy("group").agg(F.count("*").alias("texts"))
+    most = some.select("group", F.explode("shingles").alias("h")).groupBy("group", "h").agg(F.count("*").alias("c")).join(texts, "group").where("2 * c > texts")
+    base = texts.join(most.groupBy("group").agg(F.collect_list("h").alias("base")), "group", "left").select(
+        "group", F.coalesce("base", F.array().cast("array<long>")).alias("base"))
+    more, less = F.array_except("shingles", "base"), F.array_except("base", "shingles")
+    return _salted(members, base).select("group", "key", "root", F.concat(F.sort_array(more), F.sort_array(less)).alias("diff"),
+                                         (share[1] * F.size(less) + share[0] * F.size(more)).cast("long").alias("weight"),
+                                         ((share[1] - share[0]) * F.size("base")).cast("long").alias("room"))
+
+
+def apart(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b): links that join the components of every group, given as (group, key, root, shingles) rows.
+
+    Links of texts that are of one component already may be missing, no others."""
+    total = share[0] + share[1]
+    diffs = C.written(differences(members, share), "differences")
+    nearest = diffs.groupBy("group").agg(F.min(F.struct("weight", "key")).alias("m")).select("group", F.col("m.key").alias("centre"), F.col("m.weight").alias("least"))
+    diffs = C.written(_salted(diffs, nearest).withColumn("near", F.col("weight") + F.col("least") <= F.col("room")), "differences")
+    # no overlap needed: linked with the centre
+    stars = diffs.where("near and key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
+
+    def heads(rows: DataFrame, need: Column, end: str) -> DataFrame:
+        """The first differences of each text, of which a link that needs ``need`` common ones shares one."""
+        need = F.greatest(F.ceil(need / F.lit(total)), F.lit(1)).cast("int")
+        length = F.greatest(F.size("diff") - need + 1, F.lit(0))
+        return rows.select("group", F.col("key").alias(end), F.col("root").alias(f"root_{end}"), F.explode(F.slice("diff", F.lit(1), length)).alias("h"))
+
+    # every other pair has a text that is not near; against one of those a text needs this much
+    against_far = F.col("weight") - F.col("least") + 1
+    far = diffs.where("not near")
+    pairs = heads(diffs.where("near"), against_far, "a").join(heads(far, F.col("weight") + F.col("least") - F.col("room"), "b"), ["group", "h"])
+    pairs = pairs.unionByName(heads(far, against_far, "a").join(heads(far, against_far, "b"), ["group", "h"]).where("a < b"))
+    pairs = C.written(pairs.where("root_a != root_b").select("group", "a", "b").distinct(), "sharing-pairs")
+    for end in ("a", "b"):
+        pairs = pairs.join(diffs.select("group", F.col("key").alias(end), F.col("diff").alias(f"d_{end}"), F.col("weight").alias(f"w_{end}"),
+                                        *(["room"] if end == "a" else [])), ["group", end])
+    linked = total * F.size(F.array_intersect("d_a", "d_b")) >= F.col("w_a") + F.col("w_b") - F.col("room")
+    return stars.unionByName(pairs.where(linked).select("a", "b"))
+
 
+def _verify(size: int, share: tuple[int, int]):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(sets(batch.column("text_a")), sets(batch.column("text_b"))):
+            for x, y in zip(_sets(batch.column("text_a"), size), _sets(batch.column("text_b"), size)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(share[1] * both >= share[0] * (len(x) + len(y) - both) and both > 0)
             keep = pa.array(ok, pa.bool_())
@@ -241,11 +321,23 @@ def near_duplicate_rows(docs: DataFrame, size: int = SHINGLE, share: tuple[int,
     second = C.written(stars(labels, FIRST_BANDS, bands), "stars")
     links = C.written(links.unionByName(checked(second)), "links")
     labels = labelled(links)
-    # what is left: texts of one bucket in different components, compared by their sketches
-    # within the join; a pair counts in the first band it shares
+    # what is left: texts of one bucket in different components
     keys = buckets(labels, 0, bands).select("bucket", "band", "key", "n", "root")
-    several = C.written(keys.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket"), "mixed-keys")
+    several = C.written(keys.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket", "x"), "mixed-keys")
     mixed = C.written(C.split_by(keys, several, "bucket")[0].join(several, "bucket"), "mixed-buckets")
+    # in buckets of many components, by their differences from a base; such buckets with one smallest component are one group
+    crowded = C.written(mixed.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("roots")).where(F.col("roots") > FEW_ROOTS)
+                        .select("bucket"), "crowded-buckets")
+    if crowded.limit(1).count():
+        members = C.written(mixed.join(crowded, "bucket").select(F.col("x").alias("group"), "key", "root").distinct(), "crowds")
+        rows = C.split_by(reps.select("key", "row"), members, "key")[0].join(members.select("key").distinct(), "key")
+        rows = C.written(rows, "crowd-rows")
+        texts = C.split_by(docs, rows, "row")[0].dropDuplicates(["row"]).select("row", "text")
+        sets = C.written(rows.join(texts, "row").select("key", "text").mapInArrow(_shingle_sets(size), "key long, shingles array<long>"), "crowd-sets")
+        links = C.written(links.unionByName(apart(members.join(sets, "key"), share)), "links")
+        labels = labelled(links)
+        mixed = mixed.join(crowded, "bucket", "left_anti").drop("root").join(labels.select("key", "root"), "key")
+    # in the others by their sketches within the join; a pair counts in the first band it shares
     sketches = C.split_by(reps.select("key", "sketch"), mixed, "key")[0]
     mixed = mixed.join(sketches, "key")
     x, y = (mixed.select("bucket", *(F.col(c).alias(f"{c}_{e}") for c in ("key", "n", "root", "sketch", "band"))) for e in "ab")

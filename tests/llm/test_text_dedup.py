@@ -240,3 +240,53 @@ def test_bitmap_split_never_misses(spark):
     assert maybe.count() + surely_not.count() == 5000
     assert surely_not.where("doc_id % 7 = 0").count() == 0
     assert C.split_by(docs, ids.where("false"))[0].count() == 0
+
+
+def crowd(seed, n=160, words=60, base=False):
+    """Copies of one text with one to seven words replaced - some by words that several copies share -, cut or
+    lengthened; most pairs of them stand near the threshold."""
+    rnd = random.Random(seed)
+    text = [f"w{seed}x{i}" for i in range(words)]
+    out = [" ".join(text)] if base else []
+    for c in range(n):
+        w = list(text)
+        for _ in range(rnd.randint(1, 7)):
+            w[rnd.randrange(len(w))] = f"s{rnd.randrange(6)}" if rnd.random() < 0.3 else f"own{c}x{rnd.randrange(99)}"
+        w = w[rnd.choice([0, 0, 0, 2]):] if rnd.random() < 0.5 else w + [f"tail{c}"] * rnd.choice([0, 0, 3])
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("few", [1, 8, 10_000], ids=["base only", "both", "sketches only"])
+@pytest.mark.parametrize("share", [(80, 100), (9, 10)])
+def test_crowds_of_near_copies(spark, monkeypatch, few, share):
+    monkeypatch.setattr(minhash_dedup, "FEW_ROOTS", few)
+    texts = [*crowd(1, words=150), *crowd(2, 60, 120, base=True), *crowd(3, 30, 30), "one two", "one two", "", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = word_sets(rows, 4)
+    roots = brute_components(sets, share)
+    assert len(set(roots.values())) > 60 and len(roots) - len(set(roots.values())) > 20
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, 4, share).collect()}
+    assert got == roots
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_differences_from_a_base_join_what_is_linked(spark, seed):
+    """Whatever sets the base is made of - also of strangers, and one text - the same components come out."""
+    rnd = random.Random(seed)
+    texts = crowd(seed, 50, 20) + [" ".join(f"z{rnd.randrange(9)}" for _ in range(rnd.randint(1, 12))) for _ in range(20)]
+    sets = word_sets(list(enumerate(texts)), 4)
+    number = {}
+    rows = [(g, i, i, sorted(number.setdefault(x, len(number)) for x in s)) for g in (0, 1) for i, s in sets.items() if g == 0 or i % 3 == 0]
+    members = spark.createDataFrame(rows, "group long, key long, root long, shingles array<long>")
+    for share in ((80, 100), (1, 2)):
+        links = {frozenset((r.a, r.b)) for r in minhash_dedup.apart(members, share).collect()}
+        linked = lambda x, y: share[1] * len(x & y) >= share[0] * len(x | y)
+        assert all(linked(sets[min(p)], sets[max(p)]) for p in links)
+        root = {i: i for i in sets}
+        for p in links:
+            a, b = root[min(p)], root[max(p)]
+            root = {i: min(a, b) if r in (a, b) else r for i, r in root.items()}
+        assert root == brute_components(sets, share)
+    assert minhash_dedup.apart(members.limit(0), (80, 100)).count() == 0
