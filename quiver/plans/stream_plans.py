@@ -13,7 +13,7 @@ from quiver.plans.registry import ORACLE, job
 from quiver.session import scratch_path
 from quiver.sources.fixtures import spark_view, with_views
 from quiver.streaming import ingest, scaler
-from quiver.streaming.logs import kube_log_stream, multiline_stream
+from quiver.streaming.logs import STATE_STORE, kube_log_stream, multiline_stream
 from quiver.streaming.reports import qps_latency_stream
 from quiver.streaming.sources import idempotent_batch_writer, stage_files
 
@@ -30,52 +30,24 @@ def _run(q):
         raise RuntimeError(str(q.exception()))
 
 
-def _await_idle(q, idle_s: float, limit_s: float = 300.0):
-    """Wait until the stream has consumed its input, its state store is empty (every open
-    record flushed) and nothing new arrived for ``idle_s`` (a query with processing-time
-    timeouts keeps running no-data batches, so ``processAllAvailable`` would not return)."""
-    import time
-
-    t0 = time.time()
-    last_input = time.time()
-    seen = 0
-    while time.time() - t0 < limit_s:
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
-        prog = q.recentProgress
-        if len(prog) > seen:
-            if any(p.get("numInputRows", 0) > 0 for p in prog[seen:]):
-                last_input = time.time()
-            seen = len(prog)
-        state_rows = sum(op.get("numRowsTotal", 0) for op in (prog[-1].get("stateOperators") or [])) if prog else 1
-        if seen > 0 and state_rows == 0 and time.time() - last_input > idle_s:
-            return
-        time.sleep(0.25)
-    raise TimeoutError("stream did not go idle")
-
-
-def _stop_between_triggers(q, limit_s: float = 30.0):
-    import time
-
-    t0 = time.time()
-    while q.isActive and q.status.get("isTriggerActive") and time.time() - t0 < limit_s:
-        time.sleep(0.05)
-    q.stop()
-
-
 class state_partitions:
     """Size the state store of a new stateful stream (fixed at its first batch) to the
-    cluster's parallelism instead of an arbitrary session-wide shuffle setting."""
+    cluster's parallelism instead of an arbitrary session-wide shuffle setting; ``store``
+    is its provider, where it needs another than the session's."""
 
-    def __init__(self, spark):
+    def __init__(self, spark, store: str | None = None):
         self.spark = spark
+        self.conf = {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+                     **({"spark.sql.streaming.stateStore.providerClass": store} if store else {})}
 
     def __enter__(self):
-        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
-        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.spark.sparkContext.defaultParallelism))
+        self.old = {k: self.spark.conf.get(k) for k in self.conf}
+        for k, v in self.conf.items():
+            self.spark.conf.set(k, v)
 
     def __exit__(self, *exc):
-        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+        for k, v in self.old.items():
+            self.spark.conf.set(k, v)
 
 
 @job("I15_ivf_ingest_stream", with_views(
@@ -143,27 +115,22 @@ def l6s(spark, sf_dir):
 
 @job("L2_log_multiline_stream", ORACLE["L2_log_multiline"], "stream")
 def l2s(spark, sf_dir):
-    """Search-node log lines arrive in three ordered files; open records flush when the file idles."""
-    import time
-
+    """Search-node log lines arrive in three files with every 17th line one file late, then a pause:
+    a heartbeat hours later, which moves the time past the last record."""
     lines = v(spark, sf_dir, "fx_logs").where("tag = 'elasticsearch'").select(
-        F.lit("es").alias("file"), "line_no", "raw")
+        F.lit("es").alias("file"), "line_no", "raw", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("line_no"))).alias("ts"))
     base = scratch_path(spark, "multiline-stream")
     n = lines.agg(F.max("line_no")).first()[0] or 0
-    stage_files(lines, f"{base}/in", F.floor(F.col("line_no") * 3 / (n + 1)), [0, 1, 2], fmt="json")
+    late = F.when(F.col("line_no") % 17 == 0, 1).otherwise(0)
+    stage_files(lines, f"{base}/in", F.floor(F.col("line_no") * 3 / (n + 1)) + late, [0, 1, 2, 3], fmt="json")
+    beat = spark.range(1).select(F.lit("es").alias("file"), F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("raw"),
+                                 (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.lit(4 * n + 10_000))).alias("ts"))
+    stage_files(beat, f"{base}/in", F.lit(0), [0], fmt="json")
     src = ingest.read_stream(spark, f"{base}/in", lines.schema, fmt="json")
-    flush_ms = 1500
-    with state_partitions(spark):
-        q = multiline_stream(src, flush_ms=flush_ms).writeStream \
-            .foreachBatch(idempotent_batch_writer(f"{base}/out", [])) \
-            .option("checkpointLocation", f"{base}/ckpt").outputMode("append") \
-            .trigger(processingTime="1 second").start()
-        try:
-            _await_idle(q, idle_s=flush_ms / 1000)   # the timeout has flushed the last record
-        finally:
-            _stop_between_triggers(q)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    with state_partitions(spark, STATE_STORE):
+        _run(multiline_stream(src, delay=f"{n + 1} seconds").writeStream
+             .foreachBatch(idempotent_batch_writer(f"{base}/out", []))
+             .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
     return spark.read.parquet(f"{base}/out").select("record_start", "lines", "text")
 
 

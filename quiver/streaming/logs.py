@@ -1,16 +1,21 @@
-"""L1, L4, L6 on a stream of log lines (stateless per line)."""
+"""L1, L4, L6 on a stream of log lines (stateless per line), and L2 with ordered state."""
 
 from __future__ import annotations
 
-import warnings
+import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quiver.operators.logs import enrich, json_source, namespace_filter
+from quiver.operators.logs import FIRSTLINE, enrich, json_source, namespace_filter
+from quiver.session import ship_package
 
-# pandas concat inside the state serializer warns about all-NA columns; harmless here
-warnings.filterwarnings("ignore", category=FutureWarning, module="pyspark.sql.pandas.serializers")
+#: The state store that map states and timers need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RECORDS = "file string, record_start long, lines long, text string"
 
 
 def kube_log_stream(lines: DataFrame, hostname: str, node_name: str) -> DataFrame:
@@ -18,57 +23,67 @@ def kube_log_stream(lines: DataFrame, hostname: str, node_name: str) -> DataFram
     return enrich(namespace_filter(parsed), hostname, node_name)
 
 
-# --------------------------------------------------------------------------- L2 on a stream
-import re as _re  # noqa: E402
-from collections.abc import Iterator  # noqa: E402
 
-import pandas as pd  # noqa: E402
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout  # noqa: E402
-
-from quiver.operators.logs import FIRSTLINE  # noqa: E402
-from quiver.session import ship_package  # noqa: E402
-
-ML_STATE = "start long, n long, text string, last long"
-ML_OUT = "file string, record_start long, lines long, text string"
-
-
-def _multiline_handler(flush_ms: int):
-    first = _re.compile(FIRSTLINE)
-
-    def handle(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        file = key[0]
-        if state.hasTimedOut:
-            start, n, text, _ = state.get
-            state.remove()
-            yield pd.DataFrame([(file, start, n, text)], columns=["file", "record_start", "lines", "text"])
-            return
-        start, n, text, last = state.get if state.exists else (None, 0, None, -1)
+class PendingLines(StatefulProcessor):
+    """The lines of one file that no record has taken yet, by line number, and timers on the watermark.
+
+    Lines of a file carry times that do not go down, but may arrive in any order.  Once the
+    watermark has passed a first line, every line before it is here, so the record that it closes
+    leaves.  The last record leaves when the watermark is ``idle`` past its last line.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lines = handle.getMapState("lines", "line_no long", "raw string, ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = None
+        for part in rows:
+            latest = max(latest or 0, int(part["ms"].max()))
+            for line_no, raw, ms in zip(part["line_no"].tolist(), part["raw"].tolist(), part["ms"].tolist()):
+                if raw is not None and not pd.isna(line_no):  # a row without a line only tells the time
+                    self.lines.updateValue((int(line_no),), (raw, int(ms)))
+        if latest is not None:
+            for at in (latest, latest + self.idle_ms):
+                self.handle.registerTimer(at)
+        yield pd.DataFrame(columns=["file", "record_start", "lines", "text"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        pending = sorted((k[0], *v) for k, v in self.lines.iterator())
+        firsts = [i for i, (_, raw, _) in enumerate(pending) if re.match(FIRSTLINE, raw)]
+        # a record ends before the next first line, if that is settled, and else with the file
+        cuts = [i for i in firsts if i and pending[i][2] <= passed]
+        if pending and pending[-1][2] + self.idle_ms <= passed:
+            cuts = [i for i in firsts if i] + [len(pending)]
         out = []
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values("line_no", kind="stable")
-        for ln, raw in zip(rows["line_no"].tolist(), rows["raw"].tolist()):
-            if ln <= last:
-                continue                                # replayed line: already applied
-            last = ln
-            is_first = first.match(raw) is not None
-            if is_first and start is not None:
-                out.append((file, start, n, text))      # a new first line closes the open record
-            if is_first or start is None:
-                start, n, text = ln, 1, raw             # (lines before any first line form one record)
-                continue
-            n += 1
-            text = text + "\n" + raw
-        state.update((start, n, text, last))
-        state.setTimeoutDuration(flush_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["file", "record_start", "lines", "text"])
-
-    return handle
-
-
-def multiline_stream(lines: DataFrame, file_col: str = "file", flush_ms: int = 2000) -> DataFrame:
-    """L2 streaming: keyed state per file holds the open record; a first line closes it and an
-    idle file flushes it after ``flush_ms`` (processing-time timeout)."""
-    ship_package(lines.sparkSession)
-    return lines.select(F.col(file_col).cast("string").alias("file"), "line_no", "raw").groupBy("file") \
-        .applyInPandasWithState(_multiline_handler(flush_ms), ML_OUT, ML_STATE, "append",
-                                GroupStateTimeout.ProcessingTimeTimeout)
+        for lo, hi in zip([0, *cuts[:-1]], cuts):
+            record = pending[lo:hi]
+            out.append((key[0], record[0][0], len(record), "\n".join(raw for _, raw, _ in record)))
+            for line_no, _, _ in record:
+                self.lines.removeKey((line_no,))
+        yield pd.DataFrame(out, columns=["file", "record_start", "lines", "text"])
+
+    def close(self) -> None:
+        pass
+
+
+def multiline_stream(lines: DataFrame, file_col: str = "file", time_col: str = "ts", delay: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """L2 on a stream of (file, line_no, raw, time) rows: the records of the batch form, for lines that arrive up to
+    ``delay`` late by the files' own time, in any order, with pauses of any length between arrivals.
+
+    A row with a null line or line number is no line, and only moves the time on (a heartbeat).  An open record
+    ends when the time is ``idle_ms`` past its last line; lines that come later than ``delay`` are dropped
+    by the watermark.  A line that arrives again replaces itself while it is pending."""
+    spark = lines.sparkSession
+    ship_package(spark)
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != STATE_STORE:
+        raise RuntimeError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE}")
+    at = F.col(time_col).cast("timestamp")
+    rows = lines.select(F.col(file_col).cast("string").alias("file"), F.col("line_no").cast("long").alias("line_no"), F.col("raw").cast("string").alias("raw"),
+                        at.alias("ts"), F.unix_millis(at).alias("ms")).where("ts is not null and file is not null")
+    return rows.withWatermark("ts", delay).groupBy("file").transformWithStateInPandas(
+        PendingLines(idle_ms), RECORDS, "Append", "EventTime")

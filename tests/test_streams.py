@@ -1,10 +1,16 @@
-"""Event-time behaviour of the watermarked QPS stream."""
+"""Event-time behaviour of the watermarked QPS stream and of the multi-line log stream."""
 
 import datetime as dt
+import random
 
+import pytest
+
+from quiver.operators.logs import multiline_records
 from quiver.operators.tenants import latest_per_key
 from quiver.session import scratch_path
+from quiver.plans.stream_plans import state_partitions
 from quiver.streaming import ingest
+from quiver.streaming.logs import STATE_STORE, multiline_stream
 from quiver.streaming.reports import qps_latency_stream
 from quiver.streaming.sources import idempotent_batch_writer
 
@@ -32,3 +38,35 @@ def test_rows_behind_an_evicted_window_are_dropped(spark):
     got = {r.window_start: (r.queries, r.avg_latency) for r in out.collect()}
     assert got[t0] == (2, 15.0)
     assert got[t0 + dt.timedelta(minutes=30)] == (2, 35.0)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_late_and_shuffled_log_lines_give_the_batch_records(spark, seed):
+    """Two files; lines arrive out of order within the delay, some twice, with pauses between the batches."""
+    rnd = random.Random(seed)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for file in ("a", "b"):
+        seconds = 0
+        for n in range(60):
+            seconds += rnd.choice([0, 1, 5, 300])
+            raw = f"2024-01-0{rnd.randint(1, 9)} {file}{n}" if n and rnd.random() < 0.4 else f"  at {file}{n}"
+            rows.append((file, n, raw, t0 + dt.timedelta(seconds=seconds)))
+    arrival = sorted(rows, key=lambda r: (r[3] + dt.timedelta(seconds=rnd.randint(0, 550)), r))
+    cuts = sorted(rnd.sample(range(1, len(arrival)), 5))
+    files = [arrival[a:b] + rnd.sample(arrival[a:b], 1) for a, b in zip([0, *cuts], [*cuts, len(arrival)])]
+    files += [[(f, None, None, t0 + dt.timedelta(days=9))] for f in ("a", "b")]
+    schema = "file string, line_no long, raw string, ts timestamp"
+    base = scratch_path(spark, "test-multiline")
+    for part in files:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    src = ingest.read_stream(spark, f"{base}/in", spark.createDataFrame([], schema).schema)
+    with pytest.raises(RuntimeError, match="providerClass"):
+        multiline_stream(src)
+    with state_partitions(spark, STATE_STORE):
+        q = multiline_stream(src, delay="10 minutes").writeStream.foreachBatch(idempotent_batch_writer(f"{base}/out", [])) \
+            .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.parquet(f"{base}/out").select("file", "record_start", "lines", "text").collect()
+    want = multiline_records(spark.createDataFrame(rows, schema), file_cols=["file"]).select("file", "record_start", "lines", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
