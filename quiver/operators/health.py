@@ -1,14 +1,14 @@
 """Replica health, consistency and recovery analytics over shard snapshots: R1-R16.
 
 Shard rows: ``(index_name, shard, prirep, state, docs, store, node)`` as text,
-as the cluster's shard listing returns them.  Per-shard checks join each
-replica with its primary (equi-join on index and shard) instead of gathering
-groups; only the per-index issue lists are collected, as the report needs them.
+as the cluster's shard listing returns them.  Per-shard checks are one grouping by
+(index, shard): the primary as an aggregate, the few replicas as a list; of an index only
+the issues are gathered, as the report needs them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,33 +79,27 @@ def stuck_shards(shards: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def shard_consistency(shards: DataFrame, tolerance: int = DOC_COUNT_TOLERANCE) -> DataFrame:
-    """Per (index, shard): primary vs each replica, issue list, consistency flag."""
-    s = shard_rows(shards)
-    keys = s.select("index_name", "shard", "shard_id").distinct()
-    prim = s.where(F.col("prirep") == "p").groupBy("index_name", "shard").agg(
-        F.max_by(F.struct("doc_count", "store", "node"), F.col("node")).alias("p"))
-    reps = s.where(F.col("prirep") != "p")
-    j = reps.join(prim, ["index_name", "shard"], "left")
-    diff = F.abs(F.col("p.doc_count") - F.col("doc_count"))
-    msg = (F.when(F.col("state") != "STARTED", F.format_string(MSG_NOT_STARTED, F.col("node"), F.col("state")))
-           .when(diff > tolerance, F.format_string(MSG_DOC_MISMATCH, F.col("p.doc_count"), F.col("node"),
-                                                   F.col("doc_count"), diff)))
-    ragg = j.groupBy("index_name", "shard").agg(
-        F.count(F.lit(1)).alias("replica_count"),
-        F.sort_array(F.collect_list(F.struct("node", "state", "docs", msg.alias("msg")))).alias("_r"),
-        F.max(msg.isNotNull()).alias("_bad"))
-    out = keys.join(prim, ["index_name", "shard"], "left").join(ragg, ["index_name", "shard"], "left")
-    has_p = F.col("p").isNotNull()
-    rep_issues = F.filter(F.transform(F.coalesce("_r", F.array().cast("array<struct<node:string,state:string,docs:string,msg:string>>")),
-                                      lambda x: x["msg"]), lambda m: m.isNotNull())
-    nrep = F.coalesce("replica_count", F.lit(0))
+    """Per (index, shard): primary vs each replica, issue list, consistency flag.
+
+    One grouping: the primary on the greatest node by ``max_by``, the replicas as a short
+    list (a shard has a handful of copies), and the messages as a transform of that list."""
+    g = shard_rows(shards).groupBy("index_name", "shard", "shard_id").agg(
+        F.max_by(F.struct("doc_count", "node"), F.when(F.col("prirep") == "p", F.struct("node", "doc_count"))).alias("p"),
+        F.max(F.col("prirep") == "p").alias("_has_p"),
+        F.sort_array(F.collect_list(F.when(F.col("prirep") != "p", F.struct("node", "state", "docs", "doc_count")))).alias("_r"))
+    has_p = F.coalesce("_has_p", F.lit(False))
+
+    def message(r: Column) -> Column:
+        diff = F.abs(F.col("p.doc_count") - r["doc_count"])
+        return F.when(r["state"] != "STARTED", F.format_string(MSG_NOT_STARTED, r["node"], r["state"])).when(
+            has_p & (diff > tolerance), F.format_string(MSG_DOC_MISMATCH, F.col("p.doc_count"), r["node"], r["doc_count"], diff))
+
+    g = g.withColumn("_m", F.filter(F.transform("_r", message), lambda m: m.isNotNull()))
     issues = (F.when(~has_p, F.array(F.format_string(MSG_NO_PRIMARY, F.col("shard"))))
-              .otherwise(F.when(nrep == 0, F.concat(rep_issues, F.array(F.format_string(MSG_NO_REPLICA, F.col("shard")))))
-                         .otherwise(rep_issues)))
-    consistent = has_p & ~F.coalesce(F.col("_bad"), F.lit(False))
-    return out.select("index_name", "shard", "shard_id", F.col("p.node").alias("primary_node"),
-                      F.col("p.doc_count").alias("primary_doc_count"), nrep.cast("long").alias("replica_count"),
-                      consistent.alias("is_consistent"), issues.alias("issues"))
+              .when(F.size("_r") == 0, F.concat("_m", F.array(F.format_string(MSG_NO_REPLICA, F.col("shard"))))).otherwise(F.col("_m")))
+    return g.select("index_name", "shard", "shard_id", F.when(has_p, F.col("p.node")).alias("primary_node"),
+                    F.when(has_p, F.col("p.doc_count")).alias("primary_doc_count"), F.size("_r").cast("long").alias("replica_count"),
+                    (has_p & (F.size("_m") == 0)).alias("is_consistent"), issues.alias("issues"))
 
 
 def index_consistency(shard_reports: DataFrame) -> DataFrame:
