@@ -20,6 +20,7 @@ KUBE_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{9}Z$"
 #: The namespace that kube-tagged records are kept from, unless another is named.
 ALLOWED_NAMESPACE = "search-system"
 SEVERITY = "(?i)(Warning|Error|Fail)"
+JOURNAL_UNITS = ("kubelet.service", "kernel.service")
 DEFAULT_BUCKET_LINES = 1 << 20
 
 KUBE_SCHEMA = T.StructType([
@@ -93,6 +94,11 @@ def namespace_filter(records: DataFrame, tag_col: str = "tag", allowed: str = AL
     return records.where(~kube | F.coalesce(ns == F.lit(allowed), F.lit(False)))
 
 
+def journal_source(records: DataFrame, unit_col: str = "unit") -> DataFrame:
+    """The system journal's records of the two followed units, tagged ``kubelet`` or ``kernel``; other units are not read."""
+    return records.where(F.col(unit_col).isin(*JOURNAL_UNITS)).withColumn("tag", F.substring_index(unit_col, ".", 1))
+
+
 def severity_filter(records: DataFrame, message_col: str = "MESSAGE") -> DataFrame:
     """System records mentioning Warning, Error or Fail (any case)."""
     return records.where(F.coalesce(F.col(message_col).rlike(SEVERITY), F.lit(False)))

@@ -32,11 +32,13 @@ _ESRE = "'(?s)^(\\d{4}-\\d{2}-\\d{2}[ ]\\d{2}:\\d{2}:\\d{2}\\.\\d{3})[ ][A-Z][ ]
 _RF = ("rf", f"SELECT record_start, lines, text, CASE WHEN regexp_matches(text, {_ESRE}) THEN strptime(regexp_extract(text, {_ESRE}, 1), '%Y-%m-%d %H:%M:%S.%g') END AS time, "
              f"CASE WHEN regexp_matches(text, {_ESRE}) THEN regexp_extract(text, {_ESRE}, 2) END AS message FROM rec")
 _SYS = ("sys", "SELECT event_id, event_type || ' ' || props AS MESSAGE, ts AS time FROM events WHERE regexp_matches(event_type || ' ' || props, '(?i)(Warning|Error|Fail)')")
+# journal units of the events: a fifth is the kernel's, a fifth a unit that nobody follows
+_UNIT = "case event_id % 5 when 0 then 'kernel.service' when 4 then 'cron.service' else 'kubelet.service' end"
 _KUBE = ("kube", f"SELECT line_no, log, namespace_name AS kubernetes_ns, pod_name AS kubernetes_pod, container_name AS kubernetes_container, "
                  f"'{HOST}' AS hostname, '{NODE}' AS node_name FROM l1p WHERE tag LIKE 'kubernetes%' AND coalesce(namespace_name = '{L.ALLOWED_NAMESPACE}', false)")
 _ROUTE = ("routed", "SELECT 'kubernetes' AS route, line_no AS record_key, log AS message, CAST(NULL AS TIMESTAMP) AS time FROM kube "
                     "UNION ALL SELECT 'elasticsearch', record_start, message, time FROM rf "
-                    "UNION ALL SELECT 'system', event_id, MESSAGE, time FROM sys")
+                    "UNION ALL SELECT CASE event_id % 5 WHEN 0 THEN 'kernel' ELSE 'kubelet' END, event_id, MESSAGE, time FROM sys WHERE event_id % 5 <> 4")
 _LV = ["fx_logs"]
 
 
@@ -64,16 +66,29 @@ def routed(spark, sf_dir):
     k = kube_records(spark, sf_dir).select(F.col("line_no").alias("record_key"), F.col("log").alias("message"),
                                            F.lit(None).cast("timestamp_ntz").alias("time"))
     e = es_records(spark, sf_dir).select(F.col("record_start").alias("record_key"), "message", "time")
-    s = system_records(spark, sf_dir).select(F.col("event_id").alias("record_key"), F.col("MESSAGE").alias("message"), "time")
-    return L.route({"kubernetes": k, "elasticsearch": e, "system": s})
+    s = L.journal_source(system_records(spark, sf_dir).withColumn("unit", F.expr(_UNIT)))
+    s = {tag: s.where(F.col("tag") == tag).select(F.col("event_id").alias("record_key"), F.col("MESSAGE").alias("message"), "time")
+         for tag in ("kubelet", "kernel")}
+    return L.route({"kubernetes": k, "elasticsearch": e, **s})
+
+
+# The container's time and name in every kube line; each seventh time lacks its zone, so it is none.
+_KUBE_RAW = ("replace(replace(raw, '{\"log\":', concat('{\"time\":\"2024-01-01T', lpad(cast(cast(floor(line_no / 3600) as bigint) % 24 as TEXT), 2, '0'), ':', "
+             "lpad(cast(cast(floor(line_no / 60) as bigint) % 60 as TEXT), 2, '0'), ':', lpad(cast(line_no % 60 as TEXT), 2, '0'), '.', "
+             "lpad(cast(line_no * 1000 % 1000000000 as TEXT), 9, '0'), case when line_no % 7 = 0 then '' else 'Z' end, '\",\"log\":')), "
+             "'\"pod_name\":', concat('\"container_name\":\"c-', cast(line_no % 3 as TEXT), '\",\"pod_name\":'))")
+_FULL = [("lines", f"SELECT line_no, tag, {_KUBE_RAW.replace('TEXT', 'VARCHAR')} AS raw FROM fx_logs"),
+         ("l1", _L1[1].replace("FROM fx_logs", "FROM lines")),
+         ("l1p", _L1P[1].replace("SELECT line_no, tag,", "SELECT line_no, tag, CASE WHEN ok AND line_no % 7 <> 0 THEN TIMESTAMP '2024-01-01' "
+                                 "+ to_seconds(line_no % 86400) + to_microseconds(line_no * 1000 % 1000000000 // 1000) END AS time,", 1))]
 
 
 @job("L1_log_json_source", with_views(
-    "SELECT line_no, tag, log, namespace_name, pod_name, unmatched FROM l1p", _LV, [_L1, _L1P]), "log")
+    "SELECT line_no, tag, log, time, namespace_name, pod_name, container_name, unmatched FROM l1p", _LV, _FULL), "log")
 def l1(spark, sf_dir):
-    p = parsed_lines(spark, sf_dir)
-    return p.select("line_no", "tag", "log", F.col("kubernetes.namespace_name").alias("namespace_name"),
-                    F.col("kubernetes.pod_name").alias("pod_name"), "unmatched")
+    lines = v(spark, sf_dir, "fx_logs").withColumn("raw", F.expr(_KUBE_RAW.replace("TEXT", "string")))
+    return L.json_source(lines).select("line_no", "tag", "log", "time", *[F.col(f"kubernetes.{c}").alias(c) for c in (
+        "namespace_name", "pod_name", "container_name")], "unmatched")
 
 
 @job("L2_log_multiline", with_views("SELECT * FROM rec", _LV, [_ES, _ST, _REC]), "log")

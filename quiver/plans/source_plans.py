@@ -26,9 +26,8 @@ def v(spark, sf_dir, name):
     "CAST(10 AS BIGINT) AS nprobe FROM embeddings"), "source")
 def s1(spark, sf_dir):
     vf = SV.VectorField("embedding", DIM, metric="l2_norm", field_mapping={"label": "integer"})
-    df = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    src = df.select(*[F.col(f.name).cast(f.dataType) for f in vf.schema("doc_id").fields])
-    return src.select("doc_id", F.size("embedding").alias("dimension"), "label", F.lit(vf.metric).alias("metric"),
+    src = SV.vector_source(spark, f"{sf_dir}/embeddings.parquet", vf, id_col="vec_id")
+    return src.select(F.col("vec_id").alias("doc_id"), F.size("embedding").alias("dimension"), "label", F.lit(vf.metric).alias("metric"),
                       F.lit(vf.nlist).alias("nlist"), F.lit(vf.nprobe).alias("nprobe"))
 
 
