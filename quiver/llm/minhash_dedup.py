@@ -28,8 +28,8 @@ apart.  There (``apart``) texts are not compared with each other but with the gr
 base, and the intersection of two texts follows from the sizes of their differences and
 the overlap of these.  Two texts whose differences are small are linked whatever they
 are; they are all linked with the text of the smallest differences.  Any other link
-needs an overlap of a known size, so the two texts share one of the first few of
-their differences (prefix filter), and only texts that share one are looked at.
+needs an overlap of a known size, and leaves few differences of one text out of the other;
+so the two share one of the first few (prefix filter), and only texts that do are looked at.
 The base decides what is compared, never what is a link.  So a group of copies
 costs a few comparisons per copy, while no link is lost.
 
@@ -66,6 +66,8 @@ FIRST_BANDS = 4
 FEW_ROOTS = 8
 #: Texts of a group that make its base, and parts of a group in joins with facts about it.
 BASE_TEXTS, SALTS = 64, 32
+#: A difference is common in a group if more than one text in so many has it.
+COMMON = 50
 
 _RNG = np.random.default_rng(808)
 _MUL = (_RNG.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -186,9 +188,10 @@ def _salted(members: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def differences(members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(group, key, root, diff, weight, room) of (group, key, root, shingles) rows: what a text has and the
-    group's base has not, then what it lacks of it; two texts are linked when
-    (share[0] + share[1]) * overlap of their diffs >= the sum of their weights - room."""
+    """(group, key, root, diff, spare, weight, room) of (group, key, root, shingles) rows: what a text has and the
+    group's base has not, and what it lacks of it; two texts are linked when
+    (share[0] + share[1]) * overlap of their diffs >= the sum of their weights - room, and
+    a linked text has all but ``spare`` of the differences too."""
     first = Window.partitionBy("group").orderBy(F.xxhash64("key"), "key")
     some = members.withColumn("i", F.row_number().over(first)).where(F.col("i") <= BASE_TEXTS)
     texts = some.groupBy("group").agg(F.count("*").alias("texts"))
@@ -196,7 +199,8 @@ def differences(members: DataFrame, share: tuple[int, int]) -> DataFrame:
     base = texts.join(most.groupBy("group").agg(F.collect_list("h").alias("base")), "group", "left").select(
         "group", F.coalesce("base", F.array().cast("array<long>")).alias("base"))
     more, less = F.array_except("shingles", "base"), F.array_except("base", "shingles")
-    return _salted(members, base).select("group", "key", "root", F.concat(F.sort_array(more), F.sort_array(less)).alias("diff"),
+    spare = F.floor((share[1] - share[0]) * F.size("shingles") / F.lit(share[0])).cast("int")
+    return _salted(members, base).select("group", "key", "root", F.concat(more, less).alias("diff"), spare.alias("spare"),
                                          (share[1] * F.size(less) + share[0] * F.size(more)).cast("long").alias("weight"),
                                          ((share[1] - share[0]) * F.size("base")).cast("long").alias("room"))
 
@@ -207,15 +211,22 @@ def apart(members: DataFrame, share: tuple[int, int]) -> DataFrame:
     Links of texts that are of one component already may be missing, no others."""
     total = share[0] + share[1]
     diffs = C.written(differences(members, share), "differences")
-    nearest = diffs.groupBy("group").agg(F.min(F.struct("weight", "key")).alias("m")).select("group", F.col("m.key").alias("centre"), F.col("m.weight").alias("least"))
-    diffs = C.written(_salted(diffs, nearest).withColumn("near", F.col("weight") + F.col("least") <= F.col("room")), "differences")
+    groups = C.written(diffs.groupBy("group").agg(F.count("*").alias("texts"), F.min(F.struct("weight", "key")).alias("m")).select(
+        "group", "texts", F.col("m.key").alias("centre"), F.col("m.weight").alias("least")), "groups")
+    # differences that many texts of a group have stand last; those of over one in COMMON are few, whatever the group
+    common = diffs.select("group", F.explode("diff").alias("h")).groupBy("group", "h").agg(F.count("*").alias("c")).where("c > 1").join(
+        groups, "group").where(F.col("c") * COMMON > F.col("texts")).groupBy("group").agg(F.collect_list("h").alias("common"))
+    facts = groups.join(common, "group", "left").select("group", "centre", "least", F.coalesce("common", F.array().cast("array<long>")).alias("common"))
+    diffs = _salted(diffs, facts).withColumn("near", F.col("weight") + F.col("least") <= F.col("room")).withColumn("diff", F.concat(
+        F.sort_array(F.array_except("diff", "common")), F.sort_array(F.array_intersect("diff", "common")))).drop("common")
+    diffs = C.written(diffs, "differences")
     # no overlap needed: linked with the centre
     stars = diffs.where("near and key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
 
     def heads(rows: DataFrame, need: Column, end: str) -> DataFrame:
         """The first differences of each text, of which a link that needs ``need`` common ones shares one."""
         need = F.greatest(F.ceil(need / F.lit(total)), F.lit(1)).cast("int")
-        length = F.greatest(F.size("diff") - need + 1, F.lit(0))
+        length = F.greatest(F.least(F.size("diff") - need, F.col("spare")) + 1, F.lit(0))
         return rows.select("group", F.col("key").alias(end), F.col("root").alias(f"root_{end}"), F.explode(F.slice("diff", F.lit(1), length)).alias("h"))
 
     # every other pair has a text that is not near; against one of those a text needs this much
@@ -223,7 +234,9 @@ def apart(members: DataFrame, share: tuple[int, int]) -> DataFrame:
     far = diffs.where("not near")
     pairs = heads(diffs.where("near"), against_far, "a").join(heads(far, F.col("weight") + F.col("least") - F.col("room"), "b"), ["group", "h"])
     pairs = pairs.unionByName(heads(far, against_far, "a").join(heads(far, against_far, "b"), ["group", "h"]).where("a < b"))
-    pairs = C.written(pairs.where("root_a != root_b").select("group", "a", "b").distinct(), "sharing-pairs")
+    # a pair of several groups is looked at in one of them
+    pairs = pairs.where("root_a != root_b").select("group", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = C.written(pairs.groupBy("a", "b").agg(F.min("group").alias("group")), "sharing-pairs")
     for end in ("a", "b"):
         pairs = pairs.join(diffs.select("group", F.col("key").alias(end), F.col("diff").alias(f"d_{end}"), F.col("weight").alias(f"w_{end}"),
                                         *(["room"] if end == "a" else [])), ["group", end])
@@ -325,18 +338,22 @@ def near_duplicate_rows(docs: DataFrame, size: int = SHINGLE, share: tuple[int,
     keys = buckets(labels, 0, bands).select("bucket", "band", "key", "n", "root")
     several = C.written(keys.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket", "x"), "mixed-keys")
     mixed = C.written(C.split_by(keys, several, "bucket")[0].join(several, "bucket"), "mixed-buckets")
-    # in buckets of many components, by their differences from a base; such buckets with one smallest component are one group
+    # in buckets of many components, by their differences from a base; such buckets with one largest component are one group
     crowded = C.written(mixed.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("roots")).where(F.col("roots") > FEW_ROOTS)
                         .select("bucket"), "crowded-buckets")
     if crowded.limit(1).count():
-        members = C.written(mixed.join(crowded, "bucket").select(F.col("x").alias("group"), "key", "root").distinct(), "crowds")
+        crowd = C.written(mixed.join(crowded, "bucket").select("bucket", "key", "root"), "crowd-texts")
+        parts = crowd.select("key", "root").distinct().groupBy("root").agg(F.count("*").alias("texts"))
+        largest = crowd.select("bucket", "root").distinct().join(parts, "root").groupBy("bucket").agg(
+            F.max(F.struct("texts", (-F.col("root")).alias("least"))).alias("x")).select("bucket", (-F.col("x.least")).alias("group"))
+        members = C.written(crowd.join(largest, "bucket").select("group", "key", "root").distinct(), "crowds")
         rows = C.split_by(reps.select("key", "row"), members, "key")[0].join(members.select("key").distinct(), "key")
         rows = C.written(rows, "crowd-rows")
         texts = C.split_by(docs, rows, "row")[0].dropDuplicates(["row"]).select("row", "text")
         sets = C.written(rows.join(texts, "row").select("key", "text").mapInArrow(_shingle_sets(size), "key long, shingles array<long>"), "crowd-sets")
         links = C.written(links.unionByName(apart(members.join(sets, "key"), share)), "links")
         labels = labelled(links)
-        mixed = mixed.join(crowded, "bucket", "left_anti").drop("root").join(labels.select("key", "root"), "key")
+        mixed = C.written(mixed.join(crowded, "bucket", "left_anti").drop("root").join(labels.select("key", "root"), "key"), "mixed-buckets")
     # in the others by their sketches within the join; a pair counts in the first band it shares
     sketches = C.split_by(reps.select("key", "sketch"), mixed, "key")[0]
     mixed = mixed.join(sketches, "key")
