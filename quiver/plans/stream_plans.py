@@ -126,7 +126,8 @@ def l2s(spark, sf_dir):
     beat = spark.range(1).select(F.lit("es").alias("file"), F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("raw"),
                                  (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.lit(4 * n + 10_000))).alias("ts"))
     stage_files(beat, f"{base}/in", F.lit(0), [0], fmt="json")
-    src = ingest.read_stream(spark, f"{base}/in", lines.schema, fmt="json")
+    # a chunk of a large table is as many files as the table has partitions, and arrives as about one batch
+    src = ingest.read_stream(spark, f"{base}/in", lines.schema, fmt="json", files_per_batch=max(1, lines.rdd.getNumPartitions()))
     with state_partitions(spark, STATE_STORE):
         _run(multiline_stream(src, delay=f"{n + 1} seconds").writeStream
              .foreachBatch(idempotent_batch_writer(f"{base}/out", []))

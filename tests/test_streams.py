@@ -70,3 +70,32 @@ def test_late_and_shuffled_log_lines_give_the_batch_records(spark, seed):
     got = spark.read.parquet(f"{base}/out").select("file", "record_start", "lines", "text").collect()
     want = multiline_records(spark.createDataFrame(rows, schema), file_cols=["file"]).select("file", "record_start", "lines", "text").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_log_lines_are_held_in_buckets_and_records_cross_them(spark):
+    """Records of many buckets, negative line numbers, a long pause inside a record; few state entries for many lines."""
+    rnd = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, seconds = [], 0
+    for n in range(-30, 400):
+        seconds += 7200 if n in (50, 333) else rnd.choice([0, 1, 5])
+        raw = f"2024-01-01 {n}" if n in (0, 1, 100, 333) or 200 < n < 300 and rnd.random() < 0.5 else f"  at {n}"
+        rows.append(("a", n, raw, t0 + dt.timedelta(seconds=seconds)))
+    late = [r for r in rows if r[1] % 17 == 0]
+    files = [[r for r in rows if r[1] % 17 and r[1] < 150], [r for r in rows if r[1] % 17 and r[1] >= 150], late, [("a", None, None, t0 + dt.timedelta(days=9))]]
+    schema = "file string, line_no long, raw string, ts timestamp"
+    base = scratch_path(spark, "test-buckets")
+    for part in files:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    src = ingest.read_stream(spark, f"{base}/in", spark.createDataFrame([], schema).schema)
+    with state_partitions(spark, STATE_STORE):
+        q = multiline_stream(src, delay="6 hours", bucket_lines=25).writeStream.foreachBatch(idempotent_batch_writer(f"{base}/out", [])) \
+            .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert q.exception() is None
+    held = max(sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in q.recentProgress if p["stateOperators"])
+    assert held < len(rows) / 2
+    got = spark.read.parquet(f"{base}/out").select("file", "record_start", "lines", "text").collect()
+    want = multiline_records(spark.createDataFrame(rows, schema), file_cols=["file"]).select("file", "record_start", "lines", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert max(r["lines"] for r in got) > 75
