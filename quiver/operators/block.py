@@ -76,7 +76,8 @@ def score_matrix(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 
 _U = np.finfo(np.float64).eps / 2  # unit roundoff
 ROW_CHUNK = 2048
-SCREEN_CELLS = 4_000_000           # rows x columns per screening matrix (~32 MB of doubles)
+SCREEN_CELLS = 1 << 19             # rows x columns per screening matrix (4 MB of doubles; about eight at a time)
+PAIR_VALUES = 1 << 20              # values per side of the candidate pairs gathered at once (8 MB)
 
 
 def _seq_norms(a: np.ndarray) -> np.ndarray:
@@ -106,6 +107,15 @@ def _pair_scores(r: np.ndarray, c: np.ndarray, metric: str, rn=None, cn=None) ->
     return out
 
 
+def _gathered_scores(x: np.ndarray, cols: np.ndarray, ri: np.ndarray, cj: np.ndarray, metric: str, rn: np.ndarray, cn: np.ndarray) -> np.ndarray:
+    """Exact scores of the pairs x[ri] . cols[cj], a bounded number gathered at a time (ties may make every pair a candidate)."""
+    step = max(1, PAIR_VALUES // max(1, x.shape[1]))
+    if len(ri) <= step:
+        return _pair_scores(x[ri], cols[cj], metric, rn[ri], cn[cj])
+    return np.concatenate([_pair_scores(x[i], cols[j], metric, rn[i], cn[j])
+                           for i, j in ((ri[lo:lo + step], cj[lo:lo + step]) for lo in range(0, len(ri), step))])
+
+
 def topk_exact(rows: np.ndarray, cols: np.ndarray, col_ids: np.ndarray, metric: str, k: int,
                allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For every row, the k best columns by (exact score, column id).
@@ -163,7 +173,7 @@ def topk_exact(rows: np.ndarray, cols: np.ndarray, col_ids: np.ndarray, metric:
         ri, cj = np.nonzero(cand)
         if len(ri) == 0:
             continue
-        raw = _pair_scores(x[ri], cols[cj], metric, rn[ri], cn[cj])
+        raw = _gathered_scores(x, cols, ri, cj, metric, rn, cn)
         skey = _sort_key(raw, asc)
         order = np.lexsort((col_ids[cj], skey, ri))
         ri, cj, raw = ri[order], cj[order], raw[order]

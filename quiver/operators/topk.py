@@ -24,6 +24,7 @@ so a query id that stands for several vectors gets the best k over all of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -155,8 +156,8 @@ def _after_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | pa.Re
     """First the table of all queries, then the partition's rows.
 
     The first row of a partition comes once for every block of queries, before all others."""
-    blocks, rows, told = [], [], False
-    for batch in slabs(batches):
+    batches, blocks, rows = iter(batches), [], []
+    for batch in batches:
         block, batch = batch.column("queries"), batch.drop_columns(["queries"])
         head = np.flatnonzero(block.is_valid().to_numpy(zero_copy_only=False))
         keep = np.ones(batch.num_rows, bool)
@@ -165,16 +166,15 @@ def _after_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | pa.Re
             keep[head[0]] = True
         blocks += [pa.ipc.open_stream(block[i].as_buffer()).read_all() for i in head.tolist()]
         rows.append(batch.filter(pa.array(keep)))
-        if len(head) == len(keep) or not blocks:
-            continue
-        if not told:
-            yield pa.concat_tables(blocks).combine_chunks()
-            told = True
-        yield from rows
-        rows = []
-    if blocks and not told:
-        yield pa.concat_tables(blocks).combine_chunks()
-        yield from rows
+        if blocks and len(head) < len(keep):
+            break
+    if not blocks:
+        return
+    table = pa.concat_tables(blocks).combine_chunks()
+    del blocks, block  # the queries are held once
+    yield table
+    del table
+    yield from slabs(chain(rows, (batch.drop_columns(["queries"]) for batch in batches)))
 
 
 def _in_place(scan: DataFrame, queries: DataFrame, k: int, metric: str, types: tuple[str, str], schema: str) -> DataFrame:

@@ -148,3 +148,20 @@ def test_best_keeps_ties_by_id():
     best.add(np.array([1]), np.array([[1.0, 1.0]]), np.array([[9, 4]]), np.array([[0, 1]]))
     best.add(np.array([0, 1]), np.array([[np.nan], [1.0]]), np.array([[0], [2]]), np.array([[-1], [2]]))
     assert best.ids[1].tolist() == [2, 4] and best.row[0].tolist() == [-1, -1]
+
+
+def test_equal_vectors_are_scored_in_bounded_memory():
+    """Ties make every (row, column) pair a candidate: the pairs are gathered a bounded number at a time."""
+    import tracemalloc
+
+    from quiver.operators.block import topk_exact
+
+    rows, cols = np.ones((64, 64)), np.ones((1 << 14, 64))
+    ids = np.arange(len(cols))[::-1].copy()
+    for metric, score in (("l2", 0.0), ("cosine", 1.0), ("dot", 64.0)):
+        tracemalloc.start()
+        place, raw = topk_exact(rows, cols, ids, metric, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 150 << 20
+        assert (ids[place] == [0, 1, 2]).all() and (raw == score).all()
