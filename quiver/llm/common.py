@@ -24,7 +24,7 @@ from quiver.session import checkpoint_dir, scratch_path, ship_package
 #: Rows of one Arrow batch sent to Python; keeps a worker's batch at a few MB of text.
 BATCH_ROWS = "1024"
 #: Bytes of text handled at once by the numpy helpers (a longer text is one piece).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 # The bytes that separate words, space and \x09-\x0D.
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -295,6 +295,9 @@ def split_settled(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatc
     through, work = [], []
     for batch in batches:
         bucket = batch.column("bucket").to_numpy()
+        if len(bucket) and bucket.min() >= 0:
+            work.append(batch)
+            continue
         passed = batch.filter(pa.array(bucket < 0))
         if passed.num_rows:
             through.append(pa.RecordBatch.from_arrays([pa.array(-1 - bucket[bucket < 0], pa.int32()), passed.column("ids"), passed.column("body")],

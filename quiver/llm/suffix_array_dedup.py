@@ -129,18 +129,32 @@ def _tied_samples(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
         through, work = C.split_settled(batches)
         yield from through
         # a task may hold several buckets: their names are told apart
-        for group in _by_bucket(work):
-            doc, name = C.pairs([group], "<u4")
-            order = np.sort(name)
-            tied = np.unique(order[1:][order[1:] == order[:-1]])
+        for rows in _rows_by_bucket(work).values():
+            name = np.sort(np.concatenate([np.frombuffer(work[b].column("body")[i].as_buffer(), "<u4") for b, i in rows]))
+            tied = np.unique(name[1:][name[1:] == name[:-1]])
+            del name
+            # documents are looked up some rows at a time, and held for the tied names only
+            docs_at, names_at = [], []
+            for lo in range(0, len(rows) if len(tied) else 0, 32):
+                doc, name = C.pairs([work[b].slice(i, 1) for b, i in rows[lo:lo + 32]], "<u4")
+                at = tied[np.minimum(np.searchsorted(tied, name), len(tied) - 1)] == name
+                docs_at.append(doc[at])
+                names_at.append(name[at])
             if len(tied):
-                k = np.minimum(np.searchsorted(tied, name), len(tied) - 1)
-                at = tied[k] == name
-                yield C.hit_rows(doc[at], name[at], buckets)
+                yield C.hit_rows(np.concatenate(docs_at), np.concatenate(names_at), buckets)
 
     return C.gathered(C.dealt(docs.mapInArrow(emit, C.BLOB_SCHEMA), buckets).mapInArrow(sort_bucket, C.BLOB_SCHEMA), buckets, "<u4")
 
 
+def _rows_by_bucket(batches: list[pa.RecordBatch]) -> dict[int, list[tuple[int, int]]]:
+    """(batch, row) of every blob, by bucket."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for b, batch in enumerate(batches):
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            rows.setdefault(bucket, []).append((b, i))
+    return rows
+
+
 def _by_bucket(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if batches:
         table = pa.Table.from_batches(batches).sort_by("bucket").combine_chunks()

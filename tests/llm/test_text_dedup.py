@@ -290,3 +290,32 @@ def test_differences_from_a_base_join_what_is_linked(spark, seed):
             root = {i: min(a, b) if r in (a, b) else r for i, r in root.items()}
         assert root == brute_components(sets, share)
     assert minhash_dedup.apart(members.limit(0), (80, 100)).count() == 0
+
+
+def test_samples_of_a_large_batch_take_bounded_memory():
+    """A batch of texts is sampled in pieces, whose arrays and power tables stay small, and no piece changes a sample."""
+    import tracemalloc
+
+    import numpy as np
+
+    from quiver.llm import common as C
+    from quiver.llm.suffix_array_dedup import Cover
+
+    buf = np.random.default_rng(1).integers(97, 123, 6 << 20).astype(np.uint8)
+    offsets = np.arange(0, len(buf) + 1, 4096)
+    cover, hash_of = Cover(100), C.Poly(301)
+    fresh, C.POLY = C.POLY, hash_of
+    try:
+        tracemalloc.start()
+        got = []
+        for lo, hi in C.pieces(offsets):
+            _, row, bucket, name = cover.samples(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], 7)
+            got.append((row + lo, bucket, name))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 << 20
+        _, row, bucket, name = cover.samples(buf, offsets, 7)
+    finally:
+        C.POLY = fresh
+    for a, b in zip((row, bucket, name), map(np.concatenate, zip(*got))):
+        assert (a == b).all()
